@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.lineage import cut_lineage
@@ -19,7 +19,7 @@ def _place(ordered: DataFrame) -> DataFrame:
     )
 
 
-def _offsets(placed: DataFrame, weight: F.Column) -> DataFrame:
+def _offsets(placed: DataFrame, weight: Column) -> DataFrame:
     """Rows and weight before each slice. One row per range partition, so the open window stays tiny."""
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_slice").agg(F.sum(weight).alias("_weight"), F.count(F.lit(1)).alias("_rows"))
@@ -73,3 +73,22 @@ def global_rank(df: DataFrame, keys: list[str], method: str = "rank", name: str
     ranks = rank_table(df, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(method).alias(name))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return df.join(ranks, on).drop(*[f"_k_{k}" for k in keys])
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, spread_by: list[str], parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group.
+
+    A limit on a row number is applied inside each map task too, yet a group that fills the table still
+    sends ``n`` rows from every task to one place. So the group is cut to ``n`` rows per part first.
+    """
+    part = F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")
+    in_part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    in_group = Window.partitionBy(*keys).orderBy(*order)
+    return (
+        df.withColumn("_part", part)
+        .withColumn("_n", F.row_number().over(in_part))
+        .where(F.col("_n") <= n)
+        .withColumn("_n", F.row_number().over(in_group))
+        .where(F.col("_n") <= n)
+        .drop("_part", "_n")
+    )
