@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "text", "metrics", "runs", "pricing"]
+MODULES = ["relational", "graph", "text", "metrics", "runs", "pricing"]
 
 
 def load_all() -> None:
