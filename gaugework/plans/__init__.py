@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "graph", "statistics", "text", "metrics", "runs", "pricing"]
+MODULES = ["relational", "graph", "statistics", "learning", "text", "metrics", "runs", "pricing"]
 
 
 def load_all() -> None:
