@@ -17,7 +17,8 @@ def words(text: Column) -> Column:
 
 
 def strip_line_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    """Without white space of any script at the end."""
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+$", "")
 
 
 def first_line_with(text: Column, word: str) -> Column:

@@ -40,6 +40,30 @@ def metric_join(general: DataFrame, disk: DataFrame, network: DataFrame, on: lis
     return general.join(disk, on, "inner").join(network, on, "inner")
 
 
+def _combined(name: str) -> Column:
+    """Utilisation of the busiest device, the mean of sizes and waits, the sum of rates."""
+    if "pct" in name:
+        return F.max(name).alias(name)
+    if name.endswith(("avgrq_sz", "avgqu_sz", "await", "svctm")):
+        return F.avg(name).alias(name)
+    return F.sum(name).alias(name)
+
+
+def metric_table(general: DataFrame, disk: DataFrame, network: DataFrame, rollup: bool = True) -> DataFrame:
+    """The joined table ``host, ts`` and all metrics of the three feeds as they are read.
+
+    Devices are rolled up first; without it the result has a row per disk and interface.
+    """
+    feeds = [metric_prune(general), metric_prune(disk), metric_prune(network)]
+    for i, device in ((1, "DEV"), (2, "IFACE")):
+        if rollup:
+            metrics = [c for c in feeds[i].columns if c not in ("host", "ts", device)]
+            feeds[i] = metric_device_rollup(feeds[i], [_combined(m) for m in metrics])
+        else:
+            feeds[i] = feeds[i].drop(device)
+    return metric_join(*feeds)
+
+
 def metric_rename(df: DataFrame, names: list[str]) -> DataFrame:
     """Impose names by position."""
     if len(df.columns) != len(names):

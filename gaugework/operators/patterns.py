@@ -21,8 +21,10 @@ def sequences(df: DataFrame, key: str, order: str, item: str) -> DataFrame:
     return places.groupBy(key).agg(F.transform(ordered, lambda place: place["_set"]).alias("sequence"))
 
 
-def fp_growth(df: DataFrame, items: str = "items", min_support: float = 0.01) -> FPGrowthModel:
-    return FPGrowth(itemsCol=items, minSupport=min_support).fit(df)
+def fp_growth(
+    df: DataFrame, items: str = "items", min_support: float = 0.01, min_confidence: float = 0.8
+) -> FPGrowthModel:
+    return FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=min_confidence).fit(df)
 
 
 def prefix_span(

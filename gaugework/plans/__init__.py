@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "graph", "statistics", "learning", "text", "metrics", "runs", "pricing"]
+MODULES = [
+    "relational", "graph", "statistics", "learning", "metrics", "runs", "pricing", "text", "sources", "generators",
+]
 
 
 def load_all() -> None:

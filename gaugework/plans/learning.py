@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,8 +191,6 @@ def als(spark, sf):
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
     vectors = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return vectors.select("vec_id", array_to_vector("v").alias("features"))
 
@@ -252,7 +251,7 @@ def power_iteration_clustering(spark, sf):
 @query("word2vec")
 def word2vec(spark, sf):
     model = learning.word2vec(spoken(spark, sf), "words")
-    return model.getVectors().select("word")
+    return model.getVectors().select("word", F.col("vector").cast("string").alias("vector"))
 
 
 @query(
@@ -292,16 +291,41 @@ def fp_growth(spark, sf):
     return model.freqItemsets.select(F.array_join(F.sort_array("items"), ",").alias("items"), "freq")
 
 
-@query("fp_growth_rules")
+@query(
+    "fp_growth_rules",
+    """
+WITH b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
+baskets AS (SELECT count(DISTINCT o) AS n FROM b),
+items AS (SELECT i, count(*) AS f FROM b GROUP BY 1),
+pairs AS (SELECT x.i AS a, y.i AS c, count(*) AS f FROM b x JOIN b y ON x.o = y.o AND x.i <> y.i GROUP BY 1, 2)
+SELECT a AS antecedent, c AS consequent, round(p.f / x.f, 9) AS confidence, round((p.f / x.f) / (y.f / n), 9) AS lift,
+       round(p.f / n, 9) AS support
+FROM pairs p JOIN items x ON x.i = a JOIN items y ON y.i = c CROSS JOIN baskets
+WHERE p.f >= ceil(0.01 * n) AND p.f / x.f >= 0.1
+""",
+)
 def fp_growth_rules(spark, sf):
-    rules = patterns.fp_growth(brand_baskets(spark, sf)).associationRules
+    rules = patterns.fp_growth(brand_baskets(spark, sf), min_confidence=0.1).associationRules
     sides = [F.array_join(F.sort_array(c), ",").alias(c) for c in ["antecedent", "consequent"]]
-    return rules.select(*sides, "confidence", "lift", "support")
+    return rules.select(*sides, *[F.round(c, 9).alias(c) for c in ["confidence", "lift", "support"]])
 
 
-@query("prefix_span")
+@query(
+    "prefix_span",
+    """
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS place, l_returnflag AS item FROM lineitem),
+grown AS (
+  SELECT o, place, item, item AS pattern FROM e
+  UNION
+  SELECT g.o, e.place, e.item, g.pattern || CASE WHEN e.place = g.place THEN '+' ELSE '>' END || e.item
+  FROM grown g JOIN e ON g.o = e.o AND (e.place > g.place OR (e.place = g.place AND e.item > g.item)))
+SELECT pattern, count(DISTINCT o) AS freq FROM grown GROUP BY 1
+HAVING count(DISTINCT o) >= ceil(0.05 * (SELECT count(DISTINCT o) FROM e))
+""",
+)
 def prefix_span(spark, sf):
     flags = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    found = patterns.prefix_span(patterns.sequences(flags, "l_orderkey", "l_linenumber", "l_returnflag"))
+    places = patterns.sequences(flags, "l_orderkey", "l_linenumber", "l_returnflag")
     steps = F.transform("sequence", lambda s: F.array_join(F.sort_array(s), "+"))
+    found = patterns.prefix_span(places, min_support=0.05)
     return found.select(F.array_join(steps, ">").alias("pattern"), F.col("freq"))

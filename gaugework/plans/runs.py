@@ -62,6 +62,9 @@ RUN_SQL = f"""
 """
 
 
+STAMP_SQL = "strftime(started, '%Y-%m-%d %H:%M:%S')"
+
+
 def spec_text() -> Column:
     """Some specs lack the id, some have runs of spaces."""
     gap = F.when(F.pmod("run", F.lit(5)) == 0, "  ").otherwise(" ")
