@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda word: word != "")
 
 
+def explode_tokens(df: DataFrame, text: str, *keep: Column | str, name: str = "word") -> DataFrame:
+    """One row per word of the whole text; the empty ones go after the explode, inside generated code."""
+    pieces = F.explode(F.split(F.lower(text), r"\s+")).alias(name)
+    return df.select(*keep, pieces).where(F.col(name) != "")
+
+
 def words(text: Column) -> Column:
     """Fields of a line, split at any run of white space."""
     return F.filter(F.split(text, r"\s+"), lambda word: word != "")

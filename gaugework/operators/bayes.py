@@ -7,7 +7,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.text import tokens
+from gaugework.functions.text import explode_tokens, tokens
 from gaugework.lineage import cut_lineage
 
 
@@ -38,7 +38,7 @@ def text_bayes_labels(docs: DataFrame, text: str, label: str, smoothing: float =
 def _word_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
     """Counts per label and word, written once: the totals read them instead of the text."""
     return cut_lineage(
-        docs.select(F.col(label).alias("label"), F.explode(tokens(F.col(text))).alias("word"))
+        explode_tokens(docs, text, F.col(label).alias("label"))
         .groupBy("label", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -52,6 +52,32 @@ def _label_totals(counts: DataFrame, smoothing: float) -> DataFrame:
     )
 
 
+def text_bayes_score(model: DataFrame, labels: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Log score ``(doc, label, score)`` of each text under the exact model of :func:`text_bayes`.
+
+    Only words of the model's vocabulary count; those it never saw with a label get the unseen-word value.
+    """
+    seen = explode_tokens(docs, text, F.col(doc_id).alias("doc")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
+    vocabulary = model.groupBy("word").agg(F.collect_list(F.struct("label", "log_p")).alias("_by_label"))
+    known = seen.join(vocabulary, "word")
+    # labels are few: one row per label and text is what the result holds anyway
+    all_labels = labels.select("label", "log_prior", "log_p_unseen").collect()
+    per_label = F.explode(
+        F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("label", "log_prior", "log_p_unseen")]) for r in all_labels])
+    )
+    lengths = known.groupBy("doc").agg(F.sum("tf").alias("_length"))
+    base = docs.select(F.col(doc_id).alias("doc"), per_label.alias("_l")).select("doc", "_l.*").join(lengths, "doc", "left")
+    gains = (
+        known.select("doc", "tf", F.explode("_by_label").alias("_m"))
+        .groupBy("doc", F.col("_m.label").alias("label"))
+        .agg(F.sum(F.col("tf") * F.col("_m.log_p")).alias("_gain"), F.sum("tf").alias("_known"))
+    )
+    unseen = (F.coalesce("_length", F.lit(0)) - F.coalesce("_known", F.lit(0))) * F.col("log_p_unseen")
+    return base.join(gains, ["doc", "label"], "left").select(
+        "doc", "label", (F.col("log_prior") + unseen + F.coalesce("_gain", F.lit(0.0))).alias("score")
+    )
+
+
 def text_bayes_predict(train: DataFrame, test: DataFrame, text: str, label: str, buckets: int = 1 << 18) -> DataFrame:
     """Label the texts of ``test`` by a multinomial model over hashed words."""
     hashing = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=buckets)

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.text import tokens
+from gaugework.functions.text import explode_tokens
 from gaugework.lineage import cut_lineage
 from gaugework.operators.ranking import top_rows
 from gaugework.session import shuffle_partitions
@@ -71,7 +71,7 @@ def inverted_index(docs: DataFrame, doc_id: str, text: str, block: int = 1024) -
     entries and keep the index whole.
     """
     counts = (
-        docs.select(F.col(doc_id).alias("doc"), F.explode(tokens(F.col(text))).alias("term"))
+        explode_tokens(docs, text, F.col(doc_id).alias("doc"), name="term")
         .groupBy("term", "doc")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

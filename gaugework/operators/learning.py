@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.text import explode_tokens
 from gaugework.lineage import ensure_checkpoint_dir
 from gaugework.operators.matrix import gramian
 
@@ -182,9 +183,9 @@ def word2vec(
     ).fit(df)
 
 
-def word2vec_vocabulary(df: DataFrame, tokens: str, min_count: int = 5) -> DataFrame:
-    """Words the embedding covers, with their counts."""
-    words = df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def word2vec_vocabulary(df: DataFrame, text: str, min_count: int = 5) -> DataFrame:
+    """Words of the texts that the embedding covers, with their counts."""
+    words = explode_tokens(df, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return words.where(F.col("n") >= min_count)
 
 

@@ -45,7 +45,7 @@ def create_bids(prices: DataFrame, factor: float = 2) -> DataFrame:
 
 def choose_zone(bids: DataFrame, seed: int = 5, order: list[Column] | None = None) -> DataFrame:
     """One zone per type: a reproducible draw by hash, or the first in the given order."""
-    order = order or [F.xxhash64("instance_type", "az", F.lit(seed)), F.col("az")]
+    order = order or [F.md5(F.concat_ws(" ", "instance_type", "az", F.lit(str(seed)))), F.col("az")]
     rest = [c for c in bids.columns if c != "instance_type"]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     return bids.groupBy("instance_type").agg(first).select("instance_type", "_first.*")

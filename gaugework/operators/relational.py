@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.text import tokens
+from gaugework.functions.text import explode_tokens
 
 
 def scan(df: DataFrame, columns: list[str], predicate: Column | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def join_top1(visits: DataFrame, rankings: DataFrame, lo: str, hi: str, n: int =
 
 
 def wordcount(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.explode(tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return explode_tokens(df, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _order(df: DataFrame, keys: list[str], tiebreak: list[str] | None) -> list[str]:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import generators
 from gaugework.plans.registry import query
-from gaugework.sources.tables import load
+from gaugework.sources.tables import load, spread
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return spread(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 def as_text(df: DataFrame) -> DataFrame:

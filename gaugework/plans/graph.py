@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import graph
 from gaugework.plans.registry import query
-from gaugework.sources.tables import load
+from gaugework.sources.tables import load, spread
 
 ROUNDS = 3
 
@@ -64,7 +64,8 @@ FROM counts JOIN sizes USING (term) GROUP BY 1, 2
 """,
 )
 def inverted_index(spark, sf):
-    index = graph.inverted_index(load(spark, sf, "documents"), "doc_id", "text", block=256)
+    documents = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    index = graph.inverted_index(documents, "doc_id", "text", block=256)
     shown = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc"], p["tf"])), " ")
     return index.withColumn("postings", shown)
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.numbers import seven_digits
 from gaugework.functions.text import tokens
-from gaugework.operators import bayes, learning, patterns
+from gaugework.operators import bayes, learning, matrix, patterns
 from gaugework.operators.statistics import assemble
 from gaugework.plans.graph import trade_links
 from gaugework.plans.registry import query
-from gaugework.sources.tables import load, with_row_id
+from gaugework.sources.tables import load, spread, with_row_id
 
 ROW_ID = ["row_file", "row_index"]
 PREDICTORS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -22,7 +22,7 @@ def examples(spark: SparkSession, sf: str, label: F.Column | None = None) -> Dat
     """Order lines with four features (line number as the category) and the price or another label."""
     lines = with_row_id(load(spark, sf, "lineitem"))
     label = F.col("l_extendedprice") if label is None else label
-    return assemble(lines, PREDICTORS, keep=[*ROW_ID, label.cast("double").alias("label")])
+    return spread(assemble(lines, PREDICTORS, keep=[*ROW_ID, label.cast("double").alias("label")]))
 
 
 def is_returned() -> F.Column:
@@ -111,7 +111,7 @@ def naive_bayes(spark, sf):
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     documents = load(spark, sf, "documents").select("doc_id", "text")
-    return documents.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return spread(documents.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id"))
 
 
 WORD_SQL = r"""
@@ -145,6 +145,28 @@ def text_bayes_labels(spark, sf):
     return table.withColumns({c: F.round(c, 6) for c in ["log_prior", "log_p_unseen"]})
 
 
+@query(
+    "text_bayes_score",
+    rf"""
+WITH {WORD_SQL}, docs AS (SELECT quality AS label, count(*) AS docs FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+priors AS (SELECT label, total, ln(docs / (SELECT sum(docs) FROM docs)) AS log_prior FROM docs JOIN totals USING (label)),
+vocabulary AS (SELECT DISTINCT word FROM counts),
+seen AS (
+  SELECT doc_id, word, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents)
+  WHERE word IN (SELECT word FROM vocabulary) GROUP BY 1, 2)
+SELECT d.doc_id AS doc, p.label, round(any_value(log_prior) + coalesce(sum(tf * ln((coalesce(n, 0) + 1) / total)), 0), 4) AS score
+FROM documents d CROSS JOIN priors p LEFT JOIN seen s ON s.doc_id = d.doc_id
+LEFT JOIN counts c ON c.label = p.label AND c.word = s.word GROUP BY 1, 2
+""",
+)
+def text_bayes_score(spark, sf):
+    train = labelled_documents(spark, sf)
+    model, labels = bayes.text_bayes(train, "text", "quality"), bayes.text_bayes_labels(train, "text", "quality")
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    return bayes.text_bayes_score(model, labels, docs, "doc_id", "text").withColumn("score", F.round("score", 4))
+
+
 @query("text_bayes_predict")
 def text_bayes_predict(spark, sf):
     train, test = learning.train_test_split(labelled_documents(spark, sf), ["doc_id"])
@@ -192,7 +214,7 @@ def als(spark, sf):
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
     vectors = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return vectors.select("vec_id", array_to_vector("v").alias("features"))
+    return spread(vectors.select("vec_id", array_to_vector("v").alias("features")))
 
 
 @query("kmeans")
@@ -223,12 +245,14 @@ def kmeans_assign(spark, sf):
 
 @query("gmm")
 def gmm(spark, sf):
-    rows = points(spark, sf)
-    return learning.gmm(rows).transform(rows).select("vec_id", "prediction")
+    # densities of narrow clusters in 64 dimensions leave the range of a double, hence the projection
+    model, rows = matrix.pca(load(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 10)
+    projected = spread(model.transform(rows).select("vec_id", F.col("projected").alias("features")))
+    return learning.gmm(projected).transform(projected).select("vec_id", "prediction")
 
 
 def spoken(spark: SparkSession, sf: str) -> DataFrame:
-    turns = load(spark, sf, "conversations")
+    turns = spread(load(spark, sf, "conversations").select("conv_id", "turn", "text"))
     return turns.select("conv_id", "turn", tokens(F.col("text")).alias("words"))
 
 
@@ -263,8 +287,7 @@ WHERE word <> '' GROUP BY word HAVING count(*) >= 5
 """,
 )
 def word2vec_vocabulary(spark, sf):
-    words = load(spark, sf, "documents").select(tokens(F.col("text")).alias("words"))
-    return learning.word2vec_vocabulary(words, "words")
+    return learning.word2vec_vocabulary(spread(load(spark, sf, "documents").select("text")), "text")
 
 
 def brand_baskets(spark: SparkSession, sf: str) -> DataFrame:
