@@ -58,23 +58,22 @@ def text_bayes_score(model: DataFrame, labels: DataFrame, docs: DataFrame, doc_i
     Only words of the model's vocabulary count; those it never saw with a label get the unseen-word value.
     """
     seen = explode_tokens(docs, text, F.col(doc_id).alias("doc")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = model.groupBy("word").agg(F.collect_list(F.struct("label", "log_p")).alias("_by_label"))
-    known = seen.join(vocabulary, "word")
-    # labels are few: one row per label and text is what the result holds anyway
-    all_labels = labels.select("label", "log_prior", "log_p_unseen").collect()
-    per_label = F.explode(
-        F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("label", "log_prior", "log_p_unseen")]) for r in all_labels])
+    # one entry per label that has the word, so the lists are as short as the labels are few
+    by_word = model.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("label", "log_p"))).alias("_log_p"))
+    fields = ("label", "log_prior", "log_p_unseen")
+    each_label = F.explode(
+        F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in fields]) for r in labels.select(*fields).collect()])
     )
-    lengths = known.groupBy("doc").agg(F.sum("tf").alias("_length"))
-    base = docs.select(F.col(doc_id).alias("doc"), per_label.alias("_l")).select("doc", "_l.*").join(lengths, "doc", "left")
-    gains = (
-        known.select("doc", "tf", F.explode("_by_label").alias("_m"))
-        .groupBy("doc", F.col("_m.label").alias("label"))
-        .agg(F.sum(F.col("tf") * F.col("_m.log_p")).alias("_gain"), F.sum("tf").alias("_known"))
+    log_p = F.coalesce(F.try_element_at("_log_p", F.col("_l.label")), F.col("_l.log_p_unseen"))
+    sums = (
+        seen.join(by_word, "word")
+        .select("doc", "tf", "_log_p", each_label.alias("_l"))
+        .groupBy("doc", F.col("_l.label").alias("label"))
+        .agg(F.sum(F.col("tf") * log_p).alias("_sum"))
     )
-    unseen = (F.coalesce("_length", F.lit(0)) - F.coalesce("_known", F.lit(0))) * F.col("log_p_unseen")
-    return base.join(gains, ["doc", "label"], "left").select(
-        "doc", "label", (F.col("log_prior") + unseen + F.coalesce("_gain", F.lit(0.0))).alias("score")
+    base = docs.select(F.col(doc_id).alias("doc"), each_label.alias("_l")).select("doc", "_l.label", "_l.log_prior")
+    return base.join(sums, ["doc", "label"], "left").select(
+        "doc", "label", (F.col("log_prior") + F.coalesce("_sum", F.lit(0.0))).alias("score")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.text import explode_tokens
 from gaugework.lineage import ensure_checkpoint_dir
-from gaugework.operators.matrix import gramian
+from gaugework.operators.matrix import few_tasks, gramian
 
 SEED = 5
 MAX_SUMS_WIDTH = 2048  # beyond it, gradients are summed in every step instead of products once
@@ -89,7 +89,7 @@ def _gradient_pass(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "value"])
 
     sums = np.zeros(len(w) + 1)
-    for entry in rows.mapInArrow(partial, "i int, value double").groupBy("i").agg(F.sum("value").alias("v")).collect():
+    for entry in few_tasks(rows).mapInArrow(partial, "i int, value double").groupBy("i").agg(F.sum("value").alias("v")).collect():
         sums[entry["i"]] = entry["v"]
     return sums[:-1], float(sums[-1])
 

@@ -21,12 +21,14 @@ def metric_resample(df: DataFrame, seconds: int = 5, keys: list[str] | None = No
     """First sample of each epoch-aligned bucket per host (and device); ``ts`` becomes the bucket start."""
     keys = ["host"] if keys is None else keys
     values = [c for c in df.columns if c not in keys and c != "ts"]
-    bucket = F.window("ts", f"{seconds} seconds")
     # the whole row goes along with the earliest time, so the values of a bucket come from one sample
     first = F.min_by(F.struct(*values), F.struct("ts", *values)).alias("_first")
-    return df.groupBy(*keys, bucket.alias("_w")).agg(first).select(
-        *keys, F.col("_w.start").alias("ts"), *[F.col(f"_first.`{v}`").alias(v) for v in values]
-    )
+    window = F.window("ts", f"{seconds} seconds")
+    if df.isStreaming:
+        grouped, start = df.groupBy(*keys, window.alias("_w")), F.col("_w.start")
+    else:  # grouped by the start itself, a later join on it needs no further shuffle
+        grouped, start = df.withColumn("_start", window["start"]).groupBy(*keys, "_start"), F.col("_start")
+    return grouped.agg(first).select(*keys, start.alias("ts"), *[F.col(f"_first.`{v}`").alias(v) for v in values])
 
 
 def metric_device_rollup(df: DataFrame, aggs: list[Column], keys: list[str] | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.text import words
+from gaugework.functions.times import clock_text, seconds_between
 
-STAMP = "yyyy-MM-dd HH:mm:ss"
 SPEC_FIELDS = ["benchmark", "framework", "app", "datasize", "run_id"]
 REPORT_FIELDS = [
     "completed", "datasize", "elapsed_time", "framework", "input_size", "program", "throughput_cluster",
@@ -68,7 +68,7 @@ def parse_run_key(df: DataFrame, column: str = "run_key") -> DataFrame:
 
 def wall_seconds(started: Column, ended: Column) -> Column:
     """Seconds between two time stamps, with fractions."""
-    return F.timestamp_diff("MICROSECOND", started, ended) / F.lit(1_000_000.0)
+    return seconds_between(started, ended).cast("double")
 
 
 def report_row(df: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def report_row(df: DataFrame) -> DataFrame:
         {
             "completed": done,
             "program": F.when(done, F.col("program")).otherwise(""),
-            "timestamp": F.date_format(F.when(done, F.col("finished")).otherwise(F.col("started")), STAMP),
+            "timestamp": clock_text(F.when(done, F.col("finished")).otherwise(F.col("started"))),
             "input_size": F.when(done, F.col("input_size")).otherwise(F.lit(-1)).cast("bigint"),
             "elapsed_time": F.when(done, F.col("elapsed_time")).otherwise(wall).cast("double"),
             "throughput_cluster": F.when(done, F.col("throughput_cluster").cast("double")).otherwise(failed),

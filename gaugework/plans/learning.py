@@ -110,8 +110,8 @@ def naive_bayes(spark, sf):
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = load(spark, sf, "documents").select("doc_id", "text")
-    return spread(documents.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id"))
+    documents = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    return documents.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
 WORD_SQL = r"""
@@ -320,11 +320,18 @@ def fp_growth(spark, sf):
 WITH b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
 baskets AS (SELECT count(DISTINCT o) AS n FROM b),
 items AS (SELECT i, count(*) AS f FROM b GROUP BY 1),
-pairs AS (SELECT x.i AS a, y.i AS c, count(*) AS f FROM b x JOIN b y ON x.o = y.o AND x.i <> y.i GROUP BY 1, 2)
-SELECT a AS antecedent, c AS consequent, round(p.f / x.f, 9) AS confidence, round((p.f / x.f) / (y.f / n), 9) AS lift,
-       round(p.f / n, 9) AS support
-FROM pairs p JOIN items x ON x.i = a JOIN items y ON y.i = c CROSS JOIN baskets
-WHERE p.f >= ceil(0.01 * n) AND p.f / x.f >= 0.1
+pairs AS (SELECT x.i AS a, y.i AS c, count(*) AS f FROM b x JOIN b y ON x.o = y.o AND x.i <> y.i GROUP BY 1, 2),
+triples AS (
+  SELECT x.i AS a, y.i AS b, z.i AS c, count(*) AS f
+  FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN b z ON y.o = z.o AND z.i <> x.i AND z.i <> y.i GROUP BY 1, 2, 3),
+rules AS (
+  SELECT a AS antecedent, c AS consequent, p.f AS f, x.f AS base FROM pairs p JOIN items x ON x.i = a
+  UNION ALL
+  SELECT t.a || ',' || t.b, t.c, t.f, p.f FROM triples t JOIN pairs p ON p.a = t.a AND p.c = t.b)
+SELECT antecedent, consequent, round(r.f / base, 9) AS confidence, round((r.f / base) / (y.f / n), 9) AS lift,
+       round(r.f / n, 9) AS support
+FROM rules r JOIN items y ON y.i = consequent CROSS JOIN baskets
+WHERE r.f >= ceil(0.01 * n) AND r.f / base >= 0.1
 """,
 )
 def fp_growth_rules(spark, sf):

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.functions.times import clock_text
 from gaugework.operators import metrics
 from gaugework.plans.registry import query
 from gaugework.sources.metric_names import METRIC_COLUMNS, PLAIN_COLUMNS
 from gaugework.sources.tables import load
 
 DAY = 86400
-STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shown(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", F.date_format("ts", STAMP))
+    return df.withColumn("ts", clock_text(F.col("ts")))
 
 
 def feed_sql(device: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.functions.times import clock_text
 from gaugework.operators import runs
 from gaugework.plans.registry import query
 from gaugework.sources.lookups import (
@@ -157,7 +158,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
             F.col("workload").alias("program"),
             "started",
             (F.col("started") + F.make_dt_interval(secs=seconds)).alias("ended"),
-            F.timestamp_add("SECOND", F.lit(30), "started").alias("finished"),
+            (F.col("started") + F.make_dt_interval(secs=F.lit(30))).alias("finished"),
             "input_size",
             (F.pmod("run", F.lit(1000)) / 8).alias("elapsed_time"),
             F.pmod("input_size", F.lit(100000)).alias("throughput_cluster"),
@@ -210,7 +211,7 @@ FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderda
 def latest_report(spark, sf):
     lines = load(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     last = runs.latest_report(lines, ["o_custkey"], "o_orderdate", ["o_orderkey"])
-    return last.withColumn("o_orderdate", F.date_format("o_orderdate", runs.STAMP))
+    return last.withColumn("o_orderdate", clock_text(F.col("o_orderdate")))
 
 
 RESOURCE_COLUMNS = [

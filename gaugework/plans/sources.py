@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugework.functions.times import clock_text
 from gaugework.lineage import scratch_path
 from gaugework.operators import metrics
 from gaugework.plans.metrics import WIDE_SQL, shown, wide
@@ -46,7 +47,7 @@ def write_metric_table(spark, sf):
     path = scratch_path(spark, "metrics")
     feeds.write_metric_table(table.withColumn("ts", F.col("ts").cast("timestamp_ntz")), path)
     back = feeds.read_metric_table(spark, path)
-    return back.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return back.withColumn("timestamp", clock_text(F.col("timestamp")))
 
 
 @query(
@@ -64,7 +65,7 @@ def read_suite_report(spark, sf):
     line = F.concat_ws(
         "    ",
         F.col("workload"),
-        F.date_format("started", "yyyy-MM-dd HH:mm:ss"),
+        clock_text(F.col("started")),
         F.col("input_size"),
         F.pmod("run", F.lit(7200)) + F.lit(0.5),
         throughput,
@@ -73,7 +74,7 @@ def read_suite_report(spark, sf):
     path = scratch_path(spark, "suite")
     run_table(spark, sf).select(line).write.text(path)
     back = report_files.read_suite_report(spark, path)
-    return back.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return back.withColumn("timestamp", clock_text(F.col("timestamp")))
 
 
 @query("read_run_reports", f"SELECT * EXCLUDE (run) FROM ({REPORT_SQL})")
@@ -81,7 +82,7 @@ def read_run_reports(spark, sf):
     path = scratch_path(spark, "reports")
     report_files.write_run_reports(reports(spark, sf), path)
     back = report_files.read_run_reports(spark, path, multi_line=False)
-    return back.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return back.withColumn("timestamp", clock_text(F.col("timestamp")))
 
 
 @query(

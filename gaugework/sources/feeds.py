@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.functions.text import strip_line_end
+from gaugework.functions.times import clock_text
 from gaugework.sources.metric_names import (
     DISK_METRICS,
     GENERAL_METRICS,
@@ -52,14 +53,14 @@ def write_metric_feed(df: DataFrame, path: str, kind: str) -> None:
     columns = feed_columns(kind)
     short = {plain_name(m): m.split(".", 1)[1] for m in METRIC_COLUMNS[1:]}
     shown = ["# hostname", "interval", "timestamp", *[short.get(c, c) for c in columns[3:]]]
-    out = df.select(*columns).withColumn("ts", F.date_format("ts", STAMP)).toDF(*shown)
+    out = df.select(*columns).withColumn("ts", clock_text(F.col("ts"))).toDF(*shown)
     out.write.options(sep=";", header=True, comment="~").csv(path)
 
 
 def write_metric_table(df: DataFrame, path: str) -> None:
     """The joined table as CSV under the fixed header of 73 names."""
     first, *metrics = PLAIN_COLUMNS
-    shown = df.select(F.date_format("ts", STAMP).alias(first), *metrics).toDF(*METRIC_COLUMNS)
+    shown = df.select(clock_text(F.col("ts")).alias(first), *metrics).toDF(*METRIC_COLUMNS)
     shown.write.option("header", True).csv(path)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gaugework.functions.text import words
 from gaugework.operators.runs import report_json
 
-STAMP = "yyyy-MM-dd HH:mm:ss"
 MEASURES = {"input_size": "bigint", "elapsed_time": "double", "throughput_cluster": "double", "throughput_node": "double"}
 REPORT_SCHEMA = (
     "workload string, framework string, datasize string, completed boolean, program string, timestamp string, "
@@ -41,7 +40,7 @@ def read_run_reports(spark: SparkSession, path: str, multi_line: bool = True) ->
     raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", multi_line).json(path)
     return raw.withColumns(
         {
-            "timestamp": F.try_to_timestamp("timestamp", F.lit(STAMP)).cast("timestamp_ntz"),
+            "timestamp": F.col("timestamp").try_cast("timestamp_ntz"),
             **{name: F.col(name).try_cast(kind) for name, kind in MEASURES.items()},
         }
     )

@@ -24,7 +24,8 @@ def with_row_id(table: DataFrame) -> DataFrame:
 def spread(table: DataFrame) -> DataFrame:
     """Give every core a part of a table that comes in fewer pieces, for heavy work per row.
 
-    A table of many files or row groups is left as it is, so this moves small inputs only.
+    ``table`` is a scan with nothing but projections on it. A table of many files or row groups is left
+    as it is, so this moves small inputs only.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

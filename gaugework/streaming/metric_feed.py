@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.functions.times import as_instant, from_instant
 from gaugework.operators.metrics import metric_prune, metric_resample
 from gaugework.sources.feeds import feed_options, feed_schema
 
@@ -15,17 +16,11 @@ def stream_metric_feed(spark: SparkSession, folder: str, kind: str, files_per_tr
     return reader.option("maxFilesPerTrigger", files_per_trigger).csv(folder)
 
 
-EPOCH = "1970-01-01 00:00:00"
-
-
 def stream_resample(feed: DataFrame, seconds: int = 5, late: str = "1 minute", keys: list[str] | None = None) -> DataFrame:
     """First sample of each bucket; a bucket is final, and its state dropped, once the feed is ``late`` past it.
 
     A watermark needs an instant, so the clock time of the feed is read as UTC on the way in and turned
     back on the way out; the buckets are those of the batch operator in any session time zone.
     """
-    epoch = F.lit(EPOCH).cast("timestamp_ntz")
-    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
-    marked = metric_prune(feed).withColumn("ts", instant).withWatermark("ts", late)
-    clock = F.timestamp_add("MICROSECOND", F.unix_micros("ts"), epoch)
-    return metric_resample(marked, seconds, keys).withColumn("ts", clock)
+    marked = metric_prune(feed).withColumn("ts", as_instant(F.col("ts"))).withWatermark("ts", late)
+    return metric_resample(marked, seconds, keys).withColumn("ts", from_instant(F.col("ts")))
