@@ -8,8 +8,11 @@ from pyspark.ml.stat import ChiSquareTest, Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.lineage import cut_lineage
 from gaugework.operators.ranking import rank_table
 
+WIDE = 16  # columns up to which joining ranks column by column moves less than one row per value
+
 METRICS = {
     "count": "count", "mean": "mean", "variance": "variance", "numNonZeros": "nonzeros", "min": "min", "max": "max",
     "normL1": "norm_l1", "normL2": "norm_l2",
@@ -50,22 +53,40 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return _matrix_rows(df, matrix, columns)
 
 
-def spearman(df: DataFrame, row_id: list[str], columns: list[str]) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str], row_id: list[str] | None = None, wide_up_to: int = WIDE) -> DataFrame:
     """Rank correlation of all pairs of columns, with the mean rank for equal values.
 
     Values are counted per column before they are ranked, so a value shared by most rows is ranked once.
-    ``row_id`` tells the rows apart; each row is put together again from one rank per column.
+    Up to ``wide_up_to`` columns the ranks are joined to the rows column by column, and columns of few
+    values need no shuffle for it. Wider tables send one row per value and are put together again by
+    ``row_id``, which then must tell the rows apart.
     """
-    long = df.select(*row_id, *[F.col(c).cast("double") for c in columns]).unpivot(row_id, columns, "_column", "_value")
-    ranks = rank_table(long, ["_column", "_value"])
+    table = df.select(*(row_id or []), *[F.col(c).cast("double") for c in columns])
+    ranks = cut_lineage(_column_ranks(table, columns))
+    if len(columns) <= wide_up_to:
+        ranked = table.select(*columns)
+        for c in columns:
+            of_column = ranks.where(F.col("_column") == c).select(F.col("_value").alias(c), F.col("_rank").alias(f"_r_{c}"))
+            ranked = ranked.join(of_column, c)
+        ranked = ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
+    elif row_id:
+        long = table.unpivot(row_id, columns, "_column", "_value")
+        of_column = [F.max(F.when(F.col("_column") == c, F.col("_rank"))).alias(c) for c in columns]
+        ranked = long.join(ranks, ["_column", "_value"]).groupBy(*row_id).agg(*of_column)
+    else:
+        raise ValueError(f"more than {wide_up_to} columns need a row id")
+    return pearson(ranked, columns)
+
+
+def _column_ranks(table: DataFrame, columns: list[str]) -> DataFrame:
+    """``(_column, _value, _rank)``: the mean rank of each distinct value inside its column."""
+    values = table.select(*columns).unpivot([], columns, "_column", "_value")
+    ranks = rank_table(values, ["_column", "_value"])
     start = ranks.groupBy("_column").agg((F.min("rank") - 1).alias("_start"))
     # one row per column of the table
-    ranks = ranks.join(F.broadcast(start), "_column").select(
+    return ranks.join(F.broadcast(start), "_column").select(
         "_column", "_value", (F.col("mean_rank") - F.col("_start")).alias("_rank")
     )
-    of_column = [F.max(F.when(F.col("_column") == c, F.col("_rank"))).alias(c) for c in columns]
-    ranked = long.join(ranks, ["_column", "_value"]).groupBy(*row_id).agg(*of_column)
-    return pearson(ranked, columns)
 
 
 def chi_square_feature(df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.numbers import seven_digits
 from gaugework.operators import matrix, statistics
 from gaugework.plans.registry import query
-from gaugework.sources.tables import load, spread, with_row_id
+from gaugework.sources.tables import load, spread
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -58,8 +58,8 @@ MEAN_RANKS = ", ".join(
     + pairs_sql(NUMERIC, "round(corr(?1::DOUBLE, ?2::DOUBLE), 6)", "ranked"),
 )
 def spearman(spark, sf):
-    lines = with_row_id(load(spark, sf, "lineitem"))
-    return statistics.spearman(lines, ["row_file", "row_index"], NUMERIC).withColumn("corr", F.round("corr", 6))
+    lines = spread(load(spark, sf, "lineitem").select(*NUMERIC))
+    return statistics.spearman(lines, NUMERIC).withColumn("corr", F.round("corr", 6))
 
 
 def categories(spark: SparkSession, sf: str) -> DataFrame:

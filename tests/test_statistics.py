@@ -36,9 +36,10 @@ def mean_ranks(c):
 
 
 @pytest.mark.parametrize("parts", [1, 4, 64])
-def test_spearman_with_ties(spark, parts):
+@pytest.mark.parametrize("wide", [16, 0])  # ranks joined by column, or rows put together again
+def test_spearman_with_ties(spark, parts, wide):
     df, x, names = numbers(spark, n=120, d=3, parts=parts)
-    got = {(r["i"], r["j"]): r["corr"] for r in statistics.spearman(df, ["id"], names).collect()}
+    got = {(r["i"], r["j"]): r["corr"] for r in statistics.spearman(df, names, ["id"], wide).collect()}
     expected = np.corrcoef(np.array([mean_ranks(x[:, i]) for i in range(3)]))
     assert all(got[a, b] == pytest.approx(expected[i, j]) for i, a in enumerate(names) for j, b in enumerate(names))
 
@@ -117,3 +118,8 @@ def test_block_multiply_of_one_table_with_itself(spark):
     assert rows(square) == [(0, 0, 6.0), (1, 1, 6.0)]
 
 
+
+
+def test_wide_spearman_needs_a_row_id(spark):
+    with pytest.raises(ValueError, match="row id"):
+        statistics.spearman(numbers(spark, n=5)[0], ["c0", "c1"], wide_up_to=1)
