@@ -71,19 +71,22 @@ def wall_seconds(started: Column, ended: Column) -> Column:
     return seconds_between(started, ended).cast("double")
 
 
-def report_row(df: DataFrame) -> DataFrame:
+def report_row(df: DataFrame, measured: bool = True) -> DataFrame:
     """Report fields of a run: those of the suite on success, sentinels and the wall time on failure.
 
-    Needs ``completed, started, ended, program, finished, input_size, elapsed_time, throughput_cluster,
-    throughput_node``; a null ``completed`` counts as failed.
+    Needs ``workload, completed, started, ended, program, finished, input_size, elapsed_time,
+    throughput_cluster, throughput_node``; a null ``completed`` counts as failed. A suite that writes no
+    measures of its own (``measured=False``) gets sentinels and the wall time for every run, under the
+    name of the workload.
     """
-    done = F.coalesce("completed", F.lit(False))
+    completed = F.coalesce("completed", F.lit(False))
+    done = completed if measured else F.lit(False)
     wall = wall_seconds(F.col("started"), F.col("ended"))
     failed = F.lit(-1).cast("double")
     return df.withColumns(
         {
-            "completed": done,
-            "program": F.when(done, F.col("program")).otherwise(""),
+            "completed": completed,
+            "program": F.when(done, F.col("program")).otherwise("") if measured else F.col("workload"),
             "timestamp": clock_text(F.when(done, F.col("finished")).otherwise(F.col("started"))),
             "input_size": F.when(done, F.col("input_size")).otherwise(F.lit(-1)).cast("bigint"),
             "elapsed_time": F.when(done, F.col("elapsed_time")).otherwise(wall).cast("double"),
@@ -93,15 +96,15 @@ def report_row(df: DataFrame) -> DataFrame:
     ).drop("started", "ended", "finished")
 
 
-def report_json(df: DataFrame, pretty: bool = False) -> DataFrame:
-    """One JSON object per run with sorted keys. As in the tool's own reports the four measures are text
-    for a completed run and numbers for a failed one."""
+def report_json(df: DataFrame, pretty: bool = False, measured: bool = True) -> DataFrame:
+    """One JSON object per run with sorted keys. The four measures are text where they come from the
+    suite, that is for completed runs of a measured suite, and numbers otherwise."""
     measures = {"input_size", "elapsed_time", "throughput_cluster", "throughput_node"}
     options = {"pretty": "true"} if pretty else {}
     as_text = F.struct(*[F.col(c).cast("string").alias(c) if c in measures else F.col(c) for c in REPORT_FIELDS])
     as_number = F.struct(*[F.col(c) for c in REPORT_FIELDS])
     return df.withColumn(
-        "report", F.when(F.col("completed"), F.to_json(as_text, options)).otherwise(F.to_json(as_number, options))
+        "report", F.when(F.col("completed") & F.lit(measured), F.to_json(as_text, options)).otherwise(F.to_json(as_number, options))
     )
 
 

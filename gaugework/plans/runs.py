@@ -146,9 +146,9 @@ def parse_run_key(spark, sf):
     return runs.parse_run_key(keys).drop("run_key")
 
 
-def reports(spark: SparkSession, sf: str) -> DataFrame:
+def finished_runs(spark: SparkSession, sf: str) -> DataFrame:
     seconds = F.pmod("run", F.lit(7200)) + F.lit(0.5)
-    return runs.report_row(
+    return (
         run_table(spark, sf).select(
             "run",
             "workload",
@@ -167,6 +167,10 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.report_row(finished_runs(spark, sf))
+
+
 REPORT_SQL = f"""
 SELECT run, workload, framework, datasize, completed, CASE WHEN completed THEN workload ELSE '' END AS program,
        strftime(started + CASE WHEN completed THEN INTERVAL 30 SECOND ELSE INTERVAL 0 SECOND END,
@@ -184,6 +188,19 @@ def report_row(spark, sf):
     return reports(spark, sf)
 
 
+@query(
+    "report_row_unmeasured",
+    f"""
+SELECT run, workload, framework, datasize, completed, workload AS program,
+       strftime(started, '%Y-%m-%d %H:%M:%S') AS "timestamp", CAST(-1 AS BIGINT) AS input_size,
+       CAST(run % 7200 + 0.5 AS DOUBLE) AS elapsed_time, -1.0::DOUBLE AS throughput_cluster, -1.0::DOUBLE AS throughput_node
+FROM {RUN_SQL}
+""",
+)
+def report_row_unmeasured(spark, sf):
+    return runs.report_row(finished_runs(spark, sf), measured=False)
+
+
 @query(
     "write_run_reports",
     f"""

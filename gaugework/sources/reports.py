@@ -32,12 +32,15 @@ def read_suite_report(spark: SparkSession, path: str) -> DataFrame:
     return parse_suite_report(spark.read.text(path))
 
 
-def read_run_reports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_run_reports(spark: SparkSession, path: str, multi_line: bool = True, run_key: bool = False) -> DataFrame:
     """JSON reports, one pretty-printed object per file, or one per line without ``multi_line``.
 
     The measures are text in some reports and numbers in others; all are read as text and cast.
+    With ``run_key`` the name of the folder that holds the file is added, for ``parse_run_key``.
     """
     raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", multi_line).json(path)
+    if run_key:
+        raw = raw.withColumn("run_key", F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1))
     return raw.withColumns(
         {
             "timestamp": F.col("timestamp").try_cast("timestamp_ntz"),

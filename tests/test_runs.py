@@ -91,6 +91,25 @@ def test_reports_read_back_from_pretty_files_and_lines(spark, tmp_path):
     assert rows(reports.read_run_reports(spark, str(tmp_path / "lines"), multi_line=False).select(order)) == expected
 
 
+def test_report_knows_its_run_folder(spark, tmp_path):
+    folder = tmp_path / "4_c4.large_sort_spark_small_1"
+    folder.mkdir()
+    (folder / "report.json").write_text(json.dumps({"workload": "sort", "completed": True}, indent=4))
+    got = runs.parse_run_key(reports.read_run_reports(spark, str(tmp_path / "*" / "report.json"), run_key=True)).first()
+    assert (got["run_key"], got["nodes"], got["app"], got["completed"]) == (folder.name, 4, "sort", True)
+
+
+def test_unmeasured_reports(spark):
+    done = frame(spark, [("kmeans", True, DAY, DAY + dt.timedelta(seconds=9.5))], "workload string, completed boolean, started timestamp_ntz, ended timestamp_ntz")
+    extra = {c: F.lit(None).cast("string") for c in ("program", "framework", "datasize", "input_size", "elapsed_time", "throughput_cluster", "throughput_node")}
+    table = runs.report_row(done.withColumns({**extra, "finished": F.col("ended")}), measured=False)
+    report = json.loads(runs.report_json(table, measured=False).first()["report"])
+    assert report == {
+        "completed": True, "elapsed_time": 9.5, "input_size": -1, "program": "kmeans", "throughput_cluster": -1.0,
+        "throughput_node": -1.0, "timestamp": "2024-01-01 00:00:00", "workload": "kmeans",
+    }
+
+
 def test_suite_report_lines(spark, tmp_path):
     (tmp_path / "r").write_text("ScalaSort  2024-01-01 00:01:20   1000   80.5  12 6\n\nBad 2024-13-01 x y z\n")
     got = rows(reports.read_suite_report(spark, str(tmp_path / "r")))
