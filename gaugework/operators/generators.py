@@ -229,12 +229,15 @@ def suite_input(spark: SparkSession, kind: str, scale: str, partitions: int | No
     return gen_suite_dataset(id_range(spark, rows, partitions), kind, pages=max(rows // 10, 1))
 
 
-def workload_input(spark: SparkSession, workload: str, size: str, partitions: int | None = None):
-    """The input of a statistics or ML workload at a size of the catalogue, with the catalogue's parameters.
+def workload_input(
+    spark: SparkSession, workload: str, size: str, partitions: int | None = None, overrides: dict | None = None
+):
+    """The input of a statistics or ML workload at a size of the catalogue, with the catalogue's parameters
+    and any that ``overrides`` replaces.
 
     Returns one DataFrame, or the two factors for the matrix product.
     """
-    p = workload_parameters(workload, size)
+    p = {**workload_parameters(workload, size), **(overrides or {})}
 
     def ids(name: str) -> DataFrame:
         return id_range(spark, p[name], partitions)
@@ -243,7 +246,10 @@ def workload_input(spark: SparkSession, workload: str, size: str, partitions: in
     if workload == "regression":
         return gen_labeled_points(ids("num-examples"), p["num-features"], p["feature-noise"], p["label-noise"], p["intercept"], seed)
     if workload in ("classification", "naive-bayes"):
-        return gen_classification_points(ids("num-examples"), p["num-features"], p["per-negative"], p["feature-noise"], seed)
+        points = gen_classification_points(ids("num-examples"), p["num-features"], p["per-negative"], p["feature-noise"], seed)
+        if workload == "naive-bayes":  # the multinomial model takes no negative numbers
+            points = points.withColumn("features", F.transform("features", F.abs))
+        return points
     if workload in ("decision-tree", "random-forest", "gradient-boosted-tree"):
         return gen_mixed_table(
             ids("num-examples"), p["num-features"], p["frac-categorical-features"], p["frac-binary-features"],

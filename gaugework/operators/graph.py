@@ -36,6 +36,7 @@ def pagerank(
     nodes = links.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.out").alias("degree"))
     nodes = nodes.repartition(slices, "node").persist(StorageLevel.MEMORY_AND_DISK)
     n = nodes.count()
+    links.unpersist()
     has_dangling = not nodes.where(F.col("degree") == 0).isEmpty()
 
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
@@ -58,8 +59,8 @@ def pagerank(
         # with dangling vertices each round is read twice, once for their mass
         if has_dangling or done % CUT_EVERY == 0 or done == iterations:
             ranks = cut_lineage(ranks)
-    for kept in (links, placed, nodes):
-        kept.unpersist()
+    placed.unpersist()
+    nodes.unpersist()
     return ranks.select("node", "rank")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import ChiSquareTest, Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +19,37 @@ METRICS = {
 }
 
 
+def names_of(df: DataFrame, columns: list[str] | str) -> list[str]:
+    """The given columns, or the positions of an array column."""
+    if not isinstance(columns, str):
+        return columns
+    row = df.select(F.size(columns)).first()
+    return [str(i) for i in range(row[0] if row else 0)]
+
+
+def vectors_of(df: DataFrame, columns: list[str] | str) -> DataFrame:
+    """Numeric columns, or one array column, as the vector column ``features``."""
+    if isinstance(columns, str):
+        return df.select(array_to_vector(F.col(columns).cast("array<double>")).alias("features"))
+    return assemble(df, columns, keep=[])
+
+
 def assemble(df: DataFrame, columns: list[str], name: str = "features", keep: list[str] | None = None) -> DataFrame:
     """Numeric columns as one vector column."""
     rest = df.columns if keep is None else keep
     return VectorAssembler(inputCols=columns, outputCol=name).transform(df).select(*rest, name)
 
 
-def summary_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: count, mean, variance, nonzeros, min, max, L1 and L2 norm, in one pass."""
+def summary_statistics(df: DataFrame, columns: list[str] | str) -> DataFrame:
+    """Per column, or per position of an array column: count, mean, variance, nonzeros, min, max, L1 and L2
+    norm, in one pass."""
+    names = names_of(df, columns)
     summary = Summarizer.metrics(*METRICS).summary(F.col("features")).alias("s")
-    one_row = assemble(df, columns, keep=[]).select(summary)
+    one_row = vectors_of(df, columns).select(summary)
     arrays = [
         vector_to_array(F.col(f"s.{m}")).alias(n) if m != "count" else F.col("s.count").alias(n) for m, n in METRICS.items()
     ]
-    zipped = F.arrays_zip(F.array(*[F.lit(c) for c in columns]).alias("column"), *[n for m, n in METRICS.items() if m != "count"])
+    zipped = F.arrays_zip(F.lit(names).alias("column"), *[n for m, n in METRICS.items() if m != "count"])
     return (
         one_row.select(*arrays)
         .select("count", F.explode(zipped).alias("z"))
@@ -47,10 +64,11 @@ def _matrix_rows(df: DataFrame, matrix, labels: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(data, "i string, j string, corr double")
 
 
-def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Correlation of all pairs of columns as ``(i, j, corr)``; one pass that moves only column sums."""
-    matrix = Correlation.corr(assemble(df, columns, keep=[]), "features", "pearson").first()[0]
-    return _matrix_rows(df, matrix, columns)
+def pearson(df: DataFrame, columns: list[str] | str) -> DataFrame:
+    """Correlation of all pairs of columns, or of positions of an array column, as ``(i, j, corr)``; only
+    sums per column and pair move."""
+    matrix = Correlation.corr(vectors_of(df, columns), "features", "pearson").first()[0]
+    return _matrix_rows(df, matrix, names_of(df, columns))
 
 
 def spearman(df: DataFrame, columns: list[str], row_id: list[str] | None = None, wide_up_to: int = WIDE) -> DataFrame:
