@@ -11,7 +11,7 @@ from gaugework.sources.tables import load, spread
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
+    return spread(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id")
 
 
 def as_text(df: DataFrame) -> DataFrame:

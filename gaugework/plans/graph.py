@@ -64,7 +64,7 @@ FROM counts JOIN sizes USING (term) GROUP BY 1, 2
 """,
 )
 def inverted_index(spark, sf):
-    documents = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    documents = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     index = graph.inverted_index(documents, "doc_id", "text", block=256)
     shown = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc"], p["tf"])), " ")
     return index.withColumn("postings", shown)

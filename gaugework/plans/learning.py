@@ -18,11 +18,12 @@ ROW_ID = ["row_file", "row_index"]
 PREDICTORS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
-def examples(spark: SparkSession, sf: str, label: F.Column | None = None) -> DataFrame:
-    """Order lines with four features (line number as the category) and the price or another label."""
-    lines = with_row_id(load(spark, sf, "lineitem"))
+def examples(spark: SparkSession, sf: str, label: F.Column | None = None, heavy: bool = False) -> DataFrame:
+    """Order lines with four features (line number as the category) and the price or another label.
+    ``heavy`` fits get a part of a small table per core."""
     label = F.col("l_extendedprice") if label is None else label
-    return spread(assemble(lines, PREDICTORS, keep=[*ROW_ID, label.cast("double").alias("label")]))
+    lines = with_row_id(load(spark, sf, "lineitem")).select(*ROW_ID, *PREDICTORS, label.cast("double").alias("label"))
+    return assemble(spread(lines, "row_index") if heavy else lines, PREDICTORS, keep=[*ROW_ID, "label"])
 
 
 def is_returned() -> F.Column:
@@ -110,7 +111,7 @@ def naive_bayes(spark, sf):
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    documents = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return documents.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
@@ -163,7 +164,7 @@ LEFT JOIN counts c ON c.label = p.label AND c.word = s.word GROUP BY 1, 2
 def text_bayes_score(spark, sf):
     train = labelled_documents(spark, sf)
     model, labels = bayes.text_bayes(train, "text", "quality"), bayes.text_bayes_labels(train, "text", "quality")
-    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return bayes.text_bayes_score(model, labels, docs, "doc_id", "text").withColumn("score", F.round("score", 4))
 
 
@@ -180,7 +181,7 @@ def train_test_split(spark, sf):
 
 
 def held_out(fit, spark: SparkSession, sf: str) -> DataFrame:
-    train, test = learning.train_test_split(examples(spark, sf), ROW_ID)
+    train, test = learning.train_test_split(examples(spark, sf, heavy=True), ROW_ID)
     return scored(fit(train), test)
 
 

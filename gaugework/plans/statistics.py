@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.numbers import seven_digits
 from gaugework.operators import matrix, statistics
 from gaugework.plans.registry import query
-from gaugework.sources.tables import load, spread
+from gaugework.sources.tables import load
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -44,7 +44,7 @@ def pairs_sql(columns: list[str], expression: str, source: str) -> str:
 
 @query("pearson", pairs_sql(NUMERIC, "round(corr(?1, ?2), 6)", "lineitem"))
 def pearson(spark, sf):
-    return statistics.pearson(spread(load(spark, sf, "lineitem").select(*NUMERIC)), NUMERIC).withColumn("corr", F.round("corr", 6))
+    return statistics.pearson(load(spark, sf, "lineitem"), NUMERIC).withColumn("corr", F.round("corr", 6))
 
 
 MEAN_RANKS = ", ".join(
@@ -58,8 +58,7 @@ MEAN_RANKS = ", ".join(
     + pairs_sql(NUMERIC, "round(corr(?1::DOUBLE, ?2::DOUBLE), 6)", "ranked"),
 )
 def spearman(spark, sf):
-    lines = spread(load(spark, sf, "lineitem").select(*NUMERIC))
-    return statistics.spearman(lines, NUMERIC).withColumn("corr", F.round("corr", 6))
+    return statistics.spearman(load(spark, sf, "lineitem"), NUMERIC).withColumn("corr", F.round("corr", 6))
 
 
 def categories(spark: SparkSession, sf: str) -> DataFrame:
