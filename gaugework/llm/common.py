@@ -48,3 +48,20 @@ def running_sum(df: DataFrame, group: list[str], cell: str, order: list[str], we
         .withColumn(name, F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
         .drop("_before")
     )
+
+
+HOT_SHARE = 1000
+
+
+def look_up(rows: DataFrame, entries: DataFrame, on: list[str], size: str, bar: int) -> DataFrame:
+    """Left join of ``rows`` to ``entries`` (one per key), where ``size`` tells how many rows have the key.
+
+    Entries above ``bar`` go by broadcast, so a hot key is never shuffled; with a bar of 1/HOT_SHARE of the rows there are
+    fewer than HOT_SHARE of them. The rest is an equi-join. The keys must not be null.
+    """
+    given = [c for c in entries.columns if c not in on]
+    hot = F.broadcast(entries.where(F.col(size) > bar))
+    near = rows.join(hot, on, "left")
+    done = near.where(F.col(size).isNotNull())
+    rest = near.where(F.col(size).isNull()).drop(*given)
+    return done.unionByName(rest.join(entries.where(F.col(size) <= bar), on, "left"))

@@ -14,11 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import materialise
+from gaugework.llm.common import HOT_SHARE, look_up, materialise
 from gaugework.session import shuffle_partitions
 
 KEY_BITS = 60
-HOT_SHARE = 1000
 
 
 def text_key(sha: Column) -> Column:
@@ -80,15 +79,9 @@ def find_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     """
     keys, index = build_index(docs, text, id_column, capacity)
     copied = index.where("group_size > 1").select("key", "text_sha256", "keep_id", "group_size")
-    bar = max(1, keys.count() // HOT_SHARE)
-    hot = copied.where(F.col("group_size") > bar).withColumnsRenamed({"keep_id": "_hot_id", "group_size": "_hot_size"})
-    near = keys.join(F.broadcast(hot), ["key", "text_sha256"], "left")
-    done = near.where("_hot_size is not null").withColumnsRenamed({"_hot_id": "keep_id", "_hot_size": "group_size"})
-    rest = near.where("_hot_size is null").drop("_hot_id", "_hot_size")
-    rest = rest.join(copied.where(F.col("group_size") <= bar), ["key", "text_sha256"], "left")
-    alone = F.col("group_size").isNull()
-    rest = rest.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
-    rows = done.unionByName(rest.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))))
+    rows = look_up(keys, copied, ["key", "text_sha256"], "group_size", max(1, keys.count() // HOT_SHARE))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    rows = rows.withColumns({"keep_id": keep, "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.llm import exact_dedup, mixing, quality, sharding
+from gaugework.llm import bpe, exact_dedup, mixing, quality, sharding, warc
 from gaugework.llm.registry import query
 from gaugework.sources.tables import load
 
@@ -84,3 +84,22 @@ def op3_quality_rules(spark, folder):
 )
 def op5_exact_dedup(spark, folder):
     return exact_dedup.find_copies(load(spark, folder, "documents"))
+
+
+@query("op8_bpe")
+def op8_bpe(spark, folder):
+    import public_tokenizers
+
+    docs = load(spark, folder, "documents")
+    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op7_warc")
+def op7_warc(spark, folder):
+    index, archives = warc.archive_pages(load(spark, folder, "pages"), least_bytes=0)
+    return warc.read_archives(index, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
