@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.llm import bpe, exact_dedup, mixing, quality, sharding, warc
+from gaugework.llm import bpe, exact_dedup, jaccard_join, mixing, quality, sharding, warc
 from gaugework.llm.registry import query
 from gaugework.sources.tables import load
 
@@ -103,3 +103,9 @@ def op7_warc(spark, folder):
     return warc.read_archives(index, archives).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark, folder):
+    found = jaccard_join.near_duplicates(load(spark, folder, "documents"), width=5, percent=75)
+    return found.select("doc_id", "n_shingles", "component_id")
