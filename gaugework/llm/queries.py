@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.llm import bpe, exact_dedup, jaccard_join, mixing, quality, sharding, warc
+from gaugework.llm import bpe, exact_dedup, jaccard_join, mixing, quality, sharding, toxicity, warc
 from gaugework.llm.registry import query
 from gaugework.sources.tables import load
 
@@ -109,3 +109,12 @@ def op7_warc(spark, folder):
 def op4_jaccard_join(spark, folder):
     found = jaccard_join.near_duplicates(load(spark, folder, "documents"), width=5, percent=75)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, folder):
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, load(spark, folder, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_documents(docs, model, keep=["doc_id"])
+    verdict = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", verdict.alias("predicted"))
