@@ -25,6 +25,8 @@ EVIDENCE_BITS = 22
 SAMPLE_ROWS = 12_000
 LEAST_DOCS = 4
 TOP = 4
+#: Lengths in bytes of the heads of words that carry evidence of their own; stems of insults take many endings.
+PREFIXES = (4, 5, 6, 8)
 THRESHOLD = 0.3
 CACHED_CHUNKS = 100_000
 STEP = 512
@@ -165,7 +167,7 @@ def _obscured(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 class Evidence:
-    """Hashed features of the restored texts of a batch: whole words and their first four and five bytes."""
+    """Hashed features of the restored texts of a batch: the distinct words of each, whole and by their heads."""
 
     def __init__(self, model: np.ndarray):
         self.restorer = Restorer(model)
@@ -194,31 +196,31 @@ class Evidence:
         first, last = _bounds(masked)
         return first, last, np.searchsorted(text_start, first, side="right") - 1, pieces
 
-    def features(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, bucket) of every distinct feature of each text, sorted by text; and the number of words of each text."""
+    def features(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The text of every distinct word of each text, and the buckets of the word and of its heads (-1: too short)."""
         raw, start = text_bytes(column)
         low = _LOWER[raw]
         first, last, text, pieces = self.restored(low, start)
-        hashed = [self.hashes(low, first, last, text)]
+        texts, buckets = [text], [self.buckets(low, first, last)]
         if pieces:
             more = np.frombuffer(b"".join(p + b" " for _, p in pieces), dtype=np.uint8)
             of = np.repeat([t for t, _ in pieces], [len(p) + 1 for _, p in pieces])
             a, b = _bounds(_LETTER[more])
-            hashed.append(self.hashes(more, a, b, of[a]))
-        words = np.bincount(np.concatenate([h[0] for h in hashed]), minlength=len(column))
-        both = np.concatenate([t << np.int64(EVIDENCE_BITS) | h for texts, *sets in hashed for t, h in sets])
-        both = np.unique(both)
-        return both >> EVIDENCE_BITS, both & ((1 << EVIDENCE_BITS) - 1), words
+            texts.append(of[a])
+            buckets.append(self.buckets(more, a, b))
+        text, found = np.concatenate(texts), np.concatenate(buckets)
+        _, distinct = np.unique(text.astype(np.int64) << EVIDENCE_BITS | found[:, 0], return_index=True)
+        return text[distinct], found[distinct]
 
     @staticmethod
-    def hashes(low: np.ndarray, first: np.ndarray, last: np.ndarray, text: np.ndarray):
-        size, made = last - first, []
-        for length, salt in ((0, 1), (4, 2), (5, 3)):
-            pick = size > length
-            end = last[pick] if not length else first[pick] + length
-            h = mix(word_hashes(low, first[pick], end) + np.uint64(salt))
-            made.append((text[pick].astype(np.int64), (h >> np.uint64(64 - EVIDENCE_BITS)).astype(np.int64)))
-        return (text, *made)
+    def buckets(low: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = np.full((len(first), 1 + len(PREFIXES)), -1, dtype=np.int64)
+        for column, length in enumerate((0, *PREFIXES)):
+            pick = last - first > length
+            end = first[pick] + length if length else last[pick]
+            h = mix(word_hashes(low, first[pick], end) + np.uint64(length))
+            out[pick, column] = (h >> np.uint64(64 - EVIDENCE_BITS)).astype(np.int64)
+        return out
 
 
 _TO_SPACE = bytes(32 if _SPACE[b] else b for b in range(256))
@@ -259,7 +261,7 @@ def _top(evidence: np.ndarray, text: np.ndarray, count: int) -> np.ndarray:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
-    odds = np.log((toxic + 0.5) / (all_toxic + 1) * (all_clean + 1) / (clean + 0.5))
+    odds = np.log((toxic + 0.5) / (all_toxic + 1) * (all_clean + 1) / (np.maximum(clean, 0) + 0.5))
     return np.where(toxic >= LEAST_DOCS, np.maximum(odds, 0), 0.0)
 
 
@@ -285,14 +287,14 @@ class Model:
     def __init__(self, trigrams: np.ndarray, buckets: np.ndarray, evidence: np.ndarray, weights: np.ndarray):
         self.trigrams, self.buckets, self.evidence, self.weights = trigrams, buckets, evidence, weights
 
-    def score(self, features: Evidence, column: pa.Array) -> np.ndarray:
-        text, bucket, _ = features.features(column)
-        if len(self.buckets):
-            at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
-            hit = self.buckets[at] == bucket
-            x = _top(self.evidence[at[hit]], text[hit], len(column))
-        else:
-            x = np.zeros((len(column), TOP + 1))
+    def table(self) -> np.ndarray:
+        out = np.zeros((1 << EVIDENCE_BITS) + 1, dtype=np.float32)
+        out[self.buckets] = self.evidence
+        return out
+
+    def score(self, features: Evidence, table: np.ndarray, column: pa.Array) -> np.ndarray:
+        text, found = features.features(column)
+        x = _top(table[found].max(axis=1), text, len(column))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -314,11 +316,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SA
         for batch in batches:
             toxic = batch.column(1).to_numpy()
             for at in range(0, batch.num_rows, STEP):
-                text_of, bucket, _ = features.features(batch.column(0).slice(at, STEP))
+                text_of, found = features.features(batch.column(0).slice(at, STEP))
                 label = toxic[at : at + STEP]
                 docs_seen += np.bincount(label, minlength=2)
+                once = np.unique((text_of[:, None].astype(np.int64) << EVIDENCE_BITS | found)[found >= 0])
+                of, bucket = once >> EVIDENCE_BITS, once & (space - 1)
                 for k in (0, 1):
-                    tables[k] += np.bincount(bucket[label[text_of] == k], minlength=space).astype(np.int32)
+                    tables[k] += np.bincount(bucket[label[of] == k], minlength=space).astype(np.int32)
         seen = np.flatnonzero(tables.any(axis=0))
         made = [np.append(seen, -1), np.append(tables[1][seen], docs_seen[1]), np.append(tables[0][seen], docs_seen[0])]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], ["bucket", "t", "c"])
@@ -338,22 +342,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SA
     shared = docs.sparkSession.sparkContext.broadcast((bucket, t, c))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, toxic_docs, clean_docs = shared.value
+        known, t, c = shared.value
+        toxic_docs, clean_docs = np.zeros((2, (1 << EVIDENCE_BITS) + 1))
+        toxic_docs[known], clean_docs[known] = t, c
         features = Evidence(trigrams)
         for batch in batches:
             toxic = batch.column(1).to_numpy()
             for begin in range(0, batch.num_rows, STEP):
                 texts = batch.column(0).slice(begin, STEP)
                 label = toxic[begin : begin + STEP]
-                text_of, found, _ = features.features(texts)
-                x = np.zeros((len(texts), TOP + 1))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    hit = known[at] == found
-                    at, text_of = at[hit], text_of[hit]
-                    own = label[text_of]
-                    left = log_odds(toxic_docs[at] - own, clean_docs[at] - (1 - own), all_toxic, all_clean)
-                    x = _top(left, text_of, len(texts))
+                text_of, found = features.features(texts)
+                own = label[text_of][:, None]
+                left = log_odds(toxic_docs[found] - own, clean_docs[found] - (1 - own), all_toxic, all_clean)
+                x = _top(left.max(axis=1), text_of, len(texts))
                 rows = [pa.array(list(x), pa.list_(pa.float64())), pa.array(label, pa.int32()), batch.column(2).slice(begin, STEP)]
                 yield pa.RecordBatch.from_arrays(rows, ["x", "toxic", "weight"])
 
@@ -375,10 +376,10 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        features = Evidence(known.trigrams)
+        features, table = Evidence(known.trigrams), known.table()
         for batch in batches:
             column = batch.column(len(keep))
-            parts = [known.score(features, column.slice(at, STEP)) for at in range(0, batch.num_rows, STEP)]
+            parts = [known.score(features, table, column.slice(at, STEP)) for at in range(0, batch.num_rows, STEP)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
 
