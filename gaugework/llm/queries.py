@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.llm import bpe, exact_dedup, jaccard_join, mixing, quality, sharding, toxicity, warc
+from gaugework.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality, sharding, toxicity, warc
 from gaugework.llm.registry import query
 from gaugework.sources.tables import load
 
@@ -118,3 +118,11 @@ def op9_toxicity(spark, folder):
     scored = toxicity.score_documents(docs, model, keep=["doc_id"])
     verdict = (F.col("score") >= toxicity.THRESHOLD).cast("int")
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", verdict.alias("predicted"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark, folder):
+    found = licenses.scan_licenses(load(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
