@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality, sharding, toxicity, warc
+from gaugework.llm import bpe, exact_dedup, html_text, jaccard_join, licenses, mixing, quality, sharding, toxicity, warc
 from gaugework.llm.registry import query
 from gaugework.sources.tables import load
 
@@ -126,3 +126,10 @@ def op6_license_scan(spark, folder):
     return found.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+@query("op10_html_text")
+def op10_html_text(spark, folder):
+    pages = load(spark, folder, "pages")
+    found = html_text.extract(pages, html_text.train(pages), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
