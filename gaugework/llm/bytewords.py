@@ -81,11 +81,11 @@ def word_hashes(lowered: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
         end = int(np.searchsorted(last, begin + block, side="right"))
         if end <= at:
             word = lowered[first[at] : last[at]].astype(np.uint64) + np.uint64(1)
-            total = np.uint64(0)
+            total = np.zeros(1, dtype=np.uint64)
             for k in range(0, len(word), block):
                 piece = word[k : k + block]
-                total = mix(np.array([total + (piece * _PLACES[: len(piece)]).sum(dtype=np.uint64)], dtype=np.uint64))[0]
-            out[at] = total
+                total = mix(total + (piece * _PLACES[: len(piece)]).sum(dtype=np.uint64))
+            out[at] = total[0]
             at += 1
             continue
         span = lowered[begin : last[end - 1]].astype(np.uint64) + np.uint64(1)

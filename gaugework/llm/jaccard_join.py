@@ -9,10 +9,11 @@ n - ceil(t n) + 1 elements of that order at least once, and in one more element
   enter there too;
 - the boundary is the size up to which enumerating subsets costs less than scanning lists, by the mean list length.
 
-A list is not expanded into all pairs. First each member is compared with one member of its list; verified links
-give components. Then only members of different components of one list are compared, in blocks, under size and
-position filters that no link fails. Exact copies are one class throughout. So every link between classes is either verified
-or implied by verified ones, and components are those of all links.
+A list is not expanded into all pairs. First each set is compared with the one leader it shares most lists with; verified
+links give components. Then, list by list and in blocks, only members of different components are counted against each other,
+and a pair is compared if it shares as many lists as any link must: of the first n - ceil(t n) + 1 elements no more than the
+n - overlap that a link may lack. Exact copies are one class throughout. So every link between classes is either verified
+or inside a component of verified ones, and components are those of all links.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.bytewords import mix, shingle_sets
@@ -31,7 +32,7 @@ from gaugework.session import shuffle_partitions
 #: Shingles counted together before those that occur once are let go.
 COUNT_BLOCK = 4_000_000
 #: Frequent shingles are those above a count chosen so that no more than this many can exist.
-MOST_FREQUENT = 4_000_000
+MOST_FREQUENT = 16_000_000
 LEAST_FREQUENT = 8
 #: Members of one part of a frequent shingle's list, and of a block when members are compared.
 PART_ROWS = 1000
@@ -121,8 +122,7 @@ def _ordered(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
 
 
 def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) -> DataFrame:
-    """The list entries ``sig, part, fp, n, skip`` of every class (once a task). ``skip`` elements of the set come before
-    the key and are not shared with whoever shares the key first."""
+    """The list entries ``sig, part, fp, n, subset`` of every class (once a task); ``subset`` tells lists of pairs of elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = frequent.value
@@ -131,14 +131,14 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
         held = 0
 
         def flush() -> pa.RecordBatch:
-            names = ["sig", "part", "fp", "n", "skip"]
+            names = ["sig", "part", "fp", "n", "subset"]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
 
-        def add(keys: np.ndarray, count: np.ndarray, skip: np.ndarray, print_: int, n: int) -> None:
+        def add(keys: np.ndarray, count: np.ndarray, subset: bool, print_: int, n: int) -> None:
             parts = count // PART_ROWS
             part = np.where(parts > 0, (print_ & 0x7FFFFFFF) % np.maximum(parts + 1, 1), -1).astype(np.int32)
             some = len(keys)
-            rows.append((keys.view(np.int64), part, np.full(some, print_, np.int64), np.full(some, n, np.int32), skip.astype(np.int32)))
+            rows.append((keys.view(np.int64), part, np.full(some, print_, np.int64), np.full(some, n, np.int32), np.full(some, subset)))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -151,11 +151,11 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
                     s, count = _ordered(s, shingles, counts)
                     if n <= limit:
                         i, j = np.triu_indices(n - least + 2, 1)
-                        add(mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + mix(s[j])), np.minimum(count[i], count[j]), j - 1, print_, n)
+                        add(mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + mix(s[j])), np.minimum(count[i], count[j]), True, print_, n)
                         held += len(i)
                     if n > limit or 100 * n >= percent * (limit + 1):
                         first = n - least + 1
-                        add(mix(s[:first]), count[:first], np.arange(first), print_, n)
+                        add(mix(s[:first]), count[:first], False, print_, n)
                         held += first
                     if held >= EMIT_ROWS:
                         yield flush()
@@ -163,28 +163,28 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
         if rows:
             yield flush()
 
-    return docs.mapInArrow(run, "sig long, part int, fp long, n int, skip int")
+    return docs.mapInArrow(run, "sig long, part int, fp long, n int, subset boolean")
 
 
 def lists(listed: DataFrame) -> DataFrame:
     """Members of every list with two or more, each with the one member (of median size) that it meets first."""
-    names = ["sig", "fp", "n", "skip", "lead", "lead_n", "lead_skip"]
+    names = ["sig", "fp", "n", "subset", "lead", "lead_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def members(columns: list[np.ndarray]) -> pa.RecordBatch:
-            sig, part, fp, n, skip = columns
+            sig, part, fp, n, subset = columns
             fresh = np.ones(len(sig), bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])
-            sig, part, fp, n, skip = (c[fresh] for c in columns)
+            sig, part, fp, n, subset = (c[fresh] for c in columns)
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
             start = np.flatnonzero(new)
             size = np.diff(np.append(start, len(sig)))
             lead = np.repeat(start + size // 2, size)
             keep = np.repeat(size > 1, size) | (part >= 0)
-            made = [sig, fp, n, skip, fp[lead], n[lead], skip[lead]]
+            made = [sig, fp, n, subset, fp[lead], n[lead]]
             return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in made], names)
 
         for batch in batches:
@@ -203,43 +203,57 @@ def lists(listed: DataFrame) -> DataFrame:
 
     parts = shuffle_partitions(listed.sparkSession)
     dealt = listed.repartition(parts, "sig", "part").sortWithinPartitions("sig", "part", "n", "fp")
-    return dealt.mapInArrow(run, "sig long, fp long, n int, skip int, lead long, lead_n int, lead_skip int")
+    return dealt.mapInArrow(run, "sig long, fp long, n int, subset boolean, lead long, lead_n int")
 
 
-def _may_link(n: str, skip: str, m: str, skip2: str, percent: int):
-    least = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
-    return (least <= F.expr(f"{n} - {skip}")) & (least <= F.expr(f"{m} - {skip2}"))
+def needed_lists(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Lists of single elements that linked sets of sizes n and m share at least."""
+    return least_overlap(n, m, percent) + (-percent * np.maximum(n, m) // 100) + 1
+
+
+def leaders(members: DataFrame, percent: int) -> DataFrame:
+    """For each set the leader ``b`` that it shares most lists with, if those are at least half of what a link needs."""
+    least = F.expr(f"({percent} * (n + lead_n) + {99 + percent}) div {100 + percent}")
+    need = least - F.expr(f"({percent} * greatest(n, lead_n) + 99) div 100") + 1
+    met = members.where("fp != lead").select("fp", "lead", F.when(F.col("subset"), 1).otherwise(need).alias("need"))
+    met = met.groupBy("fp", "lead").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("2 * met >= need")
+    best = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("met"), "lead"))
+    chosen = met.withColumn("_place", best).where("_place = 1")
+    return chosen.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
 
 
 def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of members of one list that are in different components and pass the filters.
+    """Pairs ``a, b`` of different components that share as many lists as a link needs.
 
     Lists are cut into blocks, and each two blocks of a list meet in a task of their own.
     """
-    named = members.select("sig", "fp", "n", "skip").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = members.select("sig", "fp", "n", "subset").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = materialise(named, "join-members")
     apart = named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_size"))
     apart = apart.where("_low != _high").select("sig", F.ceil(F.col("_size") / BLOCK_ROWS).cast("int").alias("_blocks"))
     blocks = named.join(apart, "sig").withColumn("_own", F.expr("cast(pmod(xxhash64(fp), _blocks) as int)"))
     blocks = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
         "sig", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") <= F.col("_other")).alias("left"),
-        "fp", "n", "skip", "label",
+        "fp", "n", "subset", "label",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def compare(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            _, i, j, left, fp, n, skip, label = columns
+        def compare(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+            _, i, j, left, fp, n, subset, label = columns
             inside = i[0] == j[0]
             x = np.arange(len(fp)) if inside else np.flatnonzero(left)
             y = x if inside else np.flatnonzero(~left)
-            least = least_overlap(n[x][:, None].astype(np.int64), n[y][None, :].astype(np.int64), percent)
-            fit = (label[x][:, None] != label[y][None, :]) & (least <= (n - skip)[x][:, None]) & (least <= (n - skip)[y][None, :])
+            n = n.astype(np.int64)
+            least = least_overlap(n[x][:, None], n[y][None, :], percent)
+            fit = (label[x][:, None] != label[y][None, :]) & (least <= n[x][:, None]) & (least <= n[y][None, :])
             if inside:
                 fit = np.triu(fit, 1)
             p, q = np.nonzero(fit)
-            return fp[x[p]], fp[y[q]]
+            p, q = x[p], y[q]
+            need = np.ones(len(p), np.int64) if subset[0] else needed_lists(n[p], n[q], percent)
+            return np.minimum(fp[p], fp[q]), np.maximum(fp[p], fp[q]), need
 
         def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(columns[0]), bool)
@@ -251,12 +265,8 @@ def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                     found.append(compare([c[begin:end] for c in columns]))
                     held += len(found[-1][0])
                 if found and (held >= EMIT_ROWS or end == edge[-1]):
-                    a, b = (np.concatenate(c) for c in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "need"])
                     found, held = [], 0
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -274,7 +284,8 @@ def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     parts = shuffle_partitions(members.sparkSession)
     dealt = blocks.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    met = dealt.mapInArrow(run, "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
+    return met.where("met >= need").select("a", "b")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -350,29 +361,32 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``fp, label``: the smallest node of the component of every linked node.
+    """``fp, label``: for every linked node but the least of its component, that least node.
 
-    Each round takes the least label among the neighbours, then the label of the label; hubs and labels of crowds are looked up by
-    broadcast. Rounds end when no label falls.
+    A large star step moves the neighbours above each node to the least of its neighbourhood, a small one those below and
+    the node itself; they take turns until each node hangs on one root and no root on another. The least neighbours of hubs
+    are looked up by broadcast.
     """
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "join-links")
-    degrees = materialise(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "join-degrees")
-    bar = max(1, both.count() // HOT_SHARE)
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("label"))
-    before = None
+    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "join-links")
+    bar = max(1, 2 * edges.count() // HOT_SHARE)
+
+    def least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        low = rows.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("_n"))
+        return look_up(rows, low, ["u"], "_n", bar), low
+
     while True:
-        labels = materialise(labels, "join-labels")
-        state = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if state == before:
-            return labels
-        before = state
-        named = labels.join(degrees.withColumnRenamed("a", "fp"), "fp").withColumnRenamed("fp", "a")
-        heard = look_up(both, named, ["a"], "degree", bar)
-        told = heard.select(F.col("b").alias("fp"), "label").union(labels.select("fp", "label")).groupBy("fp").agg(F.min("label").alias("label"))
-        sizes = told.groupBy("label").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("label", "fp")
-        roots = told.join(sizes, "fp").select(F.col("fp").alias("label"), F.col("label").alias("_root"), "_size")
-        jumped = look_up(told, roots, ["label"], "_size", bar)
-        labels = jumped.select("fp", F.least("label", F.coalesce("_root", "label")).alias("label"))
+        ends = edges.select(F.col("a").alias("x"), F.col("b").alias("up"), F.lit(0).alias("root")).union(
+            edges.select(F.col("b"), F.lit(None).cast("long"), F.lit(1))
+        )
+        nodes = ends.groupBy("x").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max("root").alias("root"))
+        if not nodes.where("low != high or (root = 1 and low is not null)").limit(1).count():
+            return edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        large = least(both)[0].where("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v"))
+        large = materialise(large.distinct(), "join-large")
+        near, low = least(large)
+        small = near.where("v != low").select("v", "low").union(low.select("u", "low")).toDF("a", "b")
+        edges = materialise(small.distinct(), "join-small")
 
 
 def near_duplicates(
@@ -400,13 +414,12 @@ def near_duplicates(
 
     only = texts.select("text")
     members = materialise(lists(entries(only, width, percent, limit, frequent)), "join-lists")
-    starred = members.where((F.col("fp") != F.col("lead")) & _may_link("n", "skip", "lead_n", "lead_skip", percent))
-    starred = materialise(starred.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct(), "join-star")
+    starred = materialise(leaders(members, percent), "join-leaders")
     links = materialise(verify(only, starred, width, percent), "join-first")
     labels = components(links)
     others = materialise(across(members, labels, percent).join(starred, ["a", "b"], "left_anti"), "join-across")
     more = materialise(verify(only, others, width, percent), "join-second")
-    labels = components(labels.select(F.col("fp").alias("a"), F.col("label").alias("b")).where("a != b").union(more))
+    labels = components(labels.toDF("a", "b").union(more))
 
     bar = max(1, (totals["rows"] or 0) // HOT_SHARE)
     classes = light.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("_copies"), F.min("n").alias("_n"), F.max("n").alias("_m"))

@@ -65,7 +65,40 @@ def op2_sharding(spark, folder):
     )
 
 
-@query("op3_quality_rules")
+STOP_LIST = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words}))
+
+
+@query(
+    "op3_quality_rules",
+    f"""
+    WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    split AS (
+        SELECT rid, doc_id, t, [w FOR w IN regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+') IF w <> ''] AS words,
+            [l FOR l IN string_split(t, chr(10)) IF regexp_matches(l, '[^\\x20\\x09-\\x0D]')] AS lines
+        FROM base),
+    windows AS (
+        SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS gram
+        FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM split)),
+    repeated AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+    covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i, unnest(range(5)) AS k FROM repeated) GROUP BY rid),
+    counted AS (
+        SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+            (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+            coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+            len([w FOR w IN words IF lower(w) IN ({STOP_LIST})]) AS n_stop
+        FROM split LEFT JOIN covered USING (rid)),
+    judged AS (
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            n_words >= 10 AND (word_chars / n_words < 1.5 OR word_chars / n_words > 25 OR n_symbols / n_words > 0.5
+                OR (n_words >= 100 AND n_stop / n_words < 0.002)
+                OR coalesce(n_dup_lines / nullif(n_lines, 0), 0) > 0.7) AS rule_failed
+        FROM counted)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND NOT rule_failed AS kept
+    FROM judged
+    """,
+)
 def op3_quality_rules(spark, folder):
     judged = quality.judge(load(spark, folder, "documents").select("doc_id", "text"))
     return judged.select(
