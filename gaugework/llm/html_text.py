@@ -371,12 +371,15 @@ def _flatten(node) -> tuple[np.ndarray, ...]:
 
 
 def train(pages: DataFrame, html: str = "html", rows: int = SAMPLE_PAGES, layouts: int = LAYOUTS, seed: int = 1) -> Trees:
-    """Fit the trees on at most ``rows`` pages, by the order of a hash of the page, and ``layouts`` new layouts of each.
+    """Fit the trees on at most ``rows`` different pages, by the order of a hash of the page, and ``layouts`` new layouts of each.
 
     Without a page that marks its article there is nothing to learn, and no node is article.
     """
     body = F.coalesce(F.col(html), F.lit(""))
-    sample = pages.select(body.alias("html"), F.xxhash64(F.lit(seed), body).alias("place")).orderBy("place").limit(rows)
+    placed = pages.select(body.alias("html"), F.xxhash64(F.lit(seed), body).alias("place"))
+    # first the last place of the sample, from hashes alone; then only pages up to it move
+    last = placed.select("place").distinct().orderBy("place").limit(rows).agg(F.max("place")).first()[0]
+    sample = placed.where(F.col("place") <= (last if last is not None else 0)).dropDuplicates(["place"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
