@@ -11,8 +11,9 @@ n - ceil(t n) + 1 elements of that order at least once, and in one more element
 
 A list is not expanded into all pairs. First each set is compared with the one leader it shares most lists with; verified
 links give components. Then, list by list and in blocks, only members of different components are counted against each other,
-and a pair is compared if it shares as many lists as any link must: of the first n - ceil(t n) + 1 elements no more than the
-n - overlap that a link may lack. Exact copies are one class throughout. So every link between classes is either verified
+and a pair is open if it shares as many lists as any link must: of the first n - ceil(t n) + 1 elements no more than the
+n - overlap that a link may lack. Of the open pairs each set's best one is compared, the components are joined, and after
+some rounds of that every pair that is still open between components. Exact copies are one class throughout. So every link between classes is either verified
 or inside a component of verified ones, and components are those of all links.
 """
 
@@ -29,8 +30,13 @@ from gaugework.llm.bytewords import mix, shingle_sets
 from gaugework.llm.common import HOT_SHARE, look_up, materialise
 from gaugework.session import shuffle_partitions
 
-#: Shingles counted together before those that occur once are let go.
+#: Shingles counted together before they are handed on; outside the counted share, those that occur once are let go.
 COUNT_BLOCK = 4_000_000
+#: Of 64 equal ranges of shingle hashes, those that are counted exactly. They come first in the global order, so the
+#: elements that lists are made of (a quarter of a set) are from the counted ones in most sets.
+COUNTED_RANGES = 24
+#: Rounds in which each set outside its partners' component is compared with the best partner only.
+BEST_ROUNDS = 2
 #: Frequent shingles are those above a count chosen so that no more than this many can exist.
 MOST_FREQUENT = 16_000_000
 LEAST_FREQUENT = 8
@@ -54,8 +60,9 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 
 def survey(docs: DataFrame, width: int) -> DataFrame:
-    """One scan: ``kind 0`` rows (id, fingerprint, size) for documents, ``kind 1`` rows (shingle, count) for shingles that
-    occur more than once in a block of documents, ``kind 2`` rows (occurrences, distinct) for each block."""
+    """One scan: ``kind 0`` rows (id, fingerprint, size) for documents, ``kind 1`` rows (shingle, count) for the shingles of
+    the counted ranges and any that occur more than once in a block of documents, ``kind 2`` rows (occurrences, distinct) for
+    each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "a", "b", "n"]
@@ -63,7 +70,7 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
 
         def count() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            twice = counts > 1
+            twice = (counts > 1) | _counted(values)
             kinds = np.append(np.full(int(twice.sum()), 1, np.int8), np.int8(2))
             a = np.append(values[twice].view(np.int64), counts.sum())
             return pa.RecordBatch.from_arrays(
@@ -98,6 +105,10 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "kind byte, a long, b long, n int")
 
 
+def _counted(shingles: np.ndarray) -> np.ndarray:
+    return (shingles * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)) < COUNTED_RANGES
+
+
 def boundary(list_length: float, percent: int, most: int = 64) -> int:
     """The largest size up to which pairs of elements cost no more than single elements and the scan of their lists."""
     best = 0
@@ -113,11 +124,11 @@ def boundary(list_length: float, percent: int, most: int = 64) -> int:
 
 def _ordered(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The set in global order with the counts of its frequent shingles (0: not frequent)."""
-    if not len(frequent):
-        return shingles, np.zeros(len(shingles), np.int64)
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    count = np.where(frequent[at] == shingles, counts[at], 0)
-    order = np.lexsort((shingles, count))
+    count = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        count = np.where(frequent[at] == shingles, counts[at], 0)
+    order = np.lexsort((shingles, ~_counted(shingles), count))
     return shingles[order], count[order]
 
 
@@ -285,7 +296,23 @@ def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     parts = shuffle_partitions(members.sparkSession)
     dealt = blocks.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     met = dealt.mapInArrow(run, "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
-    return met.where("met >= need").select("a", "b")
+    return met.where("met >= need").select("a", "b", "met")
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """For each set the pair with the partner it shares most lists with."""
+    both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other"), "met")
+    both = both.union(pairs.select("b", "a", "met"))
+    best = both.groupBy("fp").agg(F.max(F.struct("met", "other")).alias("x")).select("fp", "x.other")
+    return best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in ("a", "b"):
+        label = labels.select(F.col("fp").alias(end), F.col("label").alias(f"_{end}"))
+        pairs = pairs.join(label, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    return pairs.where("_a != _b").drop("_a", "_b")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -418,8 +445,15 @@ def near_duplicates(
     links = materialise(verify(only, starred, width, percent), "join-first")
     labels = components(links)
     others = materialise(across(members, labels, percent).join(starred, ["a", "b"], "left_anti"), "join-across")
-    more = materialise(verify(only, others, width, percent), "join-second")
-    labels = components(labels.toDF("a", "b").union(more))
+    for turn in range(BEST_ROUNDS + 1):
+        if others.isEmpty():
+            break
+        # first each set's best partner, which settles most; at last all that is still open
+        chosen = materialise(best_partners(others) if turn < BEST_ROUNDS else others.select("a", "b"), "join-chosen")
+        more = materialise(verify(only, chosen, width, percent), "join-more")
+        labels = components(labels.toDF("a", "b").union(more))
+        if turn < BEST_ROUNDS:
+            others = materialise(apart(others.join(chosen, ["a", "b"], "left_anti"), labels), "join-open")
 
     bar = max(1, (totals["rows"] or 0) // HOT_SHARE)
     classes = light.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("_copies"), F.min("n").alias("_n"), F.max("n").alias("_m"))
