@@ -133,14 +133,21 @@ def gen_sentences(ids: DataFrame, words: int, mean_length: int = 20, seed: int =
 
 
 def gen_graph(ids: DataFrame, vertices: int, degree: int = 20, centers: int = 40, seed: int = SEED) -> DataFrame:
-    """``(src, dst, weight)``: ``degree`` draws per vertex among the vertices of its centre, ids below
-    ``vertices``; draws of the vertex itself are left out."""
-    in_center = max(vertices // centers, 1)
+    """``(src, dst, weight)``: ``degree`` draws per id among the vertices of its centre. Ids are taken modulo
+    ``vertices``, so sources and targets lie below it; a draw of the vertex itself becomes the next of its centre. Every
+    centre has at least two vertices where there are two."""
+    centers = max(1, min(centers, vertices // 2))
+    src = F.pmod("id", F.lit(vertices))
+    own = F.pmod(src, F.lit(centers))
+    # vertices of a centre: own, own + centers, ... below the number of vertices
+    in_center = F.floor((F.lit(vertices - 1) - own) / centers) + 1
 
     def target(j: Column) -> Column:
-        return F.pmod("id", F.lit(centers)) + F.lit(centers) * whole(in_center, F.col("id"), F.lit("dst"), j, seed=seed)
+        drawn = F.floor(uniform(F.col("id"), F.lit("dst"), j, seed=seed) * in_center)
+        place = F.when(own + F.lit(centers) * drawn == src, F.pmod(drawn + 1, in_center)).otherwise(drawn)
+        return (own + F.lit(centers) * place).cast("bigint")
 
-    edges = ids.select(F.col("id").alias("src"), F.explode(F.array_distinct(each(degree, target))).alias("dst"))
+    edges = ids.select(src.alias("src"), F.explode(F.array_distinct(each(degree, target))).alias("dst")).distinct()
     weight = uniform(F.col("src"), F.col("dst"), F.lit("weight"), seed=seed)
     return edges.where(F.col("src") != F.col("dst")).withColumn("weight", weight)
 

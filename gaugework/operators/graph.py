@@ -10,14 +10,12 @@ from gaugework.functions.text import explode_tokens
 from gaugework.lineage import cut_lineage
 from gaugework.operators.ranking import top_rows
 from gaugework.session import shuffle_partitions
-from gaugework.skew import MIN_HOT_ROWS, copy_rows, hot_keys, join_keys, split_rows
+from gaugework.skew import copy_rows, hot_keys, join_keys, split_rows
 
 CUT_EVERY = 5
 
 
-def pagerank(
-    edges: DataFrame, iterations: int = 3, damping: float = 0.85, min_hot_rows: int = MIN_HOT_ROWS
-) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 3, damping: float = 0.85) -> DataFrame:
     """Rank ``(node, rank)`` of every vertex of ``edges(src, dst)``; ranks sum to 1.
 
     The edges are shuffled once, with hot sources over several parts, and stay in place: each round
@@ -26,7 +24,7 @@ def pagerank(
     """
     slices = shuffle_partitions(edges.sparkSession)
     links = edges.select("src", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    hot = hot_keys(links, "src", min_rows=min_hot_rows)
+    hot = hot_keys(links, "src")
     placed = split_rows(links, "src", hot, ["dst"]).repartition(slices, *join_keys("src", hot))
     placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
     placed.count()  # filled before its first join: only then do the joins see that it is partitioned
@@ -85,7 +83,7 @@ def inverted_index(docs: DataFrame, doc_id: str, text: str, block: int = 1024) -
     return blocks.join(sizes, "term").select("term", "block", "df", "postings")
 
 
-def n_hop_weight(edges: DataFrame, hops: int = 2, top: int = 3, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def n_hop_weight(edges: DataFrame, hops: int = 2, top: int = 3) -> DataFrame:
     """The ``top`` strongest vertices exactly ``hops`` steps away from each vertex.
 
     The weight of a path is the product of its edges, and paths with the same ends add up. All paths
@@ -94,7 +92,7 @@ def n_hop_weight(edges: DataFrame, hops: int = 2, top: int = 3, min_hot_rows: in
     links = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     if hops > 1:
         links = cut_lineage(links)
-        hot = hot_keys(links, "src", min_rows=min_hot_rows)
+        hot = hot_keys(links, "src")
         renamed = {"src": "middle", "dst": "end", "weight": "step"}
         step = split_rows(links, "src", hot, ["dst"]).withColumnsRenamed(renamed)
     paths = links
@@ -108,4 +106,4 @@ def n_hop_weight(edges: DataFrame, hops: int = 2, top: int = 3, min_hot_rows: in
         )
         if hop < hops:
             paths = cut_lineage(paths)
-    return top_rows(paths, ["src"], [F.desc("weight"), F.col("dst")], top, ["dst"])
+    return top_rows(paths, ["src"], [F.desc("weight"), F.col("dst")], top)

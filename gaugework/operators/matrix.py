@@ -14,17 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def few_tasks(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """Merge input pieces, without a shuffle, down to some tasks per core of the cluster."""
-    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def gramian(df: DataFrame, column: str, center: list[float] | None = None) -> DataFrame:
     """Sums of products ``(i, j, value)`` of the columns of a row matrix, i <= j.
 
     Each task adds up its Arrow batches as numpy products and emits one triangle; the shuffle moves
-    those, never products of single rows, and a few tasks per core bound their number however many
-    pieces the table has. ``center`` is subtracted from every row first.
+    those, added up in the map tasks by ``(i, j)``, never products of single rows. ``center`` is subtracted from every row first.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +34,7 @@ def gramian(df: DataFrame, column: str, center: list[float] | None = None) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "value"])
 
     rows = df.select(column).where(F.col(column).isNotNull())
-    triangles = few_tasks(rows).mapInArrow(partial, "i int, j int, value double")
+    triangles = rows.mapInArrow(partial, "i int, j int, value double")
     return triangles.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
@@ -63,7 +57,7 @@ def column_means(df: DataFrame, column: str) -> tuple[int, list[float]]:
 def covariance(df: DataFrame, column: str) -> DataFrame:
     """Sample covariance ``(i, j, value)``, i <= j; the rows are centred before they are multiplied."""
     n, means = column_means(df, column)
-    return gramian(df, column, means).withColumn("value", F.col("value") / F.lit(n - 1))
+    return gramian(df, column, means).withColumn("value", F.try_divide("value", F.lit(n - 1)))
 
 
 def _dense(entries: DataFrame, d: int) -> np.ndarray:

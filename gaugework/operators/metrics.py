@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.operators.ranking import rank_table
@@ -21,14 +21,19 @@ def metric_resample(df: DataFrame, seconds: int = 5, keys: list[str] | None = No
     """First sample of each epoch-aligned bucket per host (and device); ``ts`` becomes the bucket start."""
     keys = ["host"] if keys is None else keys
     values = [c for c in df.columns if c not in keys and c != "ts"]
-    # the whole row goes along with the earliest time, so the values of a bucket come from one sample
-    first = F.min_by(F.struct(*values), F.struct("ts", *values)).alias("_first")
     window = F.window("ts", f"{seconds} seconds")
     if df.isStreaming:
-        grouped, start = df.groupBy(*keys, window.alias("_w")), F.col("_w.start")
-    else:  # grouped by the start itself, a later join on it needs no further shuffle
-        grouped, start = df.withColumn("_start", window["start"]).groupBy(*keys, "_start"), F.col("_start")
-    return grouped.agg(first).select(*keys, start.alias("ts"), *[F.col(f"_first.`{v}`").alias(v) for v in values])
+        # the whole row goes along with the earliest time, so the values of a bucket come from one sample
+        first = F.min_by(F.struct(*values), F.struct("ts", *values)).alias("_first")
+        grouped = df.groupBy(*keys, window.alias("_w")).agg(first)
+        return grouped.select(*keys, F.col("_w.start").alias("ts"), *[F.col(f"_first.`{v}`").alias(v) for v in values])
+    # a limit on the row number is applied in the map tasks too, so a bucket sends one row from each; the buckets are dealt
+    # by their start itself, so a later join on it needs no further shuffle
+    table = df.withColumn("_start", window["start"])
+    first = F.row_number().over(Window.partitionBy(*keys, "_start").orderBy("ts", *[F.col(f"`{v}`") for v in values]))
+    return table.withColumn("_place", first).where("_place = 1").select(
+        *keys, F.col("_start").alias("ts"), *[F.col(f"`{v}`") for v in values]
+    )
 
 
 def metric_device_rollup(df: DataFrame, aggs: list[Column], keys: list[str] | None = None) -> DataFrame:

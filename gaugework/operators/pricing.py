@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.operators.ranking import top_rows
 
 PRODUCT = "Linux/UNIX"
-LATEST = 1000  # a price request returns at most this many records
 PRICE = "decimal(10,6)"
 
 
-def avg_price(history: DataFrame, latest: int = LATEST) -> DataFrame:
-    """Mean price per type and zone over the latest records of the one product."""
+def avg_price(history: DataFrame, latest: int | None = None) -> DataFrame:
+    """Mean price per type and zone over all records of the one product, or over the ``latest`` of each pair."""
     priced = history.where(F.col("product") == PRODUCT).select(
         "instance_type", "az", "ts", F.col("SpotPrice").try_cast(PRICE).alias("_price")
     )
-    newest = [F.desc("ts"), F.desc("_price")]
-    return (
-        top_rows(priced, ["instance_type", "az"], newest, latest, ["ts", "_price"])
-        .groupBy("instance_type", "az")
-        .agg((F.sum("_price").cast("double") / F.count("_price")).alias("price"))
-    )
+    keys = ["instance_type", "az"]
+    if latest is not None:
+        priced = top_rows(priced, keys, [F.desc("ts"), F.desc("_price")], latest)
+    return priced.groupBy(*keys).agg((F.sum("_price").cast("double") / F.count("_price")).alias("price"))
 
 
 def filter_price_percentile(avg: DataFrame, percentile: float = 50) -> DataFrame:
@@ -39,16 +38,15 @@ def filter_price_percentile(avg: DataFrame, percentile: float = 50) -> DataFrame
 
 def create_bids(prices: DataFrame, factor: float = 2) -> DataFrame:
     """Price times factor as text with three decimals, rounded half up on the decimal value."""
-    bid = F.round(F.col("price").cast("decimal(18,9)") * F.lit(str(factor)).cast("decimal(9,3)"), 3)
+    bid = F.round(F.col("price").cast("decimal(18,9)") * F.lit(Decimal(str(factor))), 3)
     return prices.withColumn("bid", bid.cast("decimal(18,3)").cast("string"))
 
 
 def choose_zone(bids: DataFrame, seed: int = 5, order: list[Column] | None = None) -> DataFrame:
     """One zone per type: a reproducible draw by hash, or the first in the given order."""
     order = order or [F.md5(F.concat_ws(" ", "instance_type", "az", F.lit(str(seed)))), F.col("az")]
-    rest = [c for c in bids.columns if c != "instance_type"]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return bids.groupBy("instance_type").agg(first).select("instance_type", "_first.*")
+    place = F.row_number().over(Window.partitionBy("instance_type").orderBy(*order))
+    return bids.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def deployment_filter(df: DataFrame, nodes: tuple[int, int], families: list[str], shapes: list[str]) -> DataFrame:

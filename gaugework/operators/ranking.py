@@ -75,13 +75,14 @@ def global_rank(df: DataFrame, keys: list[str], method: str = "rank", name: str
     return df.join(ranks, on).drop(*[f"_k_{k}" for k in keys])
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, spread_by: list[str], parts: int = 64) -> DataFrame:
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, parts: int | None = None) -> DataFrame:
     """The first ``n`` rows of each group.
 
     A limit on a row number is applied inside each map task too, yet a group that fills the table still
-    sends ``n`` rows from every task to one place. So the group is cut to ``n`` rows per part first.
+    sends ``n`` rows from every task to one place. So the group is cut to ``n`` rows per part first. A part is made
+    of whole tasks, so each task lets no more than ``n`` rows of a group pass.
     """
-    part = F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")
+    part = F.spark_partition_id() % (parts or shuffle_partitions(df.sparkSession))
     in_part = Window.partitionBy(*keys, "_part").orderBy(*order)
     in_group = Window.partitionBy(*keys).orderBy(*order)
     return (

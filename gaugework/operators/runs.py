@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.text import words
@@ -42,7 +42,7 @@ def workload_category(df: DataFrame, categories: DataFrame, strict: bool = False
 
     ``categories`` is the fixed lookup table of 15 rows, hence the hint.
     """
-    joined = df.join(F.broadcast(categories), "workload", "left")
+    joined = df.join(categories, "workload", "left")
     if not strict:
         return joined
     unknown = F.raise_error(F.concat(F.lit("unknown workload: "), F.col("workload"))).cast("string")
@@ -97,24 +97,40 @@ def report_row(df: DataFrame, measured: bool = True) -> DataFrame:
 
 
 def report_json(df: DataFrame, pretty: bool = False, measured: bool = True) -> DataFrame:
-    """One JSON object per run with sorted keys. The four measures are text where they come from the
-    suite, that is for completed runs of a measured suite, and numbers otherwise."""
+    """One JSON object per run with sorted keys, in one line or ``pretty``, a line per field with four spaces. The four
+    measures are the suite's words as they were written, where a run of a measured suite completed and the table has them
+    in ``<measure>_word``; otherwise numbers, with ``-1`` for what was not measured."""
     measures = {"input_size", "elapsed_time", "throughput_cluster", "throughput_node"}
-    options = {"pretty": "true"} if pretty else {}
-    as_text = F.struct(*[F.col(c).cast("string").alias(c) if c in measures else F.col(c) for c in REPORT_FIELDS])
-    as_number = F.struct(*[F.col(c) for c in REPORT_FIELDS])
-    return df.withColumn(
-        "report", F.when(F.col("completed") & F.lit(measured), F.to_json(as_text, options)).otherwise(F.to_json(as_number, options))
-    )
+
+    def word(c: str) -> Column:
+        if c not in measures:
+            return F.col(c)
+        return F.coalesce(*[F.col(n) for n in (f"{c}_word",) if n in df.columns], F.col(c).cast("string"))
+
+    def number(c: str) -> Column:
+        return F.col(c).cast("bigint") if c.startswith("throughput") else F.col(c)
+
+    def text(fields: list[Column]) -> Column:
+        if not pretty:
+            return F.to_json(F.struct(*fields))
+        lines = [
+            F.regexp_replace(F.to_json(F.struct(field)), r'(?s)^\{("[^"]+"):(.*)\}$', r"    $1: $2") for field in fields
+        ]
+        present = F.filter(F.array(*lines), lambda x: x != "{}")
+        return F.concat(F.lit("{\n"), F.array_join(present, ",\n"), F.lit("\n}"))
+
+    as_word = text([word(c).alias(c) for c in REPORT_FIELDS])
+    as_number = text([number(c).alias(c) for c in REPORT_FIELDS])
+    return df.withColumn("report", F.when(F.col("completed") & F.lit(measured), as_word).otherwise(as_number))
 
 
 def latest_report(df: DataFrame, keys: list[str], time: str, tiebreak: list[str] | None = None) -> DataFrame:
-    """The last report of each run. Partial maxima are taken before the shuffle, so a run with very many
-    lines is no hot spot."""
+    """The last report of each run. Each map task lets one line of a run pass, so a run with very many lines is no
+    hot spot."""
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(time, *[c for c in (tiebreak or rest) if c != time])
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
-    return last.select(*keys, "_last.*")
+    order = [F.desc(c) for c in [time, *[c for c in (tiebreak or rest) if c != time]]]
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", last).where("_place = 1").drop("_place").select(*keys, *rest)
 
 
 def run_resources(runs: DataFrame, instances: DataFrame) -> DataFrame:
@@ -125,7 +141,7 @@ def run_resources(runs: DataFrame, instances: DataFrame) -> DataFrame:
     """
     one_master = F.coalesce("mode", F.lit("n+1")) == "n+1"
     per_core = (F.col("memory_mb") / F.col("cores")).cast("int")
-    sized = runs.join(F.broadcast(instances), "instance_type", "left").withColumns(
+    sized = runs.join(instances, "instance_type", "left").withColumns(
         {
             "workers": F.when(one_master, F.col("nodes") - 1).otherwise(F.col("nodes")),
             "memory_per_core": per_core,

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from gaugework.lineage import cut_lineage
 from gaugework.operators.ranking import rank_table
 
-WIDE = 16  # columns up to which joining ranks column by column moves less than one row per value
-
 METRICS = {
     "count": "count", "mean": "mean", "variance": "variance", "numNonZeros": "nonzeros", "min": "min", "max": "max",
     "normL1": "norm_l1", "normL2": "norm_l2",
@@ -23,15 +21,17 @@ def names_of(df: DataFrame, columns: list[str] | str) -> list[str]:
     """The given columns, or the positions of an array column."""
     if not isinstance(columns, str):
         return columns
-    row = df.select(F.size(columns)).first()
+    row = df.select(F.size(columns)).where(F.col(columns).isNotNull()).first()
     return [str(i) for i in range(row[0] if row else 0)]
 
 
 def vectors_of(df: DataFrame, columns: list[str] | str) -> DataFrame:
-    """Numeric columns, or one array column, as the vector column ``features``."""
+    """Numeric columns, or one array column, as the vector column ``features``. The one rule for nulls of all
+    statistics on several columns: a row with a null in any of them is left out."""
     if isinstance(columns, str):
-        return df.select(array_to_vector(F.col(columns).cast("array<double>")).alias("features"))
-    return assemble(df, columns, keep=[])
+        whole = F.col(columns).isNotNull() & ~F.exists(columns, lambda x: x.isNull())
+        return df.where(whole).select(array_to_vector(F.col(columns).cast("array<double>")).alias("features"))
+    return assemble(df.dropna(subset=columns), columns, keep=[])
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features", keep: list[str] | None = None) -> DataFrame:
@@ -71,29 +71,21 @@ def pearson(df: DataFrame, columns: list[str] | str) -> DataFrame:
     return _matrix_rows(df, matrix, names_of(df, columns))
 
 
-def spearman(df: DataFrame, columns: list[str], row_id: list[str] | None = None, wide_up_to: int = WIDE) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str], row_id: list[str] | None = None) -> DataFrame:
     """Rank correlation of all pairs of columns, with the mean rank for equal values.
 
-    Values are counted per column before they are ranked, so a value shared by most rows is ranked once.
-    Up to ``wide_up_to`` columns the ranks are joined to the rows column by column, and columns of few
-    values need no shuffle for it. Wider tables send one row per value and are put together again by
-    ``row_id``, which then must tell the rows apart.
+    A row with a null in any column is left out before anything is ranked. Values are counted per column before they are
+    ranked, so a value shared by most rows is ranked once. The rows go through one long form: one join gives every
+    value its rank, one grouping by ``row_id`` puts rows together again. Without a ``row_id`` rows get a number first.
     """
-    table = df.select(*(row_id or []), *[F.col(c).cast("double") for c in columns])
+    table = df.select(*(row_id or []), *[F.col(c).cast("double") for c in columns]).dropna(subset=columns)
+    if not row_id:
+        row_id = ["_row"]
+        table = cut_lineage(table.withColumn("_row", F.monotonically_increasing_id()))
     ranks = cut_lineage(_column_ranks(table, columns))
-    if len(columns) <= wide_up_to:
-        ranked = table.select(*columns)
-        for c in columns:
-            of_column = ranks.where(F.col("_column") == c).select(F.col("_value").alias(c), F.col("_rank").alias(f"_r_{c}"))
-            ranked = ranked.join(of_column, c)
-        ranked = ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
-    elif row_id:
-        long = table.unpivot(row_id, columns, "_column", "_value")
-        of_column = [F.max(F.when(F.col("_column") == c, F.col("_rank"))).alias(c) for c in columns]
-        ranked = long.join(ranks, ["_column", "_value"]).groupBy(*row_id).agg(*of_column)
-    else:
-        raise ValueError(f"more than {wide_up_to} columns need a row id")
-    return pearson(ranked, columns)
+    long = table.unpivot(row_id, columns, "_column", "_value")
+    of_column = [F.max(F.when(F.col("_column") == c, F.col("_rank"))).alias(c) for c in columns]
+    return pearson(long.join(ranks, ["_column", "_value"]).groupBy(*row_id).agg(*of_column), columns)
 
 
 def _column_ranks(table: DataFrame, columns: list[str]) -> DataFrame:
@@ -109,7 +101,7 @@ def _column_ranks(table: DataFrame, columns: list[str]) -> DataFrame:
 
 def chi_square_feature(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Independence of each categorical feature and the label: ``(feature, statistic, dof, p_value)``."""
-    table = assemble(df, features, "_features", [F.col(label).cast("double").alias("_label")])
+    table = assemble(df.dropna(subset=[*features, label]), features, "_features", [F.col(label).cast("double").alias("_label")])
     names = F.array(*[F.lit(f) for f in features])
     return ChiSquareTest.test(table, "_features", "_label", flatten=True).select(
         F.get(names, F.col("featureIndex")).alias("feature"),
@@ -121,34 +113,41 @@ def chi_square_feature(df: DataFrame, features: list[str], label: str) -> DataFr
 
 def chi_square_gof(df: DataFrame, category: str, expected: DataFrame | None = None) -> DataFrame:
     """Goodness of fit of one column as ``(statistic, dof)``, uniform unless ``expected(category, share)``
-    is given. The sum of (o-e)^2/e equals n * sum(p^2/share) - n with p = o/n, so one pass over the counts
-    is enough; categories that were expected but never seen only raise the degrees of freedom.
+    is given. Null values are no category. Squares of (o-e) are summed, not differences of sums of size n, so the
+    statistic keeps its digits at any n. A category that occurs but is not expected makes it infinite; one that is
+    expected but does not occur adds its expected count.
     """
     counts = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).cast("double").alias("_o"))
     if expected is None:
-        n, k = F.sum("_o"), F.count(F.lit(1))
-        return counts.agg((F.sum(F.col("_o") * F.col("_o")) * k / n - n).alias("statistic"), (k - 1).alias("dof"))
-    joined = expected.join(counts, category, "left").withColumn("_o", F.coalesce("_o", F.lit(0.0)))
-    n, share = F.sum("_o"), F.sum("share")
-    return joined.agg(
-        (F.sum(F.col("_o") * F.col("_o") / F.col("share")) * share / n - n).alias("statistic"),
-        (F.count(F.lit(1)) - 1).alias("dof"),
+        joined = counts.withColumn("share", F.lit(1.0))
+    else:
+        joined = expected.join(counts, category, "full").withColumns(
+            {"_o": F.coalesce("_o", F.lit(0.0)), "share": F.coalesce("share", F.lit(0.0))}
+        )
+    totals = joined.agg(F.sum("_o").alias("_n"), F.sum("share").alias("_all"))  # one row
+    e = F.col("_n") * F.col("share") / F.col("_all")
+    part = F.when(e > 0, (F.col("_o") - e) * (F.col("_o") - e) / e).otherwise(
+        F.when(F.col("_o") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
     )
+    return joined.join(F.broadcast(totals)).agg(F.sum(part).alias("statistic"), (F.count(F.lit(1)) - 1).alias("dof"))
 
 
 def chi_square_matrix(df: DataFrame, row: str, column: str) -> DataFrame:
     """Independence in a contingency table as ``(statistic, dof)``.
 
-    The sum of (o-e)^2/e over the full grid equals n * (sum of o^2/(r*c) over the seen cells - 1), so
-    the grid is never built.
+    Over the seen cells (o-e)^2/e is summed as it is; the cells that do not occur add their expected counts, which are n
+    less those of the seen cells. So the grid is never built, and no two sums of size n^2 are subtracted.
     """
     cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column)
     cells = cells.agg(F.count(F.lit(1)).cast("double").alias("_o"))
     rows = cells.groupBy(row).agg(F.sum("_o").alias("_r"))
     columns = cells.groupBy(column).agg(F.sum("_o").alias("_c"))
-    parts = cells.join(rows, row).join(columns, column)
-    n = F.sum("_o")
+    total = rows.agg(F.sum("_r").alias("_n"))  # one row
+    parts = cells.join(rows, row).join(columns, column).join(F.broadcast(total))
+    e = F.col("_r") * F.col("_c") / F.col("_n")
+    seen = F.sum((F.col("_o") - e) * (F.col("_o") - e) / e)
+    # o - e summed over the seen cells is the expected count of the others: small numbers, where those are few
     return parts.agg(
-        (n * (F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))) - 1)).alias("statistic"),
+        (seen + F.sum(F.col("_o") - e)).alias("statistic"),
         ((F.countDistinct(row) - 1) * (F.countDistinct(column) - 1)).alias("dof"),
     )

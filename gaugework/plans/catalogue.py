@@ -38,11 +38,21 @@ def run_workload(
     p = {**workload_parameters(workload, size), **(overrides or {})}
     data = generators.workload_input(spark, workload, size, partitions, overrides)
     if workload == "regression":
+        if p["loss"] not in ("l2", "squared") or p["reg-type"] not in ("l2", "none"):
+            raise ValueError(f"unknown loss {p['loss']!r} or regularisation {p['reg-type']!r}")
         if p["optimizer"] == "sgd":
             return learning.regression_sgd(data, iterations=p["num-iterations"], step=p["step-size"], reg=p["reg-param"])
+        if p["optimizer"] not in ("l-bfgs", "lbfgs"):
+            raise ValueError(f"unknown optimizer {p['optimizer']!r}")
         model = learning.regression(_vectors(data), p["num-iterations"], p["reg-param"], p["elastic-net-param"])
         return model.transform(_vectors(data)).select("id", "label", "prediction")
     if workload == "classification":
+        if p["optimizer"] == "sgd":
+            return learning.classification_sgd(
+                data, iterations=p["num-iterations"], step=p["step-size"], reg=p["reg-param"], loss=p["loss"], reg_type=p["reg-type"]
+            )
+        if p["optimizer"] not in ("l-bfgs", "lbfgs"):
+            raise ValueError(f"unknown optimizer {p['optimizer']!r}")
         model = learning.classification(_vectors(data), p["num-iterations"], p["reg-param"])
         return model.transform(_vectors(data)).select("id", "label", "prediction")
     if workload == "naive-bayes":
@@ -52,10 +62,12 @@ def run_workload(
         return _tree(p, data)
     if workload == "als":
         return learning.als(data, p["rank"], p["num-iterations"], p["reg-param"]).transform(data)
-    if workload in ("kmeans", "gmm"):
-        fit = learning.kmeans if workload == "kmeans" else learning.gmm
-        points = _vectors(data)
-        return fit(points, p["num-centers"], p["num-iterations"]).transform(points).select("id", "center", "prediction")
+    if workload == "kmeans":
+        centres = learning.kmeans(data, "id", "features", p["num-centers"], p["num-iterations"])
+        return learning.kmeans_assign(data, "features", centres).select("id", "center", F.col("centre").alias("prediction"))
+    if workload == "gmm":
+        model, _ = learning.gmm(data, "id", "features", p["num-centers"], p["num-iterations"])
+        return learning.gmm_assign(data, "features", model).select("id", "center", "prediction")
     if workload == "lda":
         _, model, _ = learning.lda(data, "words", p["num-topics"], p["num-iterations"], p["num-vocab"], p["optimizer"])
         return model.describeTopics()

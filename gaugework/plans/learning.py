@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from gaugework.operators import bayes, learning, matrix, patterns
 from gaugework.operators.statistics import assemble
 from gaugework.plans.graph import trade_links
 from gaugework.plans.registry import query
-from gaugework.sources.tables import load, spread, with_row_id
+from gaugework.sources.tables import deal, load, with_row_id
 
 ROW_ID = ["row_file", "row_index"]
 PREDICTORS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -20,10 +19,11 @@ PREDICTORS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 def examples(spark: SparkSession, sf: str, label: F.Column | None = None, heavy: bool = False) -> DataFrame:
     """Order lines with four features (line number as the category) and the price or another label.
-    ``heavy`` fits get a part of a small table per core."""
+    ``heavy`` fits draw by part, so their rows are dealt by the records' own columns."""
     label = F.col("l_extendedprice") if label is None else label
-    lines = with_row_id(load(spark, sf, "lineitem")).select(*ROW_ID, *PREDICTORS, label.cast("double").alias("label"))
-    return assemble(spread(lines, "row_index") if heavy else lines, PREDICTORS, keep=[*ROW_ID, "label"])
+    lines = load(spark, sf, "lineitem")
+    lines = with_row_id(lines).withColumn("record", F.xxhash64(*lines.columns)).select(*ROW_ID, "record", *PREDICTORS, label.cast("double").alias("label"))
+    return assemble(deal(lines, ["record"]) if heavy else lines, PREDICTORS, keep=[*ROW_ID, "record", "label"])
 
 
 def is_returned() -> F.Column:
@@ -31,7 +31,7 @@ def is_returned() -> F.Column:
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("row_index", "label", "prediction")
+    return model.transform(rows).select(*ROW_ID, "label", "prediction")
 
 
 @query("regression")
@@ -83,6 +83,28 @@ def regression_sgd(spark, sf):
     )
 
 
+@query(
+    "classification_sgd",
+    """
+WITH RECURSIVE x AS (SELECT l_quantity / 50 AS q, l_tax * 10 AS t, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+steps AS (
+  SELECT 1 AS t, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT any_value(s.t) + 1,
+         any_value(s.a) - 1.0 / sqrt(any_value(s.t)) * (avg((1 / (1 + exp(-(s.a * q + s.b * x.t))) - y) * q) + 0.1 * any_value(s.a)),
+         any_value(s.b) - 1.0 / sqrt(any_value(s.t)) * (avg((1 / (1 + exp(-(s.a * q + s.b * x.t))) - y) * x.t) + 0.1 * any_value(s.b))
+  FROM steps s CROSS JOIN x WHERE s.t <= 20 GROUP BY s.t)
+SELECT t, round(a, 9) AS w_quantity, round(b, 9) AS w_tax FROM steps
+""",
+)
+def classification_sgd(spark, sf):
+    rows = load(spark, sf, "lineitem").select(
+        F.array(F.col("l_quantity") / 50, F.col("l_tax") * 10).alias("features"), is_returned().cast("double").alias("label")
+    )
+    weight = lambda k: F.round(F.get("weights", F.lit(k)), 9)
+    return learning.classification_sgd(rows).select("t", weight(0).alias("w_quantity"), weight(1).alias("w_tax"))
+
+
 @query("classification")
 def classification(spark, sf):
     rows = examples(spark, sf, is_returned())
@@ -111,7 +133,7 @@ def naive_bayes(spark, sf):
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = load(spark, sf, "documents").select("doc_id", "text")
     return documents.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
@@ -164,7 +186,7 @@ LEFT JOIN counts c ON c.label = p.label AND c.word = s.word GROUP BY 1, 2
 def text_bayes_score(spark, sf):
     train = labelled_documents(spark, sf)
     model, labels = bayes.text_bayes(train, "text", "quality"), bayes.text_bayes_labels(train, "text", "quality")
-    docs = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = load(spark, sf, "documents").select("doc_id", "text")
     return bayes.text_bayes_score(model, labels, docs, "doc_id", "text").withColumn("score", F.round("score", 4))
 
 
@@ -174,14 +196,20 @@ def text_bayes_predict(spark, sf):
     return bayes.text_bayes_predict(train, test, "text", "quality").select("doc_id", "quality", "prediction")
 
 
-@query("train_test_split")
+HELD_OUT = "('0x' || substr(md5({}::VARCHAR || ' 5'), 1, 12))::BIGINT % 1000000 < 200000"
+
+
+@query(
+    "train_test_split",
+    f"SELECT o_orderkey, CASE WHEN {HELD_OUT.format('o_orderkey')} THEN 'test' ELSE 'train' END AS part FROM orders",
+)
 def train_test_split(spark, sf):
     train, test = learning.train_test_split(load(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
     return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
 
 
 def held_out(fit, spark: SparkSession, sf: str) -> DataFrame:
-    train, test = learning.train_test_split(examples(spark, sf, heavy=True), ROW_ID)
+    train, test = learning.train_test_split(examples(spark, sf, heavy=True), ["record"])
     return scored(fit(train), test)
 
 
@@ -214,17 +242,41 @@ def als(spark, sf):
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return spread(vectors.select("vec_id", array_to_vector("v").alias("features")))
+    return load(spark, sf, "embeddings").select("vec_id", "embedding")
 
 
-@query("kmeans")
-def kmeans(spark, sf):
-    rows = points(spark, sf)
-    return learning.kmeans(rows).transform(rows).select("vec_id", "prediction")
+K, ROUNDS = 20, 20
+
+
+def lloyd_sql(rounds: int) -> str:
+    """The rounds one after another; each takes the nearest centre of every point, then the means."""
+    first = f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS i, embedding::DOUBLE[] AS c FROM embeddings
+  ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT {K})"""
+
+    def near(t: int) -> str:
+        return f"""a{t} AS MATERIALIZED (
+  SELECT vec_id, CAST(arg_min(i, (d, i)) AS INTEGER) AS i FROM (
+    SELECT vec_id, i, list_sum([(p[1] - p[2]) ** 2 FOR p IN list_zip(embedding::DOUBLE[], c)]) AS d FROM embeddings CROSS JOIN c{t})
+  GROUP BY 1)"""
 
+    def mean(t: int) -> str:
+        return f"""m{t} AS MATERIALIZED (
+  SELECT i, list(m ORDER BY place) AS c FROM (
+    SELECT i, place, avg(v) AS m FROM (
+      SELECT a.i, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS place FROM a{t} a JOIN embeddings USING (vec_id))
+    GROUP BY 1, 2) GROUP BY 1),
+c{t + 1} AS MATERIALIZED (SELECT c{t}.i, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (i))"""
 
-K = 20
+    steps = ",\n".join(f"{near(t)},\n{mean(t)}" for t in range(rounds))
+    return f"WITH {first},\n{steps},\n{near(rounds)}\nSELECT vec_id, i AS prediction FROM a{rounds}"
+
+
+@query("kmeans", lloyd_sql(ROUNDS))
+def kmeans(spark, sf):
+    rows = points(spark, sf)
+    centres = learning.kmeans(rows, "vec_id", "embedding", K, ROUNDS)
+    return learning.kmeans_assign(rows, "embedding", centres).select("vec_id", F.col("centre").alias("prediction"))
 
 
 @query(
@@ -246,25 +298,39 @@ def kmeans_assign(spark, sf):
 
 @query("gmm")
 def gmm(spark, sf):
-    # densities of narrow clusters in 64 dimensions leave the range of a double, hence the projection
-    model, rows = matrix.pca(load(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 10)
-    projected = spread(model.transform(rows).select("vec_id", F.col("projected").alias("features")))
-    return learning.gmm(projected).transform(projected).select("vec_id", "prediction")
+    rows = points(spark, sf)
+    model, _ = learning.gmm(rows, "vec_id", "embedding", K, ROUNDS)
+    return learning.gmm_assign(rows, "embedding", model).select("vec_id", "prediction")
 
 
 def spoken(spark: SparkSession, sf: str) -> DataFrame:
-    turns = spread(load(spark, sf, "conversations").select("conv_id", "turn", "text"))
-    return turns.select("conv_id", "turn", tokens(F.col("text")).alias("words"))
+    turns = load(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return deal(turns, ["conv_id", "turn", "text"]).select("conv_id", "turn", tokens(F.col("text")).alias("words"))
 
 
 @query("lda")
 def lda(spark, sf):
     counter, model, _ = learning.lda(spoken(spark, sf), "words")
-    # the vocabulary is a parameter of the model, at most 10,000 words
-    vocabulary = F.lit(counter.vocabulary)
-    return model.describeTopics(10).select(
-        "topic", F.transform("termIndices", lambda i: F.get(vocabulary, i)).cast("string").alias("words")
+    words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "place int, word string")
+    weights = model.describeTopics(len(counter.vocabulary)).select(
+        "topic", F.explode(F.arrays_zip(F.col("termIndices").alias("place"), F.col("termWeights").alias("weight"))).alias("x")
     )
+    return weights.select("topic", "x.place", "x.weight").join(words, "place").select("topic", "word", "weight")
+
+
+@query(
+    "lda_vocabulary",
+    r"""
+SELECT word, CAST(count(*) AS DOUBLE) AS n
+FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM conversations) WHERE word <> '' GROUP BY word
+""",
+)
+def lda_vocabulary(spark, sf):
+    """Every word that the topics are fitted on, with its count over all turns."""
+    counter, counted = learning.count_words(spoken(spark, sf), "words")
+    words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "place int, word string")
+    pairs = counted.select(F.explode(learning.sparse_entries("features")).alias("place", "n"))
+    return pairs.groupBy("place").agg(F.sum("n").alias("n")).join(words, "place").select("word", "n")
 
 
 @query("power_iteration_clustering")
@@ -283,12 +349,12 @@ def word2vec(spark, sf):
     "word2vec_vocabulary",
     r"""
 SELECT word, count(*) AS n
-FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents)
+FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM conversations)
 WHERE word <> '' GROUP BY word HAVING count(*) >= 5
 """,
 )
 def word2vec_vocabulary(spark, sf):
-    return learning.word2vec_vocabulary(spread(load(spark, sf, "documents").select("text")), "text")
+    return learning.word2vec_vocabulary(load(spark, sf, "conversations").select("text"), "text")
 
 
 def brand_baskets(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,30 +20,32 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def feed(spark: SparkSession, sf: str, device: str, name: str) -> DataFrame:
-    one = samples(spark, sf).where(F.col("device") == device).select("host", "ts", F.col("value").alias(name))
+#: The event types that stand for each of the three feeds; every event is in one of them.
+FEEDS = {"general": ["view", "signup"], "disk": ["click", "error"], "network": ["purchase"]}
+
+
+def feed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    one = samples(spark, sf).where(F.col("device").isin(FEEDS[name])).select("host", "ts", F.col("value").alias(name))
     return metrics.metric_resample(one, DAY)
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     """The three feeds joined by user and day."""
-    return metrics.metric_join(
-        feed(spark, sf, "view", "general"), feed(spark, sf, "click", "disk"), feed(spark, sf, "purchase", "network")
-    )
+    return metrics.metric_join(*[feed(spark, sf, name) for name in FEEDS])
 
 
 def shown(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", clock_text(F.col("ts")))
 
 
-def feed_sql(device: str) -> str:
+def feed_sql(name: str) -> str:
     return f"""(SELECT user_id AS host, time_bucket(INTERVAL 1 DAY, ts) AS ts, arg_min(value, ts) AS value
-      FROM events WHERE event_type = '{device}' GROUP BY 1, 2)"""
+      FROM events WHERE event_type IN ({", ".join(f"'{t}'" for t in FEEDS[name])}) GROUP BY 1, 2)"""
 
 
 DAILY_SQL = f"""
 SELECT g.host, g.ts, g.value AS general, d.value AS disk, n.value AS network
-FROM {feed_sql("view")} g JOIN {feed_sql("click")} d USING (host, ts) JOIN {feed_sql("purchase")} n USING (host, ts)
+FROM {feed_sql("general")} g JOIN {feed_sql("disk")} d USING (host, ts) JOIN {feed_sql("network")} n USING (host, ts)
 """
 
 

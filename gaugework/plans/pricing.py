@@ -33,11 +33,7 @@ HISTORY_SQL = f"""
  FROM lineitem WHERE l_linenumber <> 7)
 """
 
-AVG_SQL = f"""
-(SELECT instance_type, az, CAST(sum(price) AS DOUBLE) / count(*) AS price
- FROM (SELECT *, row_number() OVER (PARTITION BY instance_type, az ORDER BY ts DESC, price DESC) AS n FROM {HISTORY_SQL})
- WHERE n <= 1000 GROUP BY 1, 2)
-"""
+AVG_SQL = f"(SELECT instance_type, az, CAST(sum(price) AS DOUBLE) / count(*) AS price FROM {HISTORY_SQL} GROUP BY 1, 2)"
 
 FILTERED_SQL = f"""
 (SELECT a.instance_type, a.az, a.price FROM {AVG_SQL} a
@@ -60,6 +56,18 @@ def avg_price(spark, sf):
     return shown(pricing.avg_price(price_history(spark, sf)))
 
 
+@query(
+    "avg_price_latest",
+    f"""
+SELECT instance_type, az, round(CAST(sum(price) AS DOUBLE) / count(*), 9) AS price
+FROM (SELECT *, row_number() OVER (PARTITION BY instance_type, az ORDER BY ts DESC, price DESC) AS n FROM {HISTORY_SQL})
+WHERE n <= 1000 GROUP BY 1, 2
+""",
+)
+def avg_price_latest(spark, sf):
+    return shown(pricing.avg_price(price_history(spark, sf), latest=1000))
+
+
 @query("filter_price_percentile", f"SELECT instance_type, az, round(price, 9) AS price FROM {FILTERED_SQL}")
 def filter_price_percentile(spark, sf):
     return shown(pricing.filter_price_percentile(pricing.avg_price(price_history(spark, sf))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugework.operators import ranking, relational
 from gaugework.plans.registry import query
 from gaugework.session import shuffle_partitions
-from gaugework.sources.tables import load, spread, with_row_id
+from gaugework.sources.tables import load, with_row_id
 
 LO, HI = "1997-01-01", "1997-12-31"
 
@@ -82,7 +82,7 @@ WHERE word <> '' GROUP BY word
 """,
 )
 def wordcount(spark, sf):
-    return relational.wordcount(spread(load(spark, sf, "documents").select("text")), "text")
+    return relational.wordcount(load(spark, sf, "documents").select("text"), "text")
 
 
 LINE_COLUMNS = [

@@ -209,8 +209,8 @@ SELECT run, CASE WHEN completed
        input_size: input_size::VARCHAR, program: program, throughput_cluster: throughput_cluster::VARCHAR,
        throughput_node: throughput_node::VARCHAR, timestamp: "timestamp", workload: workload}})::VARCHAR
   ELSE to_json({{completed: completed, datasize: datasize, elapsed_time: elapsed_time, framework: framework,
-       input_size: input_size, program: program, throughput_cluster: throughput_cluster,
-       throughput_node: throughput_node, timestamp: "timestamp", workload: workload}})::VARCHAR END AS report
+       input_size: input_size, program: program, throughput_cluster: throughput_cluster::BIGINT,
+       throughput_node: throughput_node::BIGINT, timestamp: "timestamp", workload: workload}})::VARCHAR END AS report
 FROM ({REPORT_SQL})
 """,
 )

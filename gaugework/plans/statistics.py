@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,3 +175,32 @@ GROUP BY 1, 2
 )
 def block_matrix_multiply(spark, sf):
     return matrix.block_matrix_multiply(*supply(spark, sf))
+
+
+@query(
+    "svd_energy",
+    """
+SELECT round(sum(v * v), 6) AS energy FROM (SELECT unnest(embedding::DOUBLE[]) AS v FROM embeddings)
+""",
+)
+def svd_energy(spark, sf):
+    """All squared singular values add up to the sum of all squared entries."""
+    found = matrix.svd(load(spark, sf, "embeddings"), "embedding", 64)
+    return found.agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
+
+
+@query(
+    "pca_energy",
+    """
+SELECT round(sum(v), 6) AS variance FROM (
+  SELECT place, var_samp(x) AS v FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings)
+  GROUP BY place)
+""",
+)
+def pca_energy(spark, sf):
+    """The variances along all principal components add up to those of all columns."""
+    model, rows = matrix.pca(load(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 64)
+    projected = model.transform(rows).select(F.col("projected").alias("features"))
+    spread = projected.select(Summarizer.metrics("variance").summary(F.col("features")).alias("s"))
+    total = F.aggregate(vector_to_array(F.col("s.variance")), F.lit(0.0), lambda a, x: a + x)
+    return spread.select(F.round(total, 6).alias("variance"))

@@ -21,14 +21,11 @@ def with_row_id(table: DataFrame) -> DataFrame:
     )
 
 
-def spread(table: DataFrame, by: str | None = None) -> DataFrame:
-    """Give every core a part of a table that comes in fewer pieces, for heavy work per row.
+def deal(table: DataFrame, by: list[str], rows: int = 20_000) -> DataFrame:
+    """Deal a table anew by a hash of ``by``, in about ``rows`` rows a part, each sorted by ``by``.
 
-    ``table`` is a scan with nothing but projections on it. A table of many files or row groups is left
-    as it is, so this moves small inputs only; an evenly spread column ``by`` saves the sort that an
-    even deal takes.
+    The parts follow from the rows alone, not from files or cores, so a fit that draws or sums by part gives the same
+    answer anywhere. ``by`` should tell the rows apart.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores, by) if by else table.repartition(cores)
+    parts = max(1, -(-table.count() // rows))
+    return table.repartition(min(parts, 100_000), *by).sortWithinPartitions(*by)

@@ -24,7 +24,7 @@ SHORT = {
     "prefix-span": {"avg-sequence-size": 2, "avg-itemset-size": 2},
 }
 ROWS = {"svd": 10, "summary-statistics": 20, "pearson": 400, "spearman": 400, "block-matrix-mult": 30,
-        "chi-sq-feature": 20, "chi-sq-gof": 1, "chi-sq-mat": 1, "regression": 21, "classification": 200,
+        "chi-sq-feature": 20, "chi-sq-gof": 1, "chi-sq-mat": 1, "regression": 21, "classification": 21,
         "naive-bayes": 200, "kmeans": 200, "gmm": 200, "lda": 3, "pca": 80, "als": 200}
 
 

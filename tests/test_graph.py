@@ -31,11 +31,10 @@ def pagerank_numpy(edges, iterations, d):
 
 
 @pytest.mark.parametrize("iterations", [1, 7])
-@pytest.mark.parametrize("hot", [100_000, 20])
-def test_pagerank_with_dangling_and_hot_vertices(spark, iterations, hot):
+def test_pagerank_with_dangling_and_hot_vertices(spark, iterations):
     draw = random.Random(4)
     edges = [(0, n) for n in range(1, 150)] + [(draw.randrange(1, 100), draw.randrange(200)) for _ in range(200)]
-    got = {r["node"]: r["rank"] for r in graph.pagerank(frame(spark, edges, "src int, dst int"), iterations, min_hot_rows=hot).collect()}
+    got = {r["node"]: r["rank"] for r in graph.pagerank(frame(spark, edges, "src int, dst int"), iterations).collect()}
     expected = pagerank_numpy(edges, iterations, 0.85)
     assert got.keys() == expected.keys()
     assert sum(got.values()) == pytest.approx(1)
@@ -65,12 +64,11 @@ def paths_brute(edges, hops):
 
 
 @pytest.mark.parametrize("hops", [1, 2, 3])
-@pytest.mark.parametrize("hot", [100_000, 10])
-def test_n_hop_weight(spark, hops, hot):
+def test_n_hop_weight(spark, hops):
     draw = random.Random(5)
     edges = [(draw.randrange(30), 0, 1.0) for _ in range(30)] + [(0, n, float(n % 5)) for n in range(60)]
     edges += [(draw.randrange(30), draw.randrange(30), float(draw.randrange(1, 4))) for _ in range(100)]
-    got = rows(graph.n_hop_weight(frame(spark, edges, "src int, dst int, weight double"), hops, 4, min_hot_rows=hot))
+    got = rows(graph.n_hop_weight(frame(spark, edges, "src int, dst int, weight double"), hops, 4))
     expected = [
         (a, b, w)
         for a, ends in paths_brute(edges, hops).items()

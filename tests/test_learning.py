@@ -42,14 +42,13 @@ def test_regression_line(linear):
     assert tuple(learning.regression_line(df, "x", "label").first()) == pytest.approx(tuple(np.polyfit(x[:, 0], y, 1)))
 
 
-@pytest.mark.parametrize("width", [2048, 0])  # one pass over the table, or one per step
-def test_regression_sgd(linear, width):
+def test_regression_sgd(linear):
     x, y = arrays(linear)
     w, losses = np.zeros(4), []
     for t in range(1, 7):
         losses.append(((x @ w - y) ** 2).mean() / 2 + 0.05 * w @ w)
         w = w - 0.1 / np.sqrt(t) * (x.T @ (x @ w - y) / len(y) + 0.1 * w)
-    got = learning.regression_sgd(linear, iterations=6, step=0.1, max_sums_width=width).orderBy("t").collect()
+    got = learning.regression_sgd(linear, iterations=6, step=0.1).orderBy("t").collect()
     assert [r["loss"] for r in got[:6]] == pytest.approx(losses)
     assert got[-1]["weights"] == pytest.approx(w.tolist())
     assert got[-1]["loss"] < got[0]["loss"]
@@ -64,6 +63,20 @@ def test_classification(spark):
         assert BinaryClassificationEvaluator().evaluate(model.transform(df)) > 0.8
 
 
+def test_classification_sgd(spark):
+    points = generators.gen_classification_points(generators.id_range(spark, 500, 4), 3)
+    x, y = arrays(points)
+    w = np.zeros(3)
+    for t in range(1, 9):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w = w - 0.5 / np.sqrt(t) * (x.T @ (p - y) / len(y) + 0.1 * w)
+    got = learning.classification_sgd(points, iterations=8, step=0.5).orderBy("t").collect()
+    assert got[-1]["weights"] == pytest.approx(w.tolist()) and got[-1]["loss"] < got[0]["loss"]
+    for wrong in ({"loss": "hinge"}, {"reg_type": "l1"}):
+        with pytest.raises(ValueError):
+            learning.classification_sgd(points, **wrong)
+
+
 def test_trees_beat_the_mean(spark):
     df = generators.gen_mixed_table(generators.id_range(spark, 1500, 4), 6)
     train, test = learning.train_test_split(df, ["id"])
@@ -102,13 +115,33 @@ def test_als_beats_the_mean(spark):
 
 
 def test_clusters_follow_the_centres(spark):
-    df = as_vectors(generators.gen_cluster_points(generators.id_range(spark, 1000, 4), 6, centers=4, noise=0.02))
-    for model in (learning.kmeans(df, 4), learning.gmm(df, 4)):
-        pairs = model.transform(df).groupBy("center", "prediction").count()
+    df = generators.gen_cluster_points(generators.id_range(spark, 1000, 4), 6, centers=4, noise=0.02)
+    df = df.union(df.limit(1).withColumn("features", F.lit(None).cast("array<double>")))
+    centres = learning.kmeans(df, "id", "features", 4)
+    model, history = learning.gmm(df, "id", "features", 4)
+    assert all(b >= a - 1e-9 for a, b in zip(history, history[1:]))
+    near = learning.kmeans_assign(df, "features", centres).withColumnRenamed("centre", "prediction")
+    for found in (near, learning.gmm_assign(df, "features", model)):
+        assert found.where("prediction is null").count() == 1
+        pairs = found.where("prediction is not null").groupBy("center", "prediction").count()
         largest = pairs.groupBy("center").agg(F.max("count").alias("n")).agg(F.sum("n")).first()[0]
         assert largest > 700
 
 
+def test_mixture_uses_all_components_in_many_dimensions(spark):
+    df = generators.gen_cluster_points(generators.id_range(spark, 4000, 4), 100, centers=20, noise=0.05).cache()
+    model, _ = learning.gmm(df, "id", "features", 20, 5)
+    pairs = learning.gmm_assign(df, "features", model).groupBy("center", "prediction").count()
+    assert pairs.select("prediction").distinct().count() == 20
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_kmeans_does_not_follow_the_partitions(spark, parts):
+    df = generators.gen_cluster_points(generators.id_range(spark, 300, 4), 5, centers=6, noise=0.3)
+    first = learning.kmeans(df.repartition(3), "id", "features", 6, 4)
+    assert np.allclose(first, learning.kmeans(df.repartition(parts), "id", "features", 6, 4), atol=1e-9)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_kmeans_assign(spark, parts):
     draw = np.random.default_rng(10)
@@ -124,7 +157,7 @@ def test_kmeans_assign(spark, parts):
 def test_lda_topics(spark):
     docs = generators.gen_documents(generators.id_range(spark, 80, 2), 50, 30)
     counter, model, _ = learning.lda(docs, "words", topics=3, iterations=4)
-    assert len(counter.vocabulary) <= 50
+    assert len(counter.vocabulary) == docs.select(F.explode("words").alias("w")).distinct().count()
     assert model.describeTopics(5).count() == 3
 
 

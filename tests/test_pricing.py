@@ -22,7 +22,10 @@ def record(kind, zone, price, minute=0, product="Linux/UNIX"):
 def test_average_takes_the_latest_records_of_one_product(spark):
     data = [record("c4", "a", "1.0", i) for i in range(1000)] + [record("c4", "a", "100", -1)]
     data += [record("c4", "b", "0.2"), record("c4", "b", "9", product="Windows"), record("c4", "c", "9", product="Windows")]
-    got = {(r["instance_type"], r["az"]): r["price"] for r in pricing.avg_price(frame(spark, data, HISTORY).repartition(8)).collect()}
+    history = frame(spark, data, HISTORY).repartition(8)
+    every = {(r["instance_type"], r["az"]): r["price"] for r in pricing.avg_price(history).collect()}
+    assert every == {("c4", "a"): pytest.approx(1100 / 1001), ("c4", "b"): 0.2}
+    got = {(r["instance_type"], r["az"]): r["price"] for r in pricing.avg_price(history, latest=1000).collect()}
     assert got == {("c4", "a"): 1.0, ("c4", "b"): 0.2}  # the 1001st record and the empty group play no part
 
 

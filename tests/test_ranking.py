@@ -68,7 +68,7 @@ def test_top_rows_against_brute_force(spark):
     draw = random.Random(3)
     data = [("hot" if draw.random() < 0.5 else f"k{draw.randrange(9)}", draw.randrange(50), i) for i in range(2000)]
     df = frame(spark, data, "k string, v int, id int").repartition(16)
-    got = rows(ranking.top_rows(df, ["k"], [F.desc("v"), F.col("id")], 7, ["id"], parts=5))
+    got = rows(ranking.top_rows(df, ["k"], [F.desc("v"), F.col("id")], 7, parts=5))
     groups = {}
     for row in data:
         groups.setdefault(row[0], []).append(row)

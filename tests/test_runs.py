@@ -105,11 +105,25 @@ def test_unmeasured_reports(spark):
     table = runs.report_row(done.withColumns({**extra, "finished": F.col("ended")}), measured=False)
     report = json.loads(runs.report_json(table, measured=False).first()["report"])
     assert report == {
-        "completed": True, "elapsed_time": 9.5, "input_size": -1, "program": "kmeans", "throughput_cluster": -1.0,
-        "throughput_node": -1.0, "timestamp": "2024-01-01 00:00:00", "workload": "kmeans",
+        "completed": True, "elapsed_time": 9.5, "input_size": -1, "program": "kmeans", "throughput_cluster": -1,
+        "throughput_node": -1, "timestamp": "2024-01-01 00:00:00", "workload": "kmeans",
     }
 
 
+@pytest.mark.parametrize("completed", [True, False])
+def test_pretty_reports_keep_the_words_of_the_suite(spark, completed):
+    schema = "workload string, framework string, datasize string, completed boolean, program string, timestamp string, input_size bigint, elapsed_time double, throughput_cluster double, throughput_node double, input_size_word string, throughput_cluster_word string"
+    table = frame(spark, [("sort", "spark", "tiny", completed, 'a "b"', "2024-01-01 00:00:00", 94626, 9.5, 94626.0, -1.0, "94626", "94626")], schema)
+    report = runs.report_json(table, pretty=True).first()["report"]
+    fields = {"workload": "sort", "framework": "spark", "datasize": "tiny", "completed": completed, "program": 'a "b"', "timestamp": "2024-01-01 00:00:00"}
+    fields |= (
+        {"input_size": "94626", "elapsed_time": "9.5", "throughput_cluster": "94626", "throughput_node": "-1.0"}
+        if completed
+        else {"input_size": 94626, "elapsed_time": 9.5, "throughput_cluster": 94626, "throughput_node": -1}
+    )
+    assert report == json.dumps(fields, indent=4, sort_keys=True)
+
+
 def test_suite_report_lines(spark, tmp_path):
     (tmp_path / "r").write_text("ScalaSort  2024-01-01 00:01:20   1000   80.5  12 6\n\nBad 2024-13-01 x y z\n")
     got = rows(reports.read_suite_report(spark, str(tmp_path / "r")))

@@ -36,10 +36,10 @@ def mean_ranks(c):
 
 
 @pytest.mark.parametrize("parts", [1, 4, 64])
-@pytest.mark.parametrize("wide", [16, 0])  # ranks joined by column, or rows put together again
-def test_spearman_with_ties(spark, parts, wide):
+@pytest.mark.parametrize("row_id", [["id"], None])
+def test_spearman_with_ties(spark, parts, row_id):
     df, x, names = numbers(spark, n=120, d=3, parts=parts)
-    got = {(r["i"], r["j"]): r["corr"] for r in statistics.spearman(df, names, ["id"], wide).collect()}
+    got = {(r["i"], r["j"]): r["corr"] for r in statistics.spearman(df, names, row_id).collect()}
     expected = np.corrcoef(np.array([mean_ranks(x[:, i]) for i in range(3)]))
     assert all(got[a, b] == pytest.approx(expected[i, j]) for i, a in enumerate(names) for j, b in enumerate(names))
 
@@ -120,6 +120,32 @@ def test_block_multiply_of_one_table_with_itself(spark):
 
 
 
-def test_wide_spearman_needs_a_row_id(spark):
-    with pytest.raises(ValueError, match="row id"):
-        statistics.spearman(numbers(spark, n=5)[0], ["c0", "c1"], wide_up_to=1)
+def test_rows_with_a_null_are_left_out_of_all_statistics(spark):
+    draw = np.random.default_rng(3)
+    data = [(None, 1.0)] + [(float(a), float(b)) for a, b in draw.integers(0, 9, size=(60, 2))] + [(4.0, None)]
+    df = frame(spark, data, "a double, b double")
+    whole = frame(spark, data[1:-1], "a double, b double")
+    arrays = df.select(F.when(F.col("a").isNotNull(), F.array("a", "b")).alias("v"))
+    for got, expected in (
+        (statistics.summary_statistics(df, ["a", "b"]), statistics.summary_statistics(whole, ["a", "b"])),
+        (statistics.summary_statistics(arrays, "v"), statistics.summary_statistics(whole.select(F.array("a", "b").alias("v")), "v")),
+    ):
+        for a, b in zip(rows(got), rows(expected)):
+            assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
+    for test in (statistics.pearson, statistics.spearman):
+        got, expected = ({(r["i"], r["j"]): r["corr"] for r in test(t, ["a", "b"]).collect()} for t in (df, whole))
+        assert got == pytest.approx(expected)
+
+
+def test_unexpected_category_and_large_counts(spark):
+    df = frame(spark, [("x",)] * 10 + [("odd",)] * 90, "c string")
+    expected = frame(spark, [("x", 1.0), ("y", 1.0)], "c string, share double")
+    assert statistics.chi_square_gof(df, "c", expected).first()["statistic"] == float("inf")
+    seen = statistics.chi_square_gof(df.where("c = 'x'"), "c", expected).first()
+    assert (seen["statistic"], seen["dof"]) == (10.0, 1)
+    assert statistics.chi_square_gof(df.where("c is null"), "c").first()["statistic"] is None
+
+
+def test_covariance_of_one_row_is_null(spark):
+    one = frame(spark, [([1.0, 2.0],)], "v array<double>")
+    assert [r["value"] for r in matrix.covariance(one, "v").collect()] == [None, None, None]
