@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.text import explode_tokens, tokens
+from gaugework.functions.text import explode_tokens
 from gaugework.lineage import cut_lineage
 
 
@@ -77,17 +75,14 @@ def text_bayes_score(model: DataFrame, labels: DataFrame, docs: DataFrame, doc_i
     )
 
 
-def text_bayes_predict(train: DataFrame, test: DataFrame, text: str, label: str, buckets: int = 1 << 18) -> DataFrame:
-    """Label the texts of ``test`` by a multinomial model over hashed words."""
-    hashing = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=buckets)
-
-    def vectors(df: DataFrame) -> DataFrame:
-        return hashing.transform(df.withColumn("_tokens", tokens(F.col(text)))).drop("_tokens")
-
-    model = NaiveBayes(featuresCol="_tf", labelCol="_label", smoothing=1.0, modelType="multinomial").fit(
-        vectors(train).withColumn("_label", F.col(label).cast("double"))
-    )
-    return model.transform(vectors(test)).drop("_tf", "rawPrediction", "probability")
+def text_bayes_predict(train: DataFrame, test: DataFrame, doc_id: str, text: str, label: str, smoothing: float = 1.0) -> DataFrame:
+    """The likeliest label of the texts of ``test`` under the exact model, ``prediction``; all words of ``train`` count, and
+    of equal scores (to nine decimals) the smaller label wins."""
+    model, labels = text_bayes(train, text, label, smoothing), text_bayes_labels(train, text, label, smoothing)
+    scores = text_bayes_score(model, labels, test, doc_id, text)
+    best = F.max_by("label", F.struct(F.round("score", 9), -F.col("label")))
+    found = scores.groupBy("doc").agg(best.alias("prediction")).withColumnRenamed("doc", doc_id)
+    return test.join(found, doc_id)
 
 
 def naive_bayes(df: DataFrame, features: list[str], label: str, smoothing: float = 1.0) -> DataFrame:

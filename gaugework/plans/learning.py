@@ -190,13 +190,33 @@ def text_bayes_score(spark, sf):
     return bayes.text_bayes_score(model, labels, docs, "doc_id", "text").withColumn("score", F.round("score", 4))
 
 
-@query("text_bayes_predict")
-def text_bayes_predict(spark, sf):
-    train, test = learning.train_test_split(labelled_documents(spark, sf), ["doc_id"])
-    return bayes.text_bayes_predict(train, test, "text", "quality").select("doc_id", "quality", "prediction")
+HELD_OUT = "('0x' || substr(md5({}::VARCHAR || ' 5'), 1, 12))::BIGINT % 1000000 < 200000"
 
 
-HELD_OUT = "('0x' || substr(md5({}::VARCHAR || ' 5'), 1, 12))::BIGINT % 1000000 < 200000"
+@query(
+    "text_bayes_predict",
+    rf"""
+WITH train AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id) WHERE NOT {HELD_OUT.format("doc_id")}),
+test AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id) WHERE {HELD_OUT.format("doc_id")}),
+{WORD_SQL.replace("documents JOIN labels USING (doc_id)", "train")},
+docs AS (SELECT quality AS label, count(*) AS docs FROM train GROUP BY 1),
+priors AS (SELECT label, total, ln(docs / (SELECT sum(docs) FROM docs)) AS log_prior FROM docs JOIN totals USING (label)),
+vocabulary AS (SELECT DISTINCT word FROM counts),
+seen AS (
+  SELECT doc_id, word, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM test)
+  WHERE word IN (SELECT word FROM vocabulary) GROUP BY 1, 2),
+scores AS (
+  SELECT d.doc_id, d.quality, p.label, any_value(log_prior) + coalesce(sum(tf * ln((coalesce(n, 0) + 1) / total)), 0) AS score
+  FROM test d CROSS JOIN priors p LEFT JOIN seen s ON s.doc_id = d.doc_id
+  LEFT JOIN counts c ON c.label = p.label AND c.word = s.word GROUP BY 1, 2, 3)
+SELECT doc_id, quality, label AS prediction FROM scores
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, label) = 1
+""",
+)
+def text_bayes_predict(spark, sf):
+    train, test = learning.train_test_split(labelled_documents(spark, sf), ["doc_id"])
+    return bayes.text_bayes_predict(train, test, "doc_id", "text", "quality").select("doc_id", "quality", "prediction")
 
 
 @query(

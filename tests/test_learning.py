@@ -203,7 +203,7 @@ def test_text_bayes(spark):
 def test_text_bayes_predict(spark):
     docs = frame(spark, [(i, t, 1.0 if s == "+" else 0.0) for i, t, s in DOCS], "id int, text string, label double")
     new = frame(spark, [(10, "good film"), (11, "bad plot")], "id int, text string")
-    got = bayes.text_bayes_predict(docs, new, "text", "label", buckets=1 << 12)
+    got = bayes.text_bayes_predict(docs, new, "id", "text", "label")
     assert rows(got.select("id", "prediction")) == [(10, 1.0), (11, 0.0)]
 
 
