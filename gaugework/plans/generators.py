@@ -33,6 +33,10 @@ GENERATORS = {
     "gen_baskets": lambda i: generators.gen_baskets(i, 100),
     "gen_sequences": lambda i: generators.gen_sequences(i, 100, 5, 3),
     "gen_suite_dataset": lambda i: generators.gen_suite_dataset(i, "visits", 1000),
+    "gen_suite_rankings": lambda i: generators.gen_suite_dataset(i, "rankings", 1000),
+    "gen_suite_lines": lambda i: generators.gen_suite_dataset(i, "lines", 1000),
+    "gen_suite_records": lambda i: generators.gen_suite_dataset(i, "records", 1000),
+    "gen_suite_links": lambda i: generators.gen_suite_dataset(i, "links", 1000),
 }
 
 

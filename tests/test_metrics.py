@@ -133,3 +133,34 @@ def test_streamed_feed_resamples_like_the_batch(spark, tmp_path):
         started.stop()
     batch = metrics.metric_resample(metrics.metric_prune(feeds.read_metric_feed(spark, str(folder), "disk")), 10, ["host", "DEV"])
     assert rows(spark.table("resampled")) == rows(batch) and batch.count() == 12
+
+
+def test_buckets_are_final_once_the_feed_is_late_past_them(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+
+    def arrive(name, samples):
+        feeds.write_metric_feed(feed(spark, "disk", samples).coalesce(1), str(tmp_path / name), "disk")
+        (part,) = glob.glob(str(tmp_path / name / "part*"))
+        (folder / f"{name}.csv").write_text(open(part).read())
+
+    stream = stream_resample(stream_metric_feed(spark, str(folder), "disk"), 10, "20 seconds", ["host", "DEV"])
+    arrive("first", [("h", s, "sda", s) for s in range(2, 100, 2)])
+    sink = stream.writeStream.format("memory").queryName("appended").outputMode("append")
+    started = sink.option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        started.processAllAvailable()
+        early = {r["ts"] for r in spark.table("appended").collect()}
+        # the watermark is 78: buckets up to 70 have been given out, those after it are open
+        assert max(early) == at(60) and len(early) == 7
+        arrive("second", [("h", 1, "sda", 1), ("h", 91, "sda", 91), ("h", 200, "sda", 200)])
+        started.processAllAvailable()
+        state = started.lastProgress["stateOperators"][0]
+    finally:
+        started.stop()
+    batch = metrics.metric_resample(
+        metrics.metric_prune(feeds.read_metric_feed(spark, str(tmp_path / "first"), "disk")), 10, ["host", "DEV"]
+    )
+    # the row of second 1 came too late to change its bucket, the last bucket is still open, the others are those of the batch
+    assert rows(spark.table("appended")) == rows(batch) and batch.count() == 10
+    assert state["numRowsTotal"] == 1
