@@ -9,11 +9,11 @@ n - ceil(t n) + 1 elements of that order at least once, and in one more element
   enter there too;
 - the boundary is the size up to which enumerating subsets costs less than scanning lists, by the mean list length.
 
-A list is not expanded into all pairs. First each set is compared with the one leader it shares most lists with; verified
-links give components. Then, list by list and in blocks, only members of different components are counted against each other,
-and a pair is open if it shares as many lists as any link must: of the first n - ceil(t n) + 1 elements no more than the
-n - overlap that a link may lack. Of the open pairs each set's best one is compared, the components are joined, and after
-some rounds of that every pair that is still open between components. Exact copies are one class throughout. So every link between classes is either verified
+A list is not expanded into all pairs. In some rounds each member of a list meets one leader of it that is not of its own
+component, each set is compared with the leader it met most often, and verified links join components. Lists of one
+component are closed. In those still open, in blocks, members of different components are counted against each other, and a
+pair is compared if it shares as many lists as any link must: of the first n - ceil(t n) + 1 elements no more than the
+n - overlap that a link may lack. Exact copies are one class throughout. So every link between classes is either verified
 or inside a component of verified ones, and components are those of all links.
 """
 
@@ -35,8 +35,8 @@ COUNT_BLOCK = 4_000_000
 #: Of 64 equal ranges of shingle hashes, those that are counted exactly. They come first in the global order, so the
 #: elements that lists are made of (a quarter of a set) are from the counted ones in most sets.
 COUNTED_RANGES = 24
-#: Rounds in which each set outside its partners' component is compared with the best partner only.
-BEST_ROUNDS = 2
+#: Rounds in which each set is compared with one leader only, before what is still open is counted pair by pair.
+LEADER_ROUNDS = 3
 #: Frequent shingles are those above a count chosen so that no more than this many can exist.
 MOST_FREQUENT = 16_000_000
 LEAST_FREQUENT = 8
@@ -133,7 +133,8 @@ def _ordered(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
 
 
 def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) -> DataFrame:
-    """The list entries ``sig, part, fp, n, subset`` of every class (once a task); ``subset`` tells lists of pairs of elements."""
+    """The list entries ``sig, part, fp, n, subset, common`` of every class (once a task). ``subset`` tells lists of pairs of
+    elements; ``common`` is the share of frequent shingles in the set, in 1/1000."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = frequent.value
@@ -142,14 +143,14 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
         held = 0
 
         def flush() -> pa.RecordBatch:
-            names = ["sig", "part", "fp", "n", "subset"]
+            names = ["sig", "part", "fp", "n", "subset", "common"]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
 
-        def add(keys: np.ndarray, count: np.ndarray, subset: bool, print_: int, n: int) -> None:
+        def add(keys: np.ndarray, count: np.ndarray, subset: bool, print_: int, n: int, common: int) -> None:
             parts = count // PART_ROWS
             part = np.where(parts > 0, (print_ & 0x7FFFFFFF) % np.maximum(parts + 1, 1), -1).astype(np.int32)
             some = len(keys)
-            rows.append((keys.view(np.int64), part, np.full(some, print_, np.int64), np.full(some, n, np.int32), np.full(some, subset)))
+            rows.append((keys.view(np.int64), part, np.full(some, print_, np.int64), np.full(some, n, np.int32), np.full(some, subset), np.full(some, common, np.int32)))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -160,13 +161,14 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
                     seen.add(print_)
                     least = -(-percent * n // 100)
                     s, count = _ordered(s, shingles, counts)
+                    common = int(1000 * np.count_nonzero(count) / n)
                     if n <= limit:
                         i, j = np.triu_indices(n - least + 2, 1)
-                        add(mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + mix(s[j])), np.minimum(count[i], count[j]), True, print_, n)
+                        add(mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + mix(s[j])), np.minimum(count[i], count[j]), True, print_, n, common)
                         held += len(i)
                     if n > limit or 100 * n >= percent * (limit + 1):
                         first = n - least + 1
-                        add(mix(s[:first]), count[:first], False, print_, n)
+                        add(mix(s[:first]), count[:first], False, print_, n, common)
                         held += first
                     if held >= EMIT_ROWS:
                         yield flush()
@@ -174,47 +176,88 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
         if rows:
             yield flush()
 
-    return docs.mapInArrow(run, "sig long, part int, fp long, n int, subset boolean")
+    return docs.mapInArrow(run, "sig long, part int, fp long, n int, subset boolean, common int")
+
+
+def _by_run(batches: Iterator[pa.RecordBatch], keys: int, handle) -> Iterator[pa.RecordBatch]:
+    """Hand on sorted columns so that rows equal in the first ``keys`` columns are never parted."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            columns = [np.concatenate(pair) for pair in zip(rest, columns)]
+        if not len(columns[0]):
+            continue
+        last = np.all([c == c[-1] for c in columns[:keys]], axis=0)
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+        rest = [c[cut:] for c in columns]
+        if cut:
+            yield from handle([c[:cut] for c in columns])
+    if rest is not None and len(rest[0]):
+        yield from handle(rest)
+
+
+def _new(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
 
 
 def lists(listed: DataFrame) -> DataFrame:
-    """Members of every list with two or more, each with the one member (of median size) that it meets first."""
-    names = ["sig", "fp", "n", "subset", "lead", "lead_n"]
+    """Members of every list that has two or more."""
+    names = ["sig", "part", "fp", "n", "subset", "common"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def members(columns: list[np.ndarray]) -> pa.RecordBatch:
-            sig, part, fp, n, subset = columns
-            fresh = np.ones(len(sig), bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])
-            sig, part, fp, n, subset = (c[fresh] for c in columns)
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(sig)))
-            lead = np.repeat(start + size // 2, size)
-            keep = np.repeat(size > 1, size) | (part >= 0)
-            made = [sig, fp, n, subset, fp[lead], n[lead]]
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in made], names)
+    def members(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = [c[_new(columns[:3])] for c in columns]
+        sizes = np.diff(np.append(np.flatnonzero(_new(columns[:2])), len(columns[0])))
+        keep = np.repeat(sizes > 1, sizes) | (columns[1] >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
 
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(pair) for pair in zip(rest, columns)]
-            if not len(columns[0]):
-                continue
-            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            rest = [c[cut:] for c in columns]
-            if cut:
-                yield members([c[:cut] for c in columns])
-        if rest is not None and len(rest[0]):
-            yield members(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_run(batches, 2, members)
 
     parts = shuffle_partitions(listed.sparkSession)
-    dealt = listed.repartition(parts, "sig", "part").sortWithinPartitions("sig", "part", "n", "fp")
-    return dealt.mapInArrow(run, "sig long, fp long, n int, subset boolean, lead long, lead_n int")
+    dealt = listed.repartition(parts, "sig", "part").sortWithinPartitions("sig", "part", "fp")
+    return dealt.mapInArrow(run, "sig long, part int, fp long, n int, subset boolean, common int")
+
+
+def meetings(members: DataFrame, turn: int) -> DataFrame:
+    """Each member with the first leader of its list, or, where they are of one component, with the first of another.
+
+    The first round is led by the members with most frequent shingles (in a group of near copies those least altered),
+    later ones by members drawn anew. So a list of any length sends one row a member.
+    """
+    names = ["fp", "n", "subset", "lead", "lead_n"]
+
+    def meet(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, _, fp, n, subset, label = columns
+        start = np.flatnonzero(_new(columns[:2]))
+        run = np.cumsum(_new(columns[:2])) - 1
+        end = np.append(start[1:], len(fp)) - 1
+        first = end[run]
+        other = np.maximum.reduceat(np.where(label != label[first], np.arange(len(fp)), -1), start)[run]
+        lead = np.where(label != label[first], first, other)
+        keep = lead >= 0
+        made = [fp, n, subset, fp[lead], n[lead]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in made], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_run(batches, 2, meet)
+
+    order = [F.col("common") if not turn else F.xxhash64("fp", F.lit(turn)), F.col("fp")]
+    dealt = members.repartition(shuffle_partitions(members.sparkSession), "sig", "part").sortWithinPartitions("sig", "part", *order)
+    return dealt.select("sig", "part", "fp", "n", "subset", "label").mapInArrow(
+        run, "fp long, n int, subset boolean, lead long, lead_n int"
+    )
+
+
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their ``label``, of lists that hold more than one component."""
+    named = members.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = materialise(named, "join-named")
+    ends = named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("size"))
+    ends = ends.where("_low != _high").select("sig", "size")
+    return materialise(named.drop("size").join(ends, "sig"), "join-open")
 
 
 def needed_lists(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -222,35 +265,30 @@ def needed_lists(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return least_overlap(n, m, percent) + (-percent * np.maximum(n, m) // 100) + 1
 
 
-def leaders(members: DataFrame, percent: int) -> DataFrame:
-    """For each set the leader ``b`` that it shares most lists with, if those are at least half of what a link needs."""
+def leaders(met: DataFrame, percent: int) -> DataFrame:
+    """For each set the leader that it met in most lists, if those are at least half of what a link needs."""
     least = F.expr(f"({percent} * (n + lead_n) + {99 + percent}) div {100 + percent}")
     need = least - F.expr(f"({percent} * greatest(n, lead_n) + 99) div 100") + 1
-    met = members.where("fp != lead").select("fp", "lead", F.when(F.col("subset"), 1).otherwise(need).alias("need"))
+    met = met.select("fp", "lead", F.when(F.col("subset"), 1).otherwise(need).alias("need"))
     met = met.groupBy("fp", "lead").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("2 * met >= need")
     best = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("met"), "lead"))
     chosen = met.withColumn("_place", best).where("_place = 1")
     return chosen.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
 
 
-def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of different components that share as many lists as a link needs.
 
     Lists are cut into blocks, and each two blocks of a list meet in a task of their own.
     """
-    named = members.select("sig", "fp", "n", "subset").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = materialise(named, "join-members")
-    apart = named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_size"))
-    apart = apart.where("_low != _high").select("sig", F.ceil(F.col("_size") / BLOCK_ROWS).cast("int").alias("_blocks"))
-    blocks = named.join(apart, "sig").withColumn("_own", F.expr("cast(pmod(xxhash64(fp), _blocks) as int)"))
+    sized = members.withColumn("_blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+    blocks = sized.withColumn("_own", F.expr("cast(pmod(xxhash64(fp), _blocks) as int)"))
     blocks = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
         "sig", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") <= F.col("_other")).alias("left"),
         "fp", "n", "subset", "label",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
         def compare(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
             _, i, j, left, fp, n, subset, label = columns
             inside = i[0] == j[0]
@@ -267,8 +305,7 @@ def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             return np.minimum(fp[p], fp[q]), np.maximum(fp[p], fp[q]), need
 
         def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            new = np.ones(len(columns[0]), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+            new = _new(columns[:3])
             edge = np.append(np.flatnonzero(new), len(new))
             found, held = [], 0
             for begin, end in zip(edge[:-1], edge[1:]):
@@ -279,40 +316,12 @@ def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "need"])
                     found, held = [], 0
 
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(pair) for pair in zip(rest, columns)]
-            if not len(columns[0]):
-                continue
-            last = np.all([c == c[-1] for c in columns[:3]], axis=0)
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            rest = [c[cut:] for c in columns]
-            if cut:
-                yield from pairs([c[:cut] for c in columns])
-        if rest is not None and len(rest[0]):
-            yield from pairs(rest)
+        yield from _by_run(batches, 3, pairs)
 
     parts = shuffle_partitions(members.sparkSession)
     dealt = blocks.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     met = dealt.mapInArrow(run, "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
-    return met.where("met >= need").select("a", "b", "met")
-
-
-def best_partners(pairs: DataFrame) -> DataFrame:
-    """For each set the pair with the partner it shares most lists with."""
-    both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other"), "met")
-    both = both.union(pairs.select("b", "a", "met"))
-    best = both.groupBy("fp").agg(F.max(F.struct("met", "other")).alias("x")).select("fp", "x.other")
-    return best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-
-
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    for end in ("a", "b"):
-        label = labels.select(F.col("fp").alias(end), F.col("label").alias(f"_{end}"))
-        pairs = pairs.join(label, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    return pairs.where("_a != _b").drop("_a", "_b")
+    return met.where("met >= need").select("a", "b")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -441,19 +450,20 @@ def near_duplicates(
 
     only = texts.select("text")
     members = materialise(lists(entries(only, width, percent, limit, frequent)), "join-lists")
-    starred = materialise(leaders(members, percent), "join-leaders")
-    links = materialise(verify(only, starred, width, percent), "join-first")
-    labels = components(links)
-    others = materialise(across(members, labels, percent).join(starred, ["a", "b"], "left_anti"), "join-across")
-    for turn in range(BEST_ROUNDS + 1):
-        if others.isEmpty():
+    labels = spark.createDataFrame([], "fp long, label long")
+    open_lists, compared = members.withColumns({"label": F.col("fp"), "size": F.lit(0).cast("long")}), None
+    for turn in range(LEADER_ROUNDS + 1):
+        if turn:
+            open_lists = still_open(open_lists, labels)
+        if open_lists.isEmpty():
             break
-        # first each set's best partner, which settles most; at last all that is still open
-        chosen = materialise(best_partners(others) if turn < BEST_ROUNDS else others.select("a", "b"), "join-chosen")
-        more = materialise(verify(only, chosen, width, percent), "join-more")
-        labels = components(labels.toDF("a", "b").union(more))
-        if turn < BEST_ROUNDS:
-            others = materialise(apart(others.join(chosen, ["a", "b"], "left_anti"), labels), "join-open")
+        chosen = leaders(meetings(open_lists, turn), percent) if turn < LEADER_ROUNDS else across(open_lists, percent)
+        if compared is not None:
+            chosen = chosen.join(compared, ["a", "b"], "left_anti")
+        chosen = materialise(chosen, "join-chosen")
+        links = materialise(verify(only, chosen, width, percent), "join-links")
+        labels = components(labels.toDF("a", "b").union(links))
+        compared = chosen if compared is None else compared.union(chosen)
 
     bar = max(1, (totals["rows"] or 0) // HOT_SHARE)
     classes = light.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("_copies"), F.min("n").alias("_n"), F.max("n").alias("_m"))
