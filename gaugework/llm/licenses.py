@@ -47,9 +47,8 @@ TEMPLATES = [
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 
-#: Words per template in the index, and words of a file that are looked up, by falling IDF.
+#: Words per template in the index, by falling IDF. All of them that a file holds are looked up.
 INDEXED_WORDS = 4
-LOOKED_UP_WORDS = 12
 
 
 def split_words(text: Column) -> Column:
@@ -113,7 +112,7 @@ def scan_licenses(
     postings = build_postings(templates, idf)
     ends = {p.split()[-1] for p, _ in phrases}
     wanted = F.array(*[F.lit(w) for w in sorted(set(postings) | ends)])
-    ranked = sorted(postings, key=lambda w: (-idf[w], w))
+    indexed = sorted(postings)
 
     own = docs.select(
         F.col(id_column).alias("doc_id"),
@@ -128,12 +127,9 @@ def scan_licenses(
         base.append(_phrase_places(phrase.split(), label))
 
     listed = F.map_from_arrays(
-        F.array(*[F.lit(w) for w in ranked]),
-        F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]) for w in ranked]),
+        F.array(*[F.lit(w) for w in indexed]),
+        F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]) for w in indexed]),
     )
-    order = F.array(*[F.lit(w) for w in ranked])
-    # the file's own rarest words: the head of the ranked list that the file holds
-    looked_up = F.slice(F.filter(order, lambda w: F.exists("_places", lambda x: x["w"] == w)), 1, LOOKED_UP_WORDS)
     texts = F.array(*[F.array(*[F.lit(w) for w in words]) for words in template_words])
 
     def proposals(x: Column) -> Column:
@@ -148,8 +144,8 @@ def scan_licenses(
         return F.transform(F.coalesce(F.element_at(listed, x["w"]), F.array().cast("array<struct<t:int,p:int>>")), one)
 
     kind = "array<struct<template:int,offset:int,anchor:int,window:array<string>>>"
-    proposed = F.flatten(F.transform(F.filter("_places", lambda x: F.array_contains(F.col("_rare"), x["w"])), proposals)).cast(kind)
-    own = own.withColumns({"_rare": looked_up, "_base": F.concat(*base)}).select(
+    proposed = F.flatten(F.transform("_places", proposals)).cast(kind)
+    own = own.withColumn("_base", F.concat(*base)).select(
         "doc_id",
         "_hash",
         F.size("_words").cast("long").alias("n_words"),

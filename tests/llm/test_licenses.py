@@ -50,6 +50,20 @@ def test_templates(found):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_file_with_all_notices(documents):
+    notices = [t.text for t in licenses.TEMPLATES]
+    rows = [(1, "\n\n".join(notices)), (2, "\n\n".join(reversed(notices)) + " any charge free copy"), (3, "can any copy into binary forms")]
+    rows += [(10 + i, "the terms of the license and software in source and public work") for i in range(30)]
+    for r in licenses.scan_licenses(documents(rows)).where("doc_id < 10").collect():
+        words = re.findall("[a-z0-9]+", dict(rows)[r.doc_id].lower())
+        whole = set()
+        for number, template in enumerate(licenses.TEMPLATES):
+            own = template.text.split()
+            whole |= {(number, i) for i in range(len(words)) if words[i : i + len(own)] == own}
+        assert {(m["template"], m["offset"]) for m in r.matches or [] if m["share"] == 1.0} == whole
+        assert r.labels == ",".join(sorted({licenses.TEMPLATES[n].label for n, _ in whole}))
+
+
 def test_rare_words_are_indexed():
     idf = {w: 1.0 for t in licenses.TEMPLATES for w in t.text.split()} | {"the": 0.0, "mit": 5.0}
     postings = licenses.build_postings(licenses.TEMPLATES[:1], idf, keep=2)
