@@ -150,8 +150,12 @@ class Restorer:
         return bytes(reversed(out))
 
 
-def _obscured(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which chunks have more than one reading worth a search."""
+def _obscured(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks have more than one reading worth a search, and which of them are no words as they stand.
+
+    The others (numbers, words of signs alone or nearly so, words that a sign closes, which may be punctuation) count by
+    their plain letters as well as by their reading.
+    """
     n = len(low)
     letter, sign, digit, gap = _LETTER[low], _SIGN[low], _DIGIT[low], _GAP[low]
     event = np.zeros(n, bool)
@@ -161,9 +165,26 @@ def _obscured(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     event[2:] |= same
     if n > 4:
         event[4:] |= letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:]
-    total = np.concatenate([[0], np.cumsum(event)])
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    return (total[end] > total[begin]) & (letters[end] - letters[begin] >= 2)
+    either = letter | sign
+    apart = np.zeros(n, bool)
+    apart[:-1] |= sign[:-1] & either[1:]
+    apart[1:] |= sign[1:] & either[:-1]
+    if n > 4:
+        apart[4:] |= either[:-4] & gap[1:-3] & either[2:-2] & gap[3:-1] & either[4:]
+
+    def held(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask)])
+        return total[end] - total[begin]
+
+    masked = (held(event) > 0) & (held(letter) >= 2)
+    return masked | ((held(event | apart) > 0) & (held(either) >= 2)), masked
+
+
+def _chains(member: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the runs of three or more chunks that are members and joined to the one before."""
+    linked = np.zeros(len(member), bool)
+    linked[1:] = member[1:] & member[:-1] & joined
+    return [(a, b) for a, b in zip((x - 1 for x in _bounds(linked)[0].tolist()), _bounds(linked)[1].tolist()) if b - a >= 3]
 
 
 class Evidence:
@@ -175,19 +196,18 @@ class Evidence:
     def restored(self, low: np.ndarray, text_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
         """Begin, end and text of the plain words, and (text, reading) of the obscured chunks."""
         begin, end = _bounds(~_SPACE[low])
-        odd = _obscured(low, begin, end) if len(begin) else np.zeros(0, bool)
-        one = (end - begin == 1) & _LETTER[low[begin]] & (low[begin] < 128)
+        odd, hidden = _obscured(low, begin, end) if len(begin) else np.zeros((2, 0), bool)
+        single = end - begin == 1
+        letter = single & _LETTER[low[begin]] & (low[begin] < 128)
         text_of = np.searchsorted(text_start, begin, side="right") - 1
-        chained = np.zeros(len(begin), bool)
-        if len(begin) > 2:
-            chained[1:] = one[1:] & one[:-1] & (begin[1:] == end[:-1] + 1) & (text_of[1:] == text_of[:-1])
-        spaced_from, spaced_to = _bounds(chained)
+        same_text = text_of[1:] == text_of[:-1]
         pieces: list[tuple[int, bytes]] = []
-        hidden = odd.copy()
-        for a, b in zip(spaced_from - 1, spaced_to):
-            if b - a >= 3:
-                hidden[a:b] = True
-                pieces.append((int(text_of[a]), self.restorer.restore(low[begin[a] : end[b - 1]].tobytes().translate(_TO_SPACE))))
+        plain = _chains(letter, same_text & (begin[1:] == end[:-1] + 1))
+        for a, b in plain:
+            hidden[a:b] = True
+        # stand-ins and runs of white space too; a chain of letters inside a longer one is read by itself as well
+        for a, b in sorted({*plain, *_chains(letter | (single & _SIGN[low[begin]]), same_text)}):
+            pieces.append((int(text_of[a]), self.restorer.restore(" ".join(low[begin[a:b]].tobytes().decode()).encode())))
         for k in np.flatnonzero(odd):
             pieces.append((int(text_of[k]), self.restorer.restore(low[begin[k] : end[k]].tobytes())))
         masked = _LETTER[low]
@@ -223,9 +243,6 @@ class Evidence:
         return out
 
 
-_TO_SPACE = bytes(32 if _SPACE[b] else b for b in range(256))
-
-
 def held_out(id_column: Column) -> Column:
     """Rows that never teach: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))

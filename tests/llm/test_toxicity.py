@@ -54,6 +54,40 @@ def test_obscured_words_are_restored(spark, trained, documents, text):
     assert scores[1] >= toxicity.THRESHOLD > scores[2]
 
 
+@pytest.fixture(scope="module")
+def short_words(spark, checkpoint_folder):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(PLAIN) for _ in range(rng.randint(5, 40))] + [rng.choice(["the", "1984", "$100", "wow!"])]
+        if i % 4 == 0:
+            words += [rng.choice(["idiot", "hate", "ass", "shit"]) for _ in range(3)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+
+OBSCURED = ["1d107", "h473", "5h17", "a55", "a$$", "i d 1 0 t", "1 d 1 0 7", "i  d  i  o  t", "i d\ti \n o t", "i.d.1.0.t", "idiot!"]
+
+
+def test_words_of_signs_and_wide_spacing_are_restored(short_words, documents):
+    rows = [(k, f"river stone garden {w} window market") for k, w in enumerate(OBSCURED)]
+    clean = ["river stone garden window market", "river 1984 stone $100 1 2 3 4", "garden! market! a b c", "3.14 192.168.10.1 12:30 +49 30 1234567"]
+    rows += [(100 + k, w) for k, w in enumerate(clean)]
+    found = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score_documents(documents(rows), short_words).collect()}
+    assert {w: found[k] for k, w in enumerate(OBSCURED)} == dict.fromkeys(OBSCURED, True)
+    assert not any(found[100 + k] for k in range(len(clean)))
+
+
+def test_words_of_signs_alone_are_searched(short_words):
+    features = toxicity.Evidence(short_words.trigrams)
+    assert len(features.features(pa.array(["@$$"]))[0]) == 0  # a rare word: three breaks are likelier
+    features.restorer.cache[b"@$$"] = b"ass"
+    assert len(features.features(pa.array(["@$$"]))[0]) == 1
+
+
 def test_search_is_the_best_of_all_readings(trained):
     restorer = toxicity.Restorer(trained.trigrams)
 
