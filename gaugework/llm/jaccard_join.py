@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.bytewords import mix, shingle_sets
@@ -60,12 +60,12 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 
 def survey(docs: DataFrame, width: int) -> DataFrame:
-    """One scan: ``kind 0`` rows (id, fingerprint, size) for documents, ``kind 1`` rows (shingle, count) for the shingles of
+    """One scan: ``kind 0`` rows (id, fingerprint, size, hash of the text) for documents, ``kind 1`` rows (shingle, count) for the shingles of
     the counted ranges and any that occur more than once in a block of documents, ``kind 2`` rows (occurrences, distinct) for
     each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "n"]
+        names = ["kind", "a", "b", "n", "text_hash"]
         held, size, known = [], 0, set()
 
         def count() -> pa.RecordBatch:
@@ -73,8 +73,10 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
             twice = (counts > 1) | _counted(values)
             kinds = np.append(np.full(int(twice.sum()), 1, np.int8), np.int8(2))
             a = np.append(values[twice].view(np.int64), counts.sum())
+            b = np.append(counts[twice], len(values))
             return pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(a), pa.array(np.append(counts[twice], len(values))), pa.array(np.zeros(len(a), np.int32))], names
+                [pa.array(kinds), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32)), pa.nulls(len(a), pa.int64())],
+                names,
             )
 
         for batch in batches:
@@ -96,13 +98,14 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
                         ids.slice(at, 512),
                         pa.array(prints, pa.int64()),
                         pa.array([len(s) for s in sets], pa.int32()),
+                        batch.column(2).slice(at, 512),
                     ],
                     names,
                 )
         if held:
             yield count()
 
-    return docs.mapInArrow(run, "kind byte, a long, b long, n int")
+    return docs.mapInArrow(run, "kind byte, a long, b long, n int, text_hash long")
 
 
 def _counted(shingles: np.ndarray) -> np.ndarray:
@@ -416,10 +419,14 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(small.distinct(), "join-small")
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = 5, percent: int = 75
 ) -> DataFrame:
-    """Per row ``doc_id, n_shingles, class_id, component_id``.
+    """Per row ``doc_id, n_shingles, class_id, component_id, text_hash``.
 
     Texts link when 100 * intersection >= ``percent`` * union of their distinct ``width``-word shingles (A-Z in lower case,
     words between ASCII white space; a shorter text is one shingle). ``class_id`` is equal for equal sets; ``component_id`` is the
@@ -427,9 +434,10 @@ def near_duplicates(
     ids never name a component unless it has no other. Repeated rows are copies like any others.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = F.col(text)
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), own.alias("text"), _text_hash(own).alias("text_hash"))
     surveyed = materialise(survey(texts, width), "join-survey")
-    light = surveyed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), "n")
+    light = surveyed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), "n", "text_hash")
     totals = light.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows")).first()
     lengths = surveyed.where("kind = 2").agg(F.sum("a").alias("all"), F.sum("b").alias("distinct")).first()
     bar = max(LEAST_FREQUENT, (totals["all"] or 0) // MOST_FREQUENT + 1)
@@ -460,18 +468,23 @@ def near_duplicates(
     same = F.when(F.col("_n") != F.col("_m"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.col("_copies"))
     classes = classes.select("fp", same.alias("_copies")).join(labels, "fp", "left")
     named = look_up(light.where("fp is not null"), classes.select("fp", F.coalesce("label", "fp").alias("label"), "_copies"), ["fp"], "_copies", bar)
-    named = materialise(named.select("doc_id", "n", "fp", "label"), "join-named")
+    named = materialise(named.select("doc_id", "n", "fp", "label", "text_hash"), "join-named")
     groups = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
-    placed = look_up(named, groups, ["label"], "_rows", bar).select("doc_id", "n", "fp", "component_id")
-    alone = light.where("fp is null").select("doc_id", "n", "fp", F.col("doc_id").alias("component_id"))
-    return placed.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("fp").alias("class_id"), "component_id")
+    placed = look_up(named, groups, ["label"], "_rows", bar).select("doc_id", "n", "fp", "component_id", "text_hash")
+    alone = light.where("fp is null").select("doc_id", "n", "fp", F.col("doc_id").alias("component_id"), "text_hash")
+    return placed.unionByName(alone).select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("fp").alias("class_id"), "component_id", "text_hash"
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component: one document of each group, with all its columns.
 
-    Rows of one id in one component are one document; all of them stay.
+    Rows of one id in one component are one document; all of them stay. Rows are found again by id and a hash of their text,
+    so rows of other texts under a null or repeated id are judged by their own components.
     """
     found = near_duplicates(docs, text, id_column, width, percent)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[id_column].cast("long").eqNullSafe(F.col("_lost")), "left_anti")
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lost = lost.select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_lost_hash")).distinct()
+    same = docs[id_column].cast("long").eqNullSafe(F.col("_lost")) & (_text_hash(docs[text]) == F.col("_lost_hash"))
+    return docs.join(lost, same, "left_anti")

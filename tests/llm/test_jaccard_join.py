@@ -109,6 +109,15 @@ def test_empty_table_and_clashing_columns(documents):
     assert left.columns == extra.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
+def test_null_and_shared_ids_lose_only_their_own_copies(documents):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    a, b, x, y = (text(name) for name in "abxy")
+    rows = [(None, a), (None, b), (5, b + " end"), (7, x), (9, x + " end"), (7, y), (3, y + " end"), (None, None), (5, "")]
+    left = jaccard_join.drop_near_duplicates(documents(rows)).collect()
+    stay = [(None, a), (5, b + " end"), (7, x), (3, y + " end"), (None, None), (5, "")]
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(stay)
+
+
 def test_word_hashes_follow_the_words():
     import pyarrow as pa
 
