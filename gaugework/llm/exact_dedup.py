@@ -86,10 +86,15 @@ def find_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id", capacity: int = 4096) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    lost = find_copies(docs, text, id_column, capacity).where("not kept").select(
-        F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")
-    )
-    lost = lost.distinct()
-    same = F.col(id_column).eqNullSafe(F.col("_lost_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_lost_sha"))
-    return docs.join(lost, same, "left_anti")
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat both id and text a single one, whichever.
+
+    Such rows are combined in the map tasks, so a crowd of them is one row per task; without any, nothing is combined.
+    """
+    found = find_copies(docs, text, id_column, capacity)
+    lost = found.where("not kept").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")).distinct()
+    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    left = docs.join(lost, F.col(id_column).eqNullSafe(F.col("_lost_id")) & (sha == F.col("_lost_sha")), "left_anti")
+    repeated = found.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return left
+    return left.withColumn("_sha", sha).dropDuplicates([id_column, "_sha"]).drop("_sha")

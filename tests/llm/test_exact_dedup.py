@@ -49,3 +49,12 @@ def test_empty_table_and_clashing_columns(spark, documents):
     left = exact_dedup.drop_copies(extra)
     assert sorted(r.doc_id for r in left.collect()) == [2, 3]
     assert left.columns == extra.columns
+
+
+def test_one_of_rows_that_repeat_id_and_text_stays(documents):
+    rows = [*EDGE, (9, "c"), (9, "d"), (10, None), (10, "")] + [(None, "crowd")] * 50 + [(11, "again")] * 50
+    left = [(r.doc_id, r.text or "") for r in exact_dedup.drop_copies(documents(rows)).collect()]
+    keep = {}
+    for i, t in rows:
+        keep[t or ""] = max((x for x in (i, keep.get(t or "")) if x is not None), default=None)
+    assert sorted(left, key=repr) == sorted(((i, t) for t, i in keep.items()), key=repr)
