@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.llm import bpe, exact_dedup, html_text, jaccard_join, licenses, mixing, quality, sharding, toxicity, warc
+from gaugework.llm import (
+    bpe, decontaminate, exact_dedup, html_text, jaccard_join, licenses, manifest, mixing, quality, sharding, toxicity, warc,
+)
 from gaugework.llm.registry import query
 from gaugework.sources.tables import load
 
@@ -166,3 +168,108 @@ def op10_html_text(spark, folder):
     pages = load(spark, folder, "pages")
     found = html_text.extract(pages, html_text.train(pages), keep=["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _merkle_levels(leaf: str, levels: int) -> str:
+    """Tables ``{leaf}_1 ... {leaf}_levels`` over ``{leaf}_0 (g, pos, digest)``; a group of one node stays as it is."""
+    return "".join(
+        f"""
+    {leaf}_{k + 1} AS (
+        SELECT g, pos // 16 AS pos, CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest
+        FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {leaf}_{k}) GROUP BY g, pos // 16),"""
+        for k in range(levels)
+    )
+
+
+def _merkle_paths(name: str, leaf: str, start: str, levels: int) -> str:
+    """Tables ``{name}_1 ... {name}_levels`` over ``{start} (rid, g, pos, h, proof)``: the fold and the siblings so far."""
+    tables, previous = [], start
+    for k in range(levels):
+        tables.append(f"""
+    {name}_{k + 1} AS (
+        SELECT m.rid, any_value(m.g) AS g, any_value(m.pos) // 16 AS pos,
+            CASE WHEN any_value(s.n) = 1 THEN any_value(m.h)
+                ELSE sha256(string_agg(CASE WHEN s.pos = m.pos THEN m.h ELSE s.digest END, '' ORDER BY s.pos)) END AS h,
+            any_value(m.proof) || coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos <> m.pos), '') AS proof
+        FROM {previous} m JOIN (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {leaf}_{k}) s
+            ON s.g = m.g AND s.pos // 16 = m.pos // 16
+        GROUP BY m.rid),""")
+        previous = f"{name}_{k + 1}"
+    return "".join(tables)
+
+
+def _field(column: str) -> str:
+    value = f"{column}::VARCHAR"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode({value}))::VARCHAR || ':' || {value} END"
+
+
+#: The checksum of an ASCII text, bit by bit; 3988292384 is its reversed polynomial.
+CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, len({0}) + 1), lambda i: list_transform(range(0, 8),
+                lambda k: ((ascii(({0})[i]) >> k) & 1)::BIGINT))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+#: Levels that the SQL has: enough for 16^5 rows of a source and as many sources.
+LEVELS = 5
+SMALL_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_manifest",
+    f"""
+    WITH hashed AS (
+        SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS g,
+            sha256({" || ".join(f"({_field(c)})" for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+            sha256({" || ".join(f"({_field(c)})" for c in ("doc_id", "source", "lang", "n_chars"))} || ({_field(SMALL_TEXT)})) AS small,
+            coalesce({CRC32.format("doc_id::VARCHAR")} % 5 = 0, false) AS touched
+        FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+    node_0 AS (SELECT g, pos, leaf AS digest FROM placed),{_merkle_levels("node", LEVELS)}
+    subroots AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM node_{LEVELS}),
+    top_0 AS (SELECT 'all' AS g, pos, subroot AS digest FROM subroots),{_merkle_levels("top", LEVELS)}
+    start AS (SELECT rid, g, pos, CASE WHEN touched THEN small ELSE leaf END AS h, '' AS proof FROM placed),
+    {_merkle_paths("path", "node", "start", LEVELS)}
+    middle AS (SELECT rid, 'all' AS g, subroots.pos AS pos, h, proof FROM path_{LEVELS} p JOIN subroots ON p.g = subroots.g),
+    {_merkle_paths("above", "top", "middle", LEVELS)}
+    root AS (SELECT digest AS root FROM top_{LEVELS})
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+    FROM placed JOIN above_{LEVELS} a USING (rid) JOIN subroots ON placed.g = subroots.g, root
+    """,
+)
+def op11_manifest(spark, folder):
+    return manifest.merkle_manifest(load(spark, folder, "documents"), every=5)
+
+
+@query(
+    "op13_decontaminate",
+    """
+    WITH docs AS (
+        SELECT row_number() OVER () AS rid, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents),
+    item_words AS (
+        SELECT item_id::VARCHAR AS item,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i:i + 9], ' ') AS words
+        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    places AS (
+        SELECT rid, size, i, array_to_string(w[i:i + size - 1], ' ') AS words
+        FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+    met AS (SELECT rid, item, places.size AS size, i FROM places JOIN windows USING (size, words)),
+    hit AS (
+        SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS word FROM met) GROUP BY rid),
+    found AS (
+        SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)
+    """,
+)
+def op13_decontaminate(spark, folder):
+    found = decontaminate.decontaminate(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
