@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
-    bpe, decontaminate, exact_dedup, html_text, jaccard_join, licenses, manifest, mixing, quality, sharding, toxicity, warc,
+    bpe, decontaminate, exact_dedup, html_text, jaccard_join, licenses, manifest, mixing, quality, sharding, toxicity, variants,
+    warc,
 )
 from gaugework.llm.registry import query
 from gaugework.sources.tables import load
@@ -273,3 +274,45 @@ def op13_decontaminate(spark, folder):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+#: The checksum of a short ASCII head and a word of any letters: over UTF-8 bytes, in hexadecimal.
+CRC32_BYTES = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(0, length(hex({0})) // 2), lambda i: list_transform(
+                range(0, 8), lambda k: ((('0x' || substr(hex({0}), 2 * i + 1, 2))::BIGINT >> k) & 1)))),
+                lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
+
+@query(
+    "op12_variants",
+    f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-z\u00C0-\u00FF]+')) AS run
+        FROM documents),
+    counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE len(run) >= 6 GROUP BY doc_id, run),
+    drawn AS (SELECT run, n, {CRC32_BYTES.format("doc_id::VARCHAR || ':' || run")} AS h FROM counted),
+    words AS (
+        SELECT CASE WHEN h % 199 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+        FROM drawn GROUP BY 1 HAVING len(word) >= 6 AND sum(n) >= 5),
+    cut AS (
+        SELECT DISTINCT word, n, len(word) AS size, k, left(word, k - 1) || substr(word, k + 1) AS less
+        FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS k FROM words)),
+    pairs AS (
+        SELECT a.word AS a, a.n AS n, b.word AS b, b.n AS m FROM cut a JOIN cut b ON a.less = b.less AND a.k = b.k AND a.word <> b.word
+        UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+        UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.less = b.word),
+    best AS (
+        SELECT a AS word, count(*) AS n_near, arg_min(b, (-m, b)) AS b, max(m) AS m FROM pairs GROUP BY a),
+    judged AS (
+        SELECT word, words.n AS n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * words.n THEN b END AS form,
+            CASE WHEN m >= 5 * words.n THEN m END AS form_n
+        FROM words LEFT JOIN best USING (word)),
+    ways AS (
+        SELECT word, word AS at FROM judged
+        UNION ALL SELECT ways.word, judged.form FROM ways JOIN judged ON ways.at = judged.word WHERE judged.form IS NOT NULL),
+    ends AS (SELECT ways.word, ways.at AS root FROM ways JOIN judged ON ways.at = judged.word WHERE judged.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+    """,
+)
+def op12_variants(spark, folder):
+    return variants.spelling_variants(load(spark, folder, "documents"))
