@@ -1,18 +1,19 @@
-"""Model workloads. The estimators are Spark's; these functions give them the catalogue's defaults."""
+"""Model workloads with the catalogue's defaults: some are Spark's estimators, others jobs of this library."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, PowerIterationClustering
 from pyspark.ml.feature import CountVectorizer, Word2Vec
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.text import explode_tokens
 from gaugework.lineage import ensure_checkpoint_dir
+from gaugework.operators.trees import Trees, fit_boosted, fit_forest
 
 SEED = 5
 
@@ -102,22 +103,20 @@ def logistic_regression(df: DataFrame):
 
 
 def random_forest(
-    df: DataFrame, trees: int = 10, depth: int = 10, bins: int = 32, label_type: int = 0, bootstrap: bool = True
-):
-    """Forest for a number (``label_type`` 0) or for a class (2 and more)."""
-    forest = RandomForestClassifier if label_type >= 2 else RandomForestRegressor
-    return forest(
-        numTrees=trees, maxDepth=depth, maxBins=bins, featureSubsetStrategy="auto", bootstrap=bootstrap, seed=SEED
-    ).fit(df)
+    df: DataFrame, key: list[str], trees: int = 10, depth: int = 10, bins: int = 32, label_type: int = 0, bootstrap: bool = True,
+    subset: str = "auto",
+) -> Trees:
+    """Forest for a number (``label_type`` 0) or for a class (2 and more); ``key`` tells rows apart."""
+    classes = label_type if label_type >= 2 else 0
+    return fit_forest(df, key=key, trees=trees, depth=depth, bins=bins, classes=classes, bootstrap=bootstrap, subset=subset)
 
 
-def decision_tree(df: DataFrame, depth: int = 10, bins: int = 32, label_type: int = 0):
-    return random_forest(df, trees=1, depth=depth, bins=bins, label_type=label_type, bootstrap=False)
+def decision_tree(df: DataFrame, key: list[str], depth: int = 10, bins: int = 32, label_type: int = 0) -> Trees:
+    return random_forest(df, key, trees=1, depth=depth, bins=bins, label_type=label_type, bootstrap=False)
 
 
-def gradient_boosted_tree(df: DataFrame, trees: int = 10, depth: int = 5, bins: int = 32):
-    ensure_checkpoint_dir(df.sparkSession)
-    return GBTRegressor(maxIter=trees, maxDepth=depth, maxBins=bins, seed=SEED).fit(df)
+def gradient_boosted_tree(df: DataFrame, trees: int = 10, depth: int = 5, bins: int = 32) -> Trees:
+    return fit_boosted(df, trees=trees, depth=depth, bins=bins)
 
 
 def als(df: DataFrame, rank: int = 10, iterations: int = 10, reg: float = 0.1):

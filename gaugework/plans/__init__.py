@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "relational", "graph", "statistics", "learning", "metrics", "runs", "pricing", "text", "sources", "generators",
+    "relational", "graph", "statistics", "learning", "trees", "metrics", "runs", "pricing", "text", "sources", "generators",
 ]
 
 

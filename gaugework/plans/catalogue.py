@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.operators import generators, graph, learning, matrix, patterns, relational, statistics
+from gaugework.operators import generators, graph, learning, matrix, patterns, relational, statistics, trees
 from gaugework.session import shuffle_partitions
 from gaugework.sources.lookups import workload_parameters
 
@@ -23,12 +23,13 @@ def _columns(df: DataFrame, array: str, width: int) -> DataFrame:
 def _tree(p: dict, df: DataFrame) -> DataFrame:
     train, test = learning.train_test_split(df, ["id"], p["test-data-fraction"])
     if p["ensemble-type"] == "GradientBoostedTrees":
-        model = learning.gradient_boosted_tree(_vectors(train), p["num-trees"], p["tree-depth"], p["max-bins"])
+        model = learning.gradient_boosted_tree(train, p["num-trees"], p["tree-depth"], p["max-bins"])
     else:
         model = learning.random_forest(
-            _vectors(train), p["num-trees"], p["tree-depth"], p["max-bins"], p["label-type"], bootstrap=p["num-trees"] > 1
-        )
-    return model.transform(_vectors(test)).select("id", "label", "prediction")
+            train, ["id"], p["num-trees"], p["tree-depth"], p["max-bins"], p["label-type"], bootstrap=p["num-trees"] > 1,
+            subset=p["feature-subset-strategy"],
+        )
+    return trees.predict(test, model).select("id", "label", "prediction")
 
 
 def run_workload(

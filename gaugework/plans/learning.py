@@ -228,26 +228,6 @@ def train_test_split(spark, sf):
     return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
 
 
-def held_out(fit, spark: SparkSession, sf: str) -> DataFrame:
-    train, test = learning.train_test_split(examples(spark, sf, heavy=True), ["record"])
-    return scored(fit(train), test)
-
-
-@query("decision_tree")
-def decision_tree(spark, sf):
-    return held_out(learning.decision_tree, spark, sf)
-
-
-@query("random_forest")
-def random_forest(spark, sf):
-    return held_out(learning.random_forest, spark, sf)
-
-
-@query("gradient_boosted_tree")
-def gradient_boosted_tree(spark, sf):
-    return held_out(learning.gradient_boosted_tree, spark, sf)
-
-
 @query("als")
 def als(spark, sf):
     lines = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_quantity")

@@ -77,24 +77,6 @@ def test_classification_sgd(spark):
             learning.classification_sgd(points, **wrong)
 
 
-def test_trees_beat_the_mean(spark):
-    df = generators.gen_mixed_table(generators.id_range(spark, 1500, 4), 6)
-    train, test = learning.train_test_split(df, ["id"])
-    train, test = as_vectors(train), as_vectors(test)
-    variance = test.agg(F.var_pop("label")).first()[0]
-    for fit in (
-        lambda d: learning.decision_tree(d, depth=6),
-        lambda d: learning.random_forest(d, trees=5, depth=6),
-        lambda d: learning.gradient_boosted_tree(d, trees=5, depth=3),
-    ):
-        error = fit(train).transform(test).agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))).first()[0]
-        assert error < variance
-    classes = generators.gen_mixed_table(generators.id_range(spark, 800, 4), 6, label_type=2)
-    model = learning.decision_tree(as_vectors(classes), depth=4, label_type=2)
-    right = model.transform(as_vectors(classes)).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
-    assert right > 0.55
-
-
 @pytest.mark.parametrize("parts", [1, 4, 64])
 def test_split_does_not_depend_on_partitions(spark, parts):
     train, test = learning.train_test_split(generators.id_range(spark, 10_000, parts), ["id"])
