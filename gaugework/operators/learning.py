@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, PowerIterationClustering
-from pyspark.ml.feature import CountVectorizer, Word2Vec
-from pyspark.ml.recommendation import ALS
+from pyspark.ml.clustering import PowerIterationClustering
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.text import explode_tokens
@@ -119,15 +118,6 @@ def gradient_boosted_tree(df: DataFrame, trees: int = 10, depth: int = 5, bins:
     return fit_boosted(df, trees=trees, depth=depth, bins=bins)
 
 
-def als(df: DataFrame, rank: int = 10, iterations: int = 10, reg: float = 0.1):
-    """Factors of ``(user, item, rating)``."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return ALS(
-        rank=rank, maxIter=iterations, regParam=reg, userCol="user", itemCol="item", ratingCol="rating",
-        coldStartStrategy="drop", seed=SEED,
-    ).fit(df)
-
-
 def starting_points(df: DataFrame, id_column: str, column: str, k: int) -> np.ndarray:
     """The k points with the smallest hash of their id."""
     rows = df.where(F.col(column).isNotNull()).select(id_column, F.col(column).cast("array<double>").alias("_v"))
@@ -316,31 +306,6 @@ def gmm_assign(df: DataFrame, column: str, model: Mixture) -> DataFrame:
     return df.select(*keep, F.col(column).cast("array<double>").alias("_v")).mapInArrow(best, schema)
 
 
-def count_words(df: DataFrame, tokens: str, vocabulary: int | None = None):
-    """The vocabulary model of token arrays and the counts; all words, or the ``vocabulary`` most frequent."""
-    if vocabulary is None:
-        vocabulary = max(1, df.select(F.explode(tokens).alias("_w")).agg(F.countDistinct("_w")).first()[0])
-    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary).fit(df)
-    return counter, counter.transform(df)
-
-
-def sparse_entries(column: str) -> Column:
-    """A sparse vector column as a map from place to value."""
-    parts = F.from_json(F.to_json(F.struct(F.col(column).alias("v"))), "v struct<indices:array<int>,values:array<double>>")
-    return F.map_from_arrays(parts["v"]["indices"], parts["v"]["values"])
-
-
-def lda(df: DataFrame, tokens: str, topics: int = 20, iterations: int = 40, vocabulary: int | None = None, optimizer: str = "em"):
-    """Topics of token arrays; returns the vocabulary model, the topic model and the counted documents.
-
-    All words are in the vocabulary unless the caller asks for the ``vocabulary`` most frequent ones.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    counter, counted = count_words(df, tokens, vocabulary)
-    model = LDA(k=topics, maxIter=iterations, optimizer=optimizer, seed=SEED).fit(counted)
-    return counter, model, counted
-
-
 def power_iteration_clustering(edges: DataFrame, k: int = 40, iterations: int = 20) -> DataFrame:
     """Clusters ``(id, cluster)`` of ``edges(src, dst, weight)``; each pair is taken once, in one direction,
     with its weights added up."""

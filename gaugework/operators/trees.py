@@ -390,7 +390,7 @@ def predict(df: DataFrame, model: Trees, features: str = "features") -> DataFram
     """The rows with ``prediction``; a null array has none."""
     keep = df.columns
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = df.select("*", F.lit(0.0).cast("double").alias("prediction")).schema
+    schema = df.select("*", F.lit(None).cast("double").alias("prediction")).schema
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.operators import generators, graph, learning, matrix, patterns, relational, statistics, trees
+from gaugework.operators import factors, generators, graph, learning, matrix, patterns, relational, statistics, trees
 from gaugework.session import shuffle_partitions
 from gaugework.sources.lookups import workload_parameters
 
@@ -62,7 +62,7 @@ def run_workload(
     if workload in ("decision-tree", "random-forest", "gradient-boosted-tree"):
         return _tree(p, data)
     if workload == "als":
-        return learning.als(data, p["rank"], p["num-iterations"], p["reg-param"]).transform(data)
+        return factors.als_predict(data, *factors.als(data, p["rank"], p["num-iterations"], p["reg-param"]))
     if workload == "kmeans":
         centres = learning.kmeans(data, "id", "features", p["num-centers"], p["num-iterations"])
         return learning.kmeans_assign(data, "features", centres).select("id", "center", F.col("centre").alias("prediction"))
@@ -70,8 +70,9 @@ def run_workload(
         model, _ = learning.gmm(data, "id", "features", p["num-centers"], p["num-iterations"])
         return learning.gmm_assign(data, "features", model).select("id", "center", "prediction")
     if workload == "lda":
-        _, model, _ = learning.lda(data, "words", p["num-topics"], p["num-iterations"], p["num-vocab"], p["optimizer"])
-        return model.describeTopics()
+        if p["optimizer"] != "em":
+            raise ValueError(f"unknown optimizer {p['optimizer']!r}")
+        return factors.lda(data, ["id"], "words", p["num-topics"], p["num-iterations"], p["num-vocab"])[0]
     if workload == "pic":
         return learning.power_iteration_clustering(data, p["num-centers"], p["num-iterations"])
     if workload == "svd":

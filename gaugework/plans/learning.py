@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.numbers import seven_digits
 from gaugework.functions.text import tokens
-from gaugework.operators import bayes, learning, matrix, patterns
+from gaugework.operators import bayes, factors, learning, matrix, patterns
 from gaugework.operators.statistics import assemble
 from gaugework.plans.graph import trade_links
 from gaugework.plans.registry import query
@@ -228,17 +228,54 @@ def train_test_split(spark, sf):
     return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
 
 
-@query("als")
-def als(spark, sf):
+def ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean quantity that a customer takes from a supplier."""
     lines = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_quantity")
-    ratings = (
+    return (
         load(spark, sf, "orders")
         .select("o_orderkey", "o_custkey")
         .join(lines, "o_orderkey")
-        .groupBy(F.col("o_custkey").cast("int").alias("user"), F.col("l_suppkey").cast("int").alias("item"))
-        .agg(F.avg("l_quantity").cast("float").alias("rating"))
+        .groupBy(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item"))
+        .agg(F.avg("l_quantity").alias("rating"))
     )
-    return learning.als(ratings).transform(ratings).select("user", "item", "rating", "prediction")
+
+
+@query("als")
+def als(spark, sf):
+    """Held-out pairs, predicted by ten factors after ten rounds."""
+    train, test = learning.train_test_split(ratings(spark, sf), ["user", "item"])
+    return factors.als_predict(test, *factors.als(train))
+
+
+def two_factors_sql(rounds: int, reg: float = 0.1) -> str:
+    def start(side: str, key: str) -> str:
+        draw = lambda j: f"('0x' || substr(md5('{side}:' || {key}::VARCHAR || ':{j}'), 1, 12))::BIGINT / 281474976710656 / sqrt(2)"
+        return f"SELECT DISTINCT {key} AS id, {draw(0)} AS x, {draw(1)} AS y FROM r"
+
+    def half(own: str, other: str, vectors: str) -> str:
+        return f"""SELECT id, (d * e - b * f) / (a * d - b * b) AS x, (a * f - b * e) / (a * d - b * b) AS y FROM (
+    SELECT r.{own} AS id, sum(x * x) + {reg} * count(*) AS a, sum(x * y) AS b, sum(y * y) + {reg} * count(*) AS d,
+           sum(rating * x) AS e, sum(rating * y) AS f FROM r JOIN {vectors} v ON r.{other} = v.id GROUP BY 1)"""
+
+    tables = [f"u0 AS MATERIALIZED ({start('user', 'user')})"]
+    for t in range(rounds):
+        tables.append(f"i{t + 1} AS MATERIALIZED ({half('item', 'user', f'u{t}')})")
+        tables.append(f"u{t + 1} AS MATERIALIZED ({half('user', 'item', f'i{t + 1}')})")
+    return f"""
+WITH r AS MATERIALIZED (
+  SELECT o_custkey AS "user", l_suppkey AS item, avg(l_quantity) AS rating FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
+{", ".join(tables)}
+SELECT r.user AS "user", r.item AS item, round(u.x * i.x + u.y * i.y, 6) AS prediction
+FROM r JOIN u{rounds} u ON u.id = r.user JOIN i{rounds} i ON i.id = r.item
+"""
+
+
+@query("als_two_factors", two_factors_sql(2).replace("r.user", 'r."user"').replace("DISTINCT user", 'DISTINCT "user"').replace("|| user::", '|| "user"::'))
+def als_two_factors(spark, sf):
+    """All pairs, predicted by two factors after two rounds."""
+    pairs = ratings(spark, sf)
+    found = factors.als_predict(pairs, *factors.als(pairs, rank=2, iterations=2))
+    return found.select("user", "item", F.round("prediction", 6).alias("prediction"))
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,18 +341,12 @@ def gmm(spark, sf):
 
 
 def spoken(spark: SparkSession, sf: str) -> DataFrame:
-    turns = load(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return deal(turns, ["conv_id", "turn", "text"]).select("conv_id", "turn", tokens(F.col("text")).alias("words"))
+    return load(spark, sf, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("words"))
 
 
 @query("lda")
 def lda(spark, sf):
-    counter, model, _ = learning.lda(spoken(spark, sf), "words")
-    words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "place int, word string")
-    weights = model.describeTopics(len(counter.vocabulary)).select(
-        "topic", F.explode(F.arrays_zip(F.col("termIndices").alias("place"), F.col("termWeights").alias("weight"))).alias("x")
-    )
-    return weights.select("topic", "x.place", "x.weight").join(words, "place").select("topic", "word", "weight")
+    return factors.lda(spoken(spark, sf), ["conv_id", "turn"], "words")[0]
 
 
 @query(
@@ -327,10 +358,40 @@ FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM conv
 )
 def lda_vocabulary(spark, sf):
     """Every word that the topics are fitted on, with its count over all turns."""
-    counter, counted = learning.count_words(spoken(spark, sf), "words")
-    words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "place int, word string")
-    pairs = counted.select(F.explode(learning.sparse_entries("features")).alias("place", "n"))
-    return pairs.groupBy("place").agg(F.sum("n").alias("n")).join(words, "place").select("word", "n")
+    _, words = factors.word_counts(spoken(spark, sf), ["conv_id", "turn"], "words")
+    return words.select("word", F.col("n").cast("double").alias("n"))
+
+
+def topics_sql(topics: int, rounds: int, alpha: float, eta: float) -> str:
+    tables = []
+    for t in range(rounds):
+        theta = f"SELECT doc, k, (n + {alpha - 1}) / (sum(n) OVER (PARTITION BY doc) + {topics * (alpha - 1)}) AS theta FROM d{t}"
+        phi = f"SELECT word, k, (n + {eta - 1}) / (sum(n) OVER (PARTITION BY k) + size * {eta - 1}) AS phi FROM w{t}, size"
+        tables.append(f"""
+g{t} AS MATERIALIZED (
+  SELECT doc, word, k, c * theta * phi / sum(theta * phi) OVER (PARTITION BY doc, word) AS n
+  FROM counts JOIN ({theta}) USING (doc) JOIN ({phi}) USING (word, k)),
+w{t + 1} AS MATERIALIZED (SELECT word, k, sum(n) AS n FROM g{t} GROUP BY 1, 2),
+d{t + 1} AS MATERIALIZED (SELECT doc, k, sum(n) AS n FROM g{t} GROUP BY 1, 2)""")
+    draw = "0.5 + ('0x' || substr(md5(word || ':' || k::VARCHAR), 1, 12))::BIGINT / 281474976710656"
+    return rf"""
+WITH counts AS MATERIALIZED (
+  SELECT doc, word, count(*)::DOUBLE AS c
+  FROM (SELECT item_id AS doc, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark) WHERE word <> '' GROUP BY 1, 2),
+size AS (SELECT count(DISTINCT word) AS size FROM counts),
+u AS (SELECT word, k, {draw} AS u, n FROM (SELECT word, sum(c) AS n FROM counts GROUP BY 1), range({topics}) r(k)),
+w0 AS MATERIALIZED (SELECT word, k, u * n / sum(u) OVER (PARTITION BY word) AS n FROM u),
+d0 AS MATERIALIZED (SELECT doc, k, sum(c) / {topics} AS n FROM counts, range({topics}) r(k) GROUP BY 1, 2),{",".join(tables)}
+SELECT k::INTEGER AS topic, word, round((n + {eta - 1}) / (sum(n) OVER (PARTITION BY k) + size * {eta - 1}), 9) AS weight FROM w{rounds}, size
+"""
+
+
+@query("lda_three_rounds", topics_sql(5, 3, 11.0, 1.1))
+def lda_three_rounds(spark, sf):
+    """Five topics of the benchmark items after three rounds."""
+    items = load(spark, sf, "benchmark").select("item_id", tokens(F.col("text")).alias("words"))
+    found, _ = factors.lda(items, ["item_id"], "words", topics=5, iterations=3)
+    return found.select("topic", "word", F.round("weight", 9).alias("weight"))
 
 
 @query("power_iteration_clustering")

@@ -86,16 +86,6 @@ def test_split_does_not_depend_on_partitions(spark, parts):
     assert held[:5] == [r["id"] for r in learning.train_test_split(spark.range(10_000), ["id"])[1].orderBy("id").limit(5).collect()]
 
 
-def test_als_beats_the_mean(spark):
-    ratings = generators.gen_ratings(generators.id_range(spark, 3000, 4), 60, 40).dropDuplicates(["user", "item"]).cache()
-    fitted = learning.als(ratings, rank=4, iterations=5).transform(ratings)
-    mean = ratings.agg(F.avg("rating")).first()[0]
-    error, base = fitted.agg(
-        F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)), F.avg(F.pow(F.col("rating") - F.lit(mean), 2))
-    ).first()
-    assert error < base / 2
-
-
 def test_clusters_follow_the_centres(spark):
     df = generators.gen_cluster_points(generators.id_range(spark, 1000, 4), 6, centers=4, noise=0.02)
     df = df.union(df.limit(1).withColumn("features", F.lit(None).cast("array<double>")))
@@ -136,13 +126,6 @@ def test_kmeans_assign(spark, parts):
     assert [r["distance"] for r in got] == pytest.approx(d.min(1).tolist())
 
 
-def test_lda_topics(spark):
-    docs = generators.gen_documents(generators.id_range(spark, 80, 2), 50, 30)
-    counter, model, _ = learning.lda(docs, "words", topics=3, iterations=4)
-    assert len(counter.vocabulary) == docs.select(F.explode("words").alias("w")).distinct().count()
-    assert model.describeTopics(5).count() == 3
-
-
 def test_power_iteration_clustering_takes_each_pair_once(spark):
     two = [(a, b, 1.0) for block in (range(8), range(10, 18)) for a in block for b in block]  # both directions and loops
     found = learning.power_iteration_clustering(frame(spark, two, "src bigint, dst bigint, weight double"), 2, 15)
