@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import PowerIterationClustering
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.text import explode_tokens
-from gaugework.lineage import ensure_checkpoint_dir
+from gaugework.functions.blas import one_thread
 from gaugework.operators.trees import Trees, fit_boosted, fit_forest
 
 SEED = 5
@@ -55,7 +53,7 @@ def _descend(df: DataFrame, features: str, label: str, loss: str, iterations: in
     """One pass over the table per step, for any width; a task moves one value per feature. ``features`` is an array
     column; rows with a null label or array are left out."""
     rows = df.select(F.concat(F.col(features).cast("array<double>"), F.array(F.col(label).cast("double"))).alias("_x"))
-    rows = rows.where(F.col("_x").isNotNull() & F.element_at("_x", -1).isNotNull())
+    rows = rows.where(F.col("_x").isNotNull() & F.element_at("_x", -1).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     n, width = rows.agg(F.count("_x"), F.max(F.size("_x"))).first()
     w = np.zeros((width or 1) - 1)
     history = []
@@ -64,6 +62,7 @@ def _descend(df: DataFrame, features: str, label: str, loss: str, iterations: in
         scale = 0.5 if loss == "squared" else 1.0
         history.append((t, float(scale * total / max(n, 1) + reg / 2 * w @ w), w.tolist()))
         w = w - step / np.sqrt(t) * (gradient / max(n, 1) + reg * w)
+    rows.unpersist()
     return df.sparkSession.createDataFrame(history, "t int, loss double, weights array<double>")
 
 
@@ -73,6 +72,7 @@ def _gradient_pass(rows: DataFrame, w: np.ndarray, loss: str) -> tuple[np.ndarra
     def partial(batches):
         import pyarrow as pa
 
+        one_thread()
         total = None
         for batch in batches:
             if batch.num_rows:
@@ -141,6 +141,7 @@ def kmeans(df: DataFrame, id_column: str, column: str, k: int = 20, iterations:
     the table is cut. A centre without points stays. Null points are left out.
     """
     points = df.select(F.col(column).cast("array<double>").alias("_v")).where(F.col("_v").isNotNull())
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     centres = starting_points(df, id_column, column, k)
     for _ in range(iterations if len(centres) else 0):
 
@@ -164,6 +165,7 @@ def kmeans(df: DataFrame, id_column: str, column: str, k: int = 20, iterations:
         if np.array_equal(moved, centres):
             break
         centres = moved
+    points.unpersist()
     return centres
 
 
@@ -195,14 +197,15 @@ class Mixture:
     def __init__(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
         self.weights, self.means, self.covariances = weights, means, covariances
         self.factors = np.linalg.cholesky(covariances)
+        self.whitening = np.linalg.inv(self.factors)
         self.logs = np.log(np.maximum(weights, 1e-300)) - np.log(np.diagonal(self.factors, axis1=1, axis2=2)).sum(axis=1)
 
     def log_parts(self, x: np.ndarray) -> np.ndarray:
-        """Logarithm of weight times density, rows x components, by triangular solves."""
+        """Logarithm of weight times density, rows x components, by the inverse Cholesky factors."""
         out = np.empty((len(x), len(self.weights)))
-        for k, (mean, factor) in enumerate(zip(self.means, self.factors)):
-            z = np.linalg.solve(factor, (x - mean).T)
-            out[:, k] = self.logs[k] - 0.5 * (z * z).sum(axis=0)
+        for k, (mean, whitening) in enumerate(zip(self.means, self.whitening)):
+            z = (x - mean) @ whitening.T
+            out[:, k] = self.logs[k] - 0.5 * (z * z).sum(axis=1)
         return out - 0.5 * x.shape[1] * np.log(2 * np.pi)
 
 
@@ -215,6 +218,7 @@ def gmm(df: DataFrame, id_column: str, column: str, k: int = 20, iterations: int
     sum and a matrix of products per component, and those of a component are added up by one task.
     """
     points = df.select(F.col(column).cast("array<double>").alias("_v")).where(F.col("_v").isNotNull())
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     centres = kmeans(df, id_column, column, k)
     d = centres.shape[1]
 
@@ -222,6 +226,7 @@ def gmm(df: DataFrame, id_column: str, column: str, k: int = 20, iterations: int
         def partial(batches):
             import pyarrow as pa
 
+            one_thread()
             sums, seen, value = np.zeros((len(centres), 1 + d + d * d)), 0, 0.0
             for batch in batches:
                 if batch.num_rows:
@@ -284,6 +289,7 @@ def gmm(df: DataFrame, id_column: str, column: str, k: int = 20, iterations: int
         sums, (n, value) = total(soft, shift)
         history.append((value + log_prior(model, scale)) / n)
         model, _ = maximise(sums, n, scale)
+    points.unpersist()
     return model, history
 
 
@@ -295,6 +301,7 @@ def gmm_assign(df: DataFrame, column: str, model: Mixture) -> DataFrame:
     def best(batches):
         import pyarrow as pa
 
+        one_thread()
         for batch in batches:
             known = batch.column(len(keep)).is_valid().to_numpy(zero_copy_only=False)
             label = np.full(batch.num_rows, -1)
@@ -306,35 +313,6 @@ def gmm_assign(df: DataFrame, column: str, model: Mixture) -> DataFrame:
     return df.select(*keep, F.col(column).cast("array<double>").alias("_v")).mapInArrow(best, schema)
 
 
-def power_iteration_clustering(edges: DataFrame, k: int = 40, iterations: int = 20) -> DataFrame:
-    """Clusters ``(id, cluster)`` of ``edges(src, dst, weight)``; each pair is taken once, in one direction,
-    with its weights added up."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    pairs = (
-        edges.where(F.col("src") != F.col("dst"))
-        .groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .agg(F.sum("weight").cast("double").alias("weight"))
-    )
-    return PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(pairs)
-
-
-def word2vec(
-    df: DataFrame, tokens: str, size: int = 100, min_count: int = 5, iterations: int = 10, partitions: int | None = None
-):
-    """Embedding of the words, in a task per 10,000 texts unless told otherwise."""
-    partitions = partitions or max(1, -(-df.count() // 10_000))
-    return Word2Vec(
-        vectorSize=size, minCount=min_count, maxIter=iterations, numPartitions=partitions, seed=SEED,
-        inputCol=tokens, outputCol="vector",
-    ).fit(df)
-
-
-def word2vec_vocabulary(df: DataFrame, text: str, min_count: int = 5) -> DataFrame:
-    """Words of the texts that the embedding covers, with their counts."""
-    words = explode_tokens(df, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return words.where(F.col("n") >= min_count)
-
-
 def train_test_split(df: DataFrame, row_id: list[str], fraction: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Hold out a share of the rows by a hash of their id, so the split does not depend on partitioning."""
     words = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_id]

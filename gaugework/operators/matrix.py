@@ -13,6 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.blas import one_thread
+
 
 def gramian(df: DataFrame, column: str, center: list[float] | None = None) -> DataFrame:
     """Sums of products ``(i, j, value)`` of the columns of a row matrix, i <= j.
@@ -22,6 +24,7 @@ def gramian(df: DataFrame, column: str, center: list[float] | None = None) -> Da
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         total = None
         for batch in batches:
             if not batch.num_rows:
@@ -132,6 +135,7 @@ def block_matrix_multiply(a: DataFrame, b: DataFrame, block: int = 1024) -> Data
         dense_x, dense_y = np.zeros((len(i), len(k))), np.zeros((len(k), len(j)))
         np.add.at(dense_x, (i_at, k_at[: len(x)]), x["value"])
         np.add.at(dense_y, (k_at[len(x) :], j_at), y["value"])
+        one_thread()
         product = dense_x @ dense_y
         at_i, at_j = np.nonzero(product)
         return pd.DataFrame({"i": i[at_i], "j": j[at_j], "value": product[at_i, at_j]})

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.operators import factors, generators, graph, learning, matrix, patterns, relational, statistics, trees
+from gaugework.operators import embedding, factors, generators, graph, learning, matrix, patterns, relational, spectral, statistics, trees
 from gaugework.session import shuffle_partitions
 from gaugework.sources.lookups import workload_parameters
 
@@ -74,7 +74,7 @@ def run_workload(
             raise ValueError(f"unknown optimizer {p['optimizer']!r}")
         return factors.lda(data, ["id"], "words", p["num-topics"], p["num-iterations"], p["num-vocab"])[0]
     if workload == "pic":
-        return learning.power_iteration_clustering(data, p["num-centers"], p["num-iterations"])
+        return spectral.power_iteration_clustering(data, p["num-centers"], p["num-iterations"])
     if workload == "svd":
         return matrix.svd(data, "row", p["rank"])
     if workload == "pca":
@@ -97,9 +97,7 @@ def run_workload(
     if workload == "chi-sq-mat":
         return statistics.chi_square_matrix(data.withColumn("row", F.get("features", F.lit(0))), "row", "label")
     if workload == "word2vec":
-        slices = partitions or shuffle_partitions(spark)
-        model = learning.word2vec(data, "words", p["vector-size"], p["min-count"], p["num-iterations"], slices)
-        return model.getVectors()
+        return embedding.word2vec(data, "words", p["vector-size"], p["min-count"], p["num-iterations"])
     if workload == "fp-growth":
         return patterns.fp_growth(data, "items", p["min-support"]).freqItemsets
     return patterns.prefix_span(data, "sequence", p["min-support"], p["max-pattern-len"], p["max-local-proj-db-size"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.numbers import seven_digits
 from gaugework.functions.text import tokens
-from gaugework.operators import bayes, factors, learning, matrix, patterns
+from gaugework.operators import bayes, embedding, factors, learning, matrix, patterns, spectral
 from gaugework.operators.statistics import assemble
 from gaugework.plans.graph import trade_links
 from gaugework.plans.registry import query
@@ -394,16 +394,43 @@ def lda_three_rounds(spark, sf):
     return found.select("topic", "word", F.round("weight", 9).alias("weight"))
 
 
+def weighted_links(spark: SparkSession, sf: str) -> DataFrame:
+    return trade_links(spark, sf).withColumn("weight", F.lit(1.0))
+
+
 @query("power_iteration_clustering")
 def power_iteration_clustering(spark, sf):
-    links = trade_links(spark, sf).withColumn("weight", F.lit(1.0))
-    return learning.power_iteration_clustering(links).select("id", "cluster")
+    return spectral.power_iteration_clustering(weighted_links(spark, sf))
+
+
+def power_vector_sql(rounds: int) -> str:
+    draw = "('0x' || substr(md5('power:' || id::VARCHAR), 1, 12))::BIGINT / 281474976710656"
+    tables = "".join(
+        f""",
+s{t} AS MATERIALIZED (SELECT src AS id, sum(w / degree * v) AS v FROM b JOIN v{t} ON dst = id GROUP BY src),
+v{t + 1} AS MATERIALIZED (SELECT id, v / sum(v) OVER () AS v FROM s{t})"""
+        for t in range(rounds)
+    )
+    return f"""
+WITH pairs AS (SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b, 2.0::DOUBLE AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+b AS MATERIALIZED (
+  SELECT *, sum(w) OVER (PARTITION BY src) AS degree FROM (SELECT a AS src, b AS dst, w FROM pairs UNION ALL SELECT b, a, w FROM pairs)),
+v0 AS MATERIALIZED (SELECT id, {draw} / sum({draw}) OVER () AS v FROM (SELECT DISTINCT src AS id FROM b)){tables}
+SELECT id, round(v * count(*) OVER (), 9) AS v FROM v{rounds}
+"""
+
+
+@query("power_iteration_vector", power_vector_sql(3))
+def power_iteration_vector(spark, sf):
+    """The vector after three rounds, times the number of nodes."""
+    vector = spectral.power_vector(weighted_links(spark, sf), 3, acceleration=0.0)
+    return vector.select("id", F.round(F.col("v") * F.lit(vector.count()), 9).alias("v"))
 
 
 @query("word2vec")
 def word2vec(spark, sf):
-    model = learning.word2vec(spoken(spark, sf), "words")
-    return model.getVectors().select("word", F.col("vector").cast("string").alias("vector"))
+    found = embedding.word2vec(spoken(spark, sf), "words")
+    return found.select("word", F.col("vector").cast("string").alias("vector"))
 
 
 @query(
@@ -415,7 +442,7 @@ WHERE word <> '' GROUP BY word HAVING count(*) >= 5
 """,
 )
 def word2vec_vocabulary(spark, sf):
-    return learning.word2vec_vocabulary(load(spark, sf, "conversations").select("text"), "text")
+    return embedding.vocabulary(spoken(spark, sf), "words").select("word", "n")
 
 
 def brand_baskets(spark: SparkSession, sf: str) -> DataFrame:

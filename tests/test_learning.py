@@ -126,25 +126,6 @@ def test_kmeans_assign(spark, parts):
     assert [r["distance"] for r in got] == pytest.approx(d.min(1).tolist())
 
 
-def test_power_iteration_clustering_takes_each_pair_once(spark):
-    two = [(a, b, 1.0) for block in (range(8), range(10, 18)) for a in block for b in block]  # both directions and loops
-    found = learning.power_iteration_clustering(frame(spark, two, "src bigint, dst bigint, weight double"), 2, 15)
-    clusters = dict(rows(found))
-    assert len(clusters) == 16
-    assert len({clusters[i] for i in range(8)}) == 1 and len({clusters[i] for i in range(10, 18)}) == 1
-
-
-def test_word2vec_covers_the_frequent_words(spark):
-    draw = random.Random(11)
-    data = [(" ".join(f"w{int(draw.random() ** 2 * 40)}" for _ in range(8)),) for _ in range(60)]
-    df = frame(spark, data, "text string").withColumn("words", F.split("text", " "))
-    vectors = learning.word2vec(df, "words", size=8, min_count=5, iterations=1, partitions=2).getVectors()
-    expected = learning.word2vec_vocabulary(df, "text", 5)
-    counts = Counter(w for (t,) in data for w in t.split())
-    assert rows(expected) == sorted(((w, n) for w, n in counts.items() if n >= 5), key=repr)
-    assert rows(vectors.select("word")) == rows(expected.select("word"))
-
-
 DOCS = [(1, "good good film", "+"), (2, "bad film", "-"), (3, "good", "+"), (4, "bad bad plot", "-"), (5, "", "+")]
 
 
