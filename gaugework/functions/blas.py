@@ -1,7 +1,7 @@
-"""Matrix products of a Python worker in its own thread.
+"""Matrix products and solves of a process in its own thread.
 
 A worker runs beside one for each other core. If each of them starts a thread per core for its products, the threads wait for
-each other far longer than they compute.
+each other far longer than they compute; so do those of the driver beside a busy JVM.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ _SET_THREADS = [f"{maker}openblas_set_num_threads{suffix}" for maker in ("scipy_
 
 @cache
 def one_thread() -> None:
-    """Called in a task before products; once per process. Without the library's file, or its switch, nothing changes."""
+    """Called before products and solves; once per process. Without the library's file, or its switch, nothing changes."""
     try:
         with open("/proc/self/maps") as maps:
             found = set(re.findall(r"/\S*openblas\S*", maps.read()))

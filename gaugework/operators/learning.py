@@ -125,6 +125,23 @@ def starting_points(df: DataFrame, id_column: str, column: str, k: int) -> np.nd
     return np.array([r["_v"] for r in found], dtype=float)
 
 
+#: Points per cluster that :func:`spread_points` chooses from.
+START_POINTS = 20
+
+
+def spread_points(df: DataFrame, id_column: str, column: str, k: int) -> np.ndarray:
+    """k of the ``START_POINTS`` x k points with the smallest hash of their id: each next one is the farthest from those chosen."""
+    found = starting_points(df, id_column, column, START_POINTS * k)
+    if len(found) <= k:
+        return found
+    chosen = [0]
+    far = ((found - found[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((found - found[chosen[-1]]) ** 2).sum(axis=1))
+    return found[chosen]
+
+
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances rows x centres, differences first, so that near points keep their digits."""
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
@@ -134,15 +151,17 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def kmeans(df: DataFrame, id_column: str, column: str, k: int = 20, iterations: int = 20) -> np.ndarray:
-    """Centres of Lloyd's rounds from :func:`starting_points`, until none moves.
+def kmeans(
+    df: DataFrame, id_column: str, column: str, k: int = 20, iterations: int = 20, start: np.ndarray | None = None
+) -> np.ndarray:
+    """Centres of Lloyd's rounds from ``start`` or :func:`starting_points`, until none moves.
 
     A round is one pass that emits sums per centre and dimension from each task; the answer does not depend on how
     the table is cut. A centre without points stays. Null points are left out.
     """
     points = df.select(F.col(column).cast("array<double>").alias("_v")).where(F.col("_v").isNotNull())
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    centres = starting_points(df, id_column, column, k)
+    centres = starting_points(df, id_column, column, k) if start is None else start
     for _ in range(iterations if len(centres) else 0):
 
         def partial(batches, centres=centres):
@@ -195,6 +214,7 @@ class Mixture:
     """Weights, means and covariances of normal components."""
 
     def __init__(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
+        one_thread()
         self.weights, self.means, self.covariances = weights, means, covariances
         self.factors = np.linalg.cholesky(covariances)
         self.whitening = np.linalg.inv(self.factors)
@@ -213,13 +233,13 @@ def gmm(df: DataFrame, id_column: str, column: str, k: int = 20, iterations: int
     """Normal mixture by expectation-maximisation in the log domain on all dimensions; the model and, for each round, the
     mean log-likelihood plus log prior, which never falls.
 
-    It starts from the clusters of :func:`kmeans`. The prior gives each covariance as many points of the round mean shape as
+    It starts from the clusters of :func:`kmeans`, with spread starts. The prior gives each covariance as many points of the round mean shape as
     there are dimensions, so a component of few points stays regular. A round is one pass; each task emits a weight, a
     sum and a matrix of products per component, and those of a component are added up by one task.
     """
     points = df.select(F.col(column).cast("array<double>").alias("_v")).where(F.col("_v").isNotNull())
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    centres = kmeans(df, id_column, column, k)
+    centres = kmeans(df, id_column, column, k, start=spread_points(df, id_column, column, k))
     d = centres.shape[1]
 
     def total(responsibility, shift):

@@ -77,6 +77,7 @@ def svd(df: DataFrame, column: str, rank: int = 10) -> DataFrame:
 
     The rows stay distributed; only the columns x columns matrix of sums is solved on the driver.
     """
+    one_thread()
     values, vectors = np.linalg.eigh(_dense(gramian(df, column), width(df, column)))
     order = np.argsort(values)[::-1][:rank]
     data = [
