@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.blas import one_thread
+from gaugework.operators import quasi_newton
 from gaugework.operators.trees import Trees, fit_boosted, fit_forest
 
 SEED = 5
 
 
-def regression(df: DataFrame, iterations: int = 20, reg: float = 0.1, elastic_net: float = 0.0):
-    return LinearRegression(maxIter=iterations, regParam=reg, elasticNetParam=elastic_net).fit(df)
+def regression(df: DataFrame, iterations: int = 20, reg: float = 0.1) -> quasi_newton.Linear:
+    return quasi_newton.fit(df, reg=reg, iterations=iterations)
 
 
 def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -93,12 +92,12 @@ def _gradient_pass(rows: DataFrame, w: np.ndarray, loss: str) -> tuple[np.ndarra
     return sums[:-1], float(sums[-1])
 
 
-def classification(df: DataFrame, iterations: int = 20, reg: float = 0.1):
-    return LogisticRegression(maxIter=iterations, regParam=reg).fit(df)
+def classification(df: DataFrame, iterations: int = 20, reg: float = 0.1) -> quasi_newton.Linear:
+    return quasi_newton.fit(df, logistic=True, reg=reg, iterations=iterations)
 
 
-def logistic_regression(df: DataFrame):
-    return LogisticRegression().fit(df)
+def logistic_regression(df: DataFrame) -> quasi_newton.Linear:
+    return quasi_newton.fit(df, logistic=True)
 
 
 def random_forest(

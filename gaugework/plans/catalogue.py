@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.operators import embedding, factors, generators, graph, learning, matrix, patterns, relational, spectral, statistics, trees
+from gaugework.operators import embedding, factors, generators, graph, learning, matrix, patterns, quasi_newton, relational, spectral, statistics, trees
 from gaugework.session import shuffle_partitions
 from gaugework.sources.lookups import workload_parameters
 
@@ -45,8 +45,10 @@ def run_workload(
             return learning.regression_sgd(data, iterations=p["num-iterations"], step=p["step-size"], reg=p["reg-param"])
         if p["optimizer"] not in ("l-bfgs", "lbfgs"):
             raise ValueError(f"unknown optimizer {p['optimizer']!r}")
-        model = learning.regression(_vectors(data), p["num-iterations"], p["reg-param"], p["elastic-net-param"])
-        return model.transform(_vectors(data)).select("id", "label", "prediction")
+        if p["elastic-net-param"]:
+            raise ValueError("only the squares of the weights are held down")
+        model = learning.regression(data, p["num-iterations"], p["reg-param"])
+        return quasi_newton.predict(data, model).select("id", "label", "prediction")
     if workload == "classification":
         if p["optimizer"] == "sgd":
             return learning.classification_sgd(
@@ -54,8 +56,8 @@ def run_workload(
             )
         if p["optimizer"] not in ("l-bfgs", "lbfgs"):
             raise ValueError(f"unknown optimizer {p['optimizer']!r}")
-        model = learning.classification(_vectors(data), p["num-iterations"], p["reg-param"])
-        return model.transform(_vectors(data)).select("id", "label", "prediction")
+        model = learning.classification(data, p["num-iterations"], p["reg-param"])
+        return quasi_newton.predict(data, model).select("id", "label", "prediction")
     if workload == "naive-bayes":
         model = NaiveBayes(smoothing=float(p["nb-lambda"]), modelType=p["model-type"]).fit(_vectors(data))
         return model.transform(_vectors(data)).select("id", "label", "prediction")

@@ -7,36 +7,82 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.numbers import seven_digits
 from gaugework.functions.text import tokens
-from gaugework.operators import bayes, embedding, factors, learning, matrix, patterns, spectral
-from gaugework.operators.statistics import assemble
+from gaugework.operators import bayes, embedding, factors, learning, matrix, patterns, quasi_newton, spectral
 from gaugework.plans.graph import trade_links
 from gaugework.plans.registry import query
-from gaugework.sources.tables import deal, load, with_row_id
+from gaugework.sources.tables import load
 
-ROW_ID = ["row_file", "row_index"]
 PREDICTORS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+LINE = ["l_orderkey", "l_linenumber"]
 
 
-def examples(spark: SparkSession, sf: str, label: F.Column | None = None, heavy: bool = False) -> DataFrame:
-    """Order lines with four features (line number as the category) and the price or another label.
-    ``heavy`` fits draw by part, so their rows are dealt by the records' own columns."""
-    label = F.col("l_extendedprice") if label is None else label
-    lines = load(spark, sf, "lineitem")
-    lines = with_row_id(lines).withColumn("record", F.xxhash64(*lines.columns)).select(*ROW_ID, "record", *PREDICTORS, label.cast("double").alias("label"))
-    return assemble(deal(lines, ["record"]) if heavy else lines, PREDICTORS, keep=[*ROW_ID, "record", "label"])
+def examples(spark: SparkSession, sf: str, label: F.Column) -> DataFrame:
+    """Order lines with four features (line number as the category) and a label."""
+    features = F.array(*[F.col(c).cast("double") for c in PREDICTORS])
+    return load(spark, sf, "lineitem").select(*LINE, features.alias("features"), label.cast("double").alias("label"))
 
 
 def is_returned() -> F.Column:
     return F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
 
 
-def scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select(*ROW_ID, "label", "prediction")
+def scored(model: quasi_newton.Linear, rows: DataFrame) -> DataFrame:
+    return quasi_newton.predict(rows, model).select(*LINE, "label", F.round("prediction", 3).alias("prediction"))
 
 
-@query("regression")
+def solve_sql(name: str, start: str, d: int) -> str:
+    """Tables that solve the equations in ``start (a_0_0 ... a_0_d, a_1_0 ...)``, column d the right side, into ``{name} (x_0 ...)``."""
+    tables, at = [], start
+    for p in range(d):
+        columns = [f"a_{i}_{j}" for i in range(p + 1) for j in range(i, d + 1)]
+        columns += [f"a_{i}_{j} - a_{i}_{p} / a_{p}_{p} * a_{p}_{j} AS a_{i}_{j}" for i in range(p + 1, d) for j in range(p + 1, d + 1)]
+        tables.append(f"{name}_e{p} AS MATERIALIZED (SELECT {', '.join(columns)} FROM {at})")
+        at = f"{name}_e{p}"
+    for i in reversed(range(d)):
+        rest = "".join(f" - a_{i}_{j} * x_{j}" for j in range(i + 1, d))
+        tables.append(f"{name}_b{i} AS MATERIALIZED (SELECT *, (a_{i}_{d}{rest}) / a_{i}_{i} AS x_{i} FROM {at})")
+        at = f"{name}_b{i}"
+    return ", ".join([*tables, f"{name} AS MATERIALIZED (SELECT {', '.join(f'x_{i}' for i in range(d))} FROM {at})"])
+
+
+def standard_sql(label: str) -> str:
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z{k}" for k, c in enumerate(PREDICTORS))
+    return f"z AS MATERIALIZED (SELECT l_orderkey, l_linenumber, {label} AS y, {z}, 1.0::DOUBLE AS z{len(PREDICTORS)} FROM lineitem)"
+
+
+def ridge_sql(label: str, reg: float) -> str:
+    d = len(PREDICTORS)
+    cells = ", ".join(f"avg(z{i} * {f'z{j}' if j <= d else 'y'}){f' + {reg}' if i == j < d else ''} AS a_{i}_{j}" for i in range(d + 1) for j in range(d + 2))
+    fitted = " + ".join(f"x_{k} * z{k}" for k in range(d + 1))
+    return f"""
+WITH {standard_sql(label)}, sums AS (SELECT {cells} FROM z), {solve_sql("w", "sums", d + 1)}
+SELECT l_orderkey, l_linenumber, y AS label, round({fitted}, 3) AS prediction FROM z, w
+"""
+
+
+def newton_sql(label: str, reg: float, rounds: int) -> str:
+    """Newton's rounds to the least loss, which is the only one."""
+    d = len(PREDICTORS)
+    tables = [standard_sql(label), f"w0 AS (SELECT {', '.join(f'0.0::DOUBLE AS x_{k}' for k in range(d + 1))})"]
+    margin = " + ".join(f"x_{k} * z{k}" for k in range(d + 1))
+    for t in range(rounds):
+        held = [f"{reg} * any_value(x_{i})" if i < d else "0" for i in range(d + 1)]
+        cells = [
+            f"avg(p * (1 - p) * z{i} * z{j}){f' + {reg}' if i == j < d else ''} AS a_{i}_{j}" if j <= d else f"avg((y - p) * z{i}) - {held[i]} AS a_{i}_{j}"
+            for i in range(d + 1) for j in range(d + 2)
+        ]
+        tables.append(f"s{t} AS (SELECT {', '.join(cells)} FROM (SELECT *, 1 / (1 + exp(-({margin}))) AS p FROM z, w{t}))")
+        tables.append(solve_sql(f"d{t}", f"s{t}", d + 1))
+        tables.append(f"w{t + 1} AS MATERIALIZED (SELECT {', '.join(f'w{t}.x_{k} + d{t}.x_{k} AS x_{k}' for k in range(d + 1))} FROM w{t}, d{t})")
+    return f"""
+WITH {", ".join(tables)}
+SELECT l_orderkey, l_linenumber, y AS label, ({margin} > 0)::INTEGER::DOUBLE AS prediction FROM z, w{rounds}
+"""
+
+
+@query("regression", ridge_sql("l_extendedprice", 0.1))
 def regression(spark, sf):
-    rows = examples(spark, sf)
+    rows = examples(spark, sf, F.col("l_extendedprice"))
     return scored(learning.regression(rows), rows)
 
 
@@ -105,13 +151,13 @@ def classification_sgd(spark, sf):
     return learning.classification_sgd(rows).select("t", weight(0).alias("w_quantity"), weight(1).alias("w_tax"))
 
 
-@query("classification")
+@query("classification", newton_sql("(l_returnflag = 'R')::INTEGER::DOUBLE", 0.1, 8))
 def classification(spark, sf):
     rows = examples(spark, sf, is_returned())
     return scored(learning.classification(rows), rows)
 
 
-@query("logistic_regression")
+@query("logistic_regression", newton_sql("(l_extendedprice > 50000)::INTEGER::DOUBLE", 0.0, 14))
 def logistic_regression(spark, sf):
     rows = examples(spark, sf, F.col("l_extendedprice") > 50000)
     return scored(learning.logistic_regression(rows), rows)
