@@ -1,6 +1,6 @@
 """Seeded inputs of the workloads, computed from row ids.
 
-Every value is a hash of the id, the name of the draw and the seed, so a row does not depend on the
+Every value follows from the md5 of the id, the name of the draw and the seed, so a row does not depend on the
 partitioning and a lost partition is made again as it was. ``ids`` is a DataFrame with a BIGINT ``id``:
 a range from :func:`id_range`, or the keys of any table.
 """
@@ -15,21 +15,28 @@ from pyspark.sql import functions as F
 from gaugework.sources.lookups import workload_parameters
 
 SEED = 5
-_STEPS = 1 << 53  # the integers a double holds exactly
+_DIGITS = 13
+_STEPS = 1 << 4 * _DIGITS  # whole numbers that a double holds exactly
 
 
 def id_range(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
     return spark.range(0, n, 1, partitions) if partitions else spark.range(n)
 
 
+def draw(*what: Column, seed: int = SEED) -> Column:
+    """A whole number of 52 bits from the md5 of the given columns and names, which any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", *[w.cast("string") for w in what], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("bigint")
+
+
 def uniform(*what: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) for the given columns and names."""
-    return F.pmod(F.xxhash64(*what, F.lit(seed)), F.lit(_STEPS)) / F.lit(float(_STEPS))
+    return draw(*what, seed=seed) / F.lit(float(_STEPS))
 
 
 def whole(below: int, *what: Column, seed: int = SEED) -> Column:
     """An integer in [0, below)."""
-    return F.pmod(F.xxhash64(*what, F.lit(seed)), F.lit(below))
+    return draw(*what, seed=seed) % F.lit(below)
 
 
 def normal(*what: Column, seed: int = SEED) -> Column:
