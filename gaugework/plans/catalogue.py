@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.operators import embedding, factors, generators, graph, learning, matrix, patterns, quasi_newton, relational, spectral, statistics, trees
+from gaugework.operators import bayes, embedding, factors, generators, graph, learning, matrix, patterns, quasi_newton, relational, spectral, statistics, trees
 from gaugework.session import shuffle_partitions
 from gaugework.sources.lookups import workload_parameters
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
-
-
 def _columns(df: DataFrame, array: str, width: int) -> DataFrame:
     return df.select("id", *[F.get(array, F.lit(i)).alias(f"c{i}") for i in range(width)])
 
@@ -59,8 +53,10 @@ def run_workload(
         model = learning.classification(data, p["num-iterations"], p["reg-param"])
         return quasi_newton.predict(data, model).select("id", "label", "prediction")
     if workload == "naive-bayes":
-        model = NaiveBayes(smoothing=float(p["nb-lambda"]), modelType=p["model-type"]).fit(_vectors(data))
-        return model.transform(_vectors(data)).select("id", "label", "prediction")
+        if p["model-type"] != "multinomial":
+            raise ValueError(f"unknown model type {p['model-type']!r}")
+        model = bayes.naive_bayes_array(data, "features", "label", float(p["nb-lambda"]))
+        return bayes.naive_bayes_predict(data, model, "features").select("id", "label", "prediction")
     if workload in ("decision-tree", "random-forest", "gradient-boosted-tree"):
         return _tree(p, data)
     if workload == "als":
@@ -74,7 +70,7 @@ def run_workload(
     if workload == "lda":
         if p["optimizer"] != "em":
             raise ValueError(f"unknown optimizer {p['optimizer']!r}")
-        return factors.lda(data, ["id"], "words", p["num-topics"], p["num-iterations"], p["num-vocab"])[0]
+        return factors.describe_topics(factors.lda(data, ["id"], "words", p["num-topics"], p["num-iterations"], p["num-vocab"])[0])
     if workload == "pic":
         return spectral.power_iteration_clustering(data, p["num-centers"], p["num-iterations"])
     if workload == "svd":

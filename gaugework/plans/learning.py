@@ -178,6 +178,26 @@ def naive_bayes(spark, sf):
     return model.withColumns({c: seven_digits(F.col(c)) for c in ["log_prior", "log_p"]})
 
 
+@query(
+    "naive_bayes_array",
+    """
+WITH cells AS (
+  SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, abs(unnest(embedding)::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL),
+sums AS (SELECT label, feature, sum(v) AS s FROM cells GROUP BY 1, 2),
+labels AS (SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1)
+SELECT label, feature::INTEGER AS feature, round(ln(n / (SELECT sum(n) FROM labels)), 9) AS log_prior,
+       round(ln((s + 1) / (sum(s) OVER (PARTITION BY label) + count(*) OVER (PARTITION BY label))), 9) AS log_p
+FROM sums JOIN labels USING (label)
+""",
+)
+def naive_bayes_array(spark, sf):
+    """Sizes of the embeddings' entries by their label, from one array column."""
+    vectors = load(spark, sf, "embeddings").select("label", F.transform("embedding", F.abs).alias("sizes"))
+    model = bayes.naive_bayes_array(vectors, "sizes", "label")
+    found = model.select("label", "first", F.round("log_prior", 9).alias("log_prior"), F.posexplode("log_p").alias("at", "log_p"))
+    return found.select("label", (F.col("first") + F.col("at")).alias("feature"), "log_prior", F.round("log_p", 9).alias("log_p"))
+
+
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     documents = load(spark, sf, "documents").select("doc_id", "text")
     return documents.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")

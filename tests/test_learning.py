@@ -151,6 +151,26 @@ def test_naive_bayes_agrees_with_the_library(spark):
         assert r["log_p"] == pytest.approx(model.theta.toArray()[int(r["label"]), "abc".index(r["feature"])])
 
 
+@pytest.mark.parametrize("block", [1 << 14, 4])
+def test_naive_bayes_on_an_array(spark, monkeypatch, block):
+    monkeypatch.setattr(bayes, "SUM_BLOCK", block)
+    draw = np.random.default_rng(3)
+    x, y = draw.integers(0, 6, (90, 10)), draw.integers(0, 3, 90)
+    x[:, :2] += 9 * (y == 1)[:, None]
+    data = [(i, f"l{c}", r.astype(float).tolist()) for i, (c, r) in enumerate(zip(y, x))]
+    df = frame(spark, [*data, (100, None, [1.0] * 10), (101, "l0", None), (102, "l0", [None] * 10)], "id int, label string, v array<double>")
+    model = bayes.naive_bayes_array(df.repartition(4), "v", "label")
+    sums = np.array([x[y == c].sum(0) for c in range(3)])
+    exact = np.log((sums + 1) / (sums.sum(1, keepdims=True) + 10))
+    for r in model.collect():
+        c = int(r["label"][1])
+        assert r["log_p"] == pytest.approx(exact[c, r["first"] : r["first"] + block].tolist())
+        assert r["log_prior"] == pytest.approx(math.log((y == c).mean()))
+    found = {r["id"]: r["prediction"] for r in bayes.naive_bayes_predict(df, model, "v").collect()}
+    best = (x @ exact.T + np.log(np.bincount(y) / 90)).argmax(1)
+    assert [found[i] for i in range(90)] == [f"l{c}" for c in best] and found[100] and found[101] is None and found[102] is None
+
+
 def test_baskets_and_sequences_hold_no_copies(spark):
     data = [(1, 2, "a")] * 500 + [(1, 1, "b"), (1, 2, "c"), (2, 5, "a")]
     df = frame(spark, data, "k int, t int, item string")
