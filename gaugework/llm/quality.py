@@ -34,7 +34,7 @@ class Rule:
 RULES = [
     Rule("length", "n_words", low=10, least_words=0),
     Rule("word_length", "mean_word_chars", low=1.5, high=25),
-    Rule("symbols", "symbol_ratio", high=0.5),
+    Rule("symbols", "symbol_ratio", high=0.1),
     Rule("stop_words", "stop_word_ratio", low=0.002, least_words=100),
     Rule("repeated_lines", "dup_line_ratio", high=0.7),
 ]

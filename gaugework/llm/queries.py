@@ -68,6 +68,7 @@ def op2_sharding(spark, folder):
     )
 
 
+LIMITS = {rule.name: rule for rule in quality.RULES}
 STOP_LIST = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words}))
 
 
@@ -93,7 +94,7 @@ STOP_LIST = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORD
         FROM split LEFT JOIN covered USING (rid)),
     judged AS (
         SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-            n_words >= 10 AND (word_chars / n_words < 1.5 OR word_chars / n_words > 25 OR n_symbols / n_words > 0.5
+            n_words >= 10 AND (word_chars / n_words < 1.5 OR word_chars / n_words > 25 OR n_symbols / n_words > {LIMITS['symbols'].high}
                 OR (n_words >= 100 AND n_stop / n_words < 0.002)
                 OR coalesce(n_dup_lines / nullif(n_lines, 0), 0) > 0.7) AS rule_failed
         FROM counted)

@@ -53,3 +53,13 @@ def test_empty_table_and_clashing_columns(documents):
 def test_no_user_function_and_no_shuffle(documents):
     plan = quality.judge(documents([(1, "a")], 1).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange") <= 1  # the one of the fixture's repartition
+
+
+def test_words_parted_by_bars_fail_the_symbols_rule(documents):
+    """One bar for every two or more words, far below one a word; a sign in a hundred words is let pass."""
+    words = "the quick brown fox jumps over lazy dogs and cats while nobody looks at them today".split()
+    barred = " | ".join(" ".join(words[k : k + 3]) for k in range(0, 15, 3))
+    clean = " ".join(f"{w}{k}" for k in range(7) for w in words) + " R&D"
+    found = {r["doc_id"]: r for r in quality.judge(documents([(1, barred), (2, clean)])).collect()}
+    assert found[1].failed_rules == ["symbols"] and not found[1].kept
+    assert "symbols" not in found[2].failed_rules
