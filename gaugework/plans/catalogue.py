@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.operators import bayes, embedding, factors, generators, graph, learning, matrix, patterns, quasi_newton, relational, spectral, statistics, trees
+from gaugework.operators import bayes, embedding, factors, generators, graph, learning, matrix, patterns, quasi_newton, relational, spectral, statistics, trees, wide_matrix
 from gaugework.session import shuffle_partitions
 from gaugework.sources.lookups import workload_parameters
 
@@ -74,10 +74,9 @@ def run_workload(
     if workload == "pic":
         return spectral.power_iteration_clustering(data, p["num-centers"], p["num-iterations"])
     if workload == "svd":
-        return matrix.svd(data, "row", p["rank"])
+        return wide_matrix.svd(data, "row", p["rank"])
     if workload == "pca":
-        model, rows = matrix.pca(data, "row", p["rank"])
-        return model.transform(rows).select("id", "projected")
+        return wide_matrix.project(data, "row", wide_matrix.pca(data, "row", p["rank"])).select("id", "projected")
     if workload == "summary-statistics":
         return statistics.summary_statistics(data, "row")
     if workload == "pearson":

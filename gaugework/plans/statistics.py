@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.functions.numbers import seven_digits
-from gaugework.operators import matrix, statistics
+from gaugework.operators import matrix, statistics, wide_matrix
 from gaugework.plans.registry import query
 from gaugework.sources.tables import load
 
@@ -189,6 +189,31 @@ def svd_energy(spark, sf):
     return found.agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
 
 
+@query(
+    "svd_wide_energy",
+    """
+SELECT round(sum(v * v), 6) AS energy FROM (SELECT unnest(embedding::DOUBLE[]) AS v FROM embeddings)
+""",
+)
+def svd_wide_energy(spark, sf):
+    """The same by directions and triangles, without the matrix of products."""
+    found = wide_matrix.svd(load(spark, sf, "embeddings"), "embedding", 64)
+    return found.agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
+
+
+@query(
+    "pca_wide_energy",
+    """
+SELECT round(sum(v), 6) AS variance FROM (
+  SELECT place, var_samp(x) AS v FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings)
+  GROUP BY place)
+""",
+)
+def pca_wide_energy(spark, sf):
+    found = wide_matrix.pca(load(spark, sf, "embeddings"), "embedding", 64)
+    return found.agg(F.round(F.sum("variance"), 6).alias("variance"))
+
+
 @query(
     "pca_energy",
     """
