@@ -12,6 +12,7 @@ sites use (:func:`relayout`), with menus, sidebars, notices, adverts, forms and
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -23,12 +24,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.llm.common import materialise
+
 #: Pages the trees are fitted on, by the order of a hash, and new layouts of each.
 SAMPLE_PAGES = 500
 LAYOUTS = 4
 TREES = 30
 DEPTH = 5
 MIXED_COST = 0.5
+#: Sampled pages and layouts in one partition of the fit: some 20,000 nodes. Each level of a tree shuffles a histogram per partition.
+FIT_PAGES = 500
 FLUSH_CHARS = 8 << 20
 
 _TOKEN = re.compile(
@@ -380,6 +385,9 @@ def train(pages: DataFrame, html: str = "html", rows: int = SAMPLE_PAGES, layout
     # first the last place of the sample, from hashes alone; then only pages up to it move
     last = placed.select("place").distinct().orderBy("place").limit(rows).agg(F.max("place")).first()[0]
     sample = placed.where(F.col("place") <= (last if last is not None else 0)).dropDuplicates(["place"])
+    # the sample is bounded, so its partitions are too, whatever the session and the table have
+    parts = math.ceil(rows * (1 + layouts) / FIT_PAGES)
+    sample = sample.repartition(parts, "place").sortWithinPartitions("place")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,14 +405,13 @@ def train(pages: DataFrame, html: str = "html", rows: int = SAMPLE_PAGES, layout
             y = np.concatenate(ys) if ys else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(y.astype(float))], ["x", "label"])
 
-    told = sample.mapInArrow(describe, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").cache()
+    told = materialise(sample.mapInArrow(describe, "x array<double>, label double"), "html-nodes")
     kinds = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
     if len(kinds) < 2:
-        told.unpersist()
         only = np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.array([-1.0])
         return Trees([only], [1.0])
+    told = told.select(array_to_vector("x").alias("features"), "label").coalesce(parts)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, cacheNodeIds=False, checkpointInterval=-1).fit(told)
-    told.unpersist()
     return Trees([_flatten(t._call_java("rootNode")) for t in model.trees], list(model.treeWeights))
 
 
