@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.functions.times import clock_text
+from gaugework.lineage import scratch_path
 from gaugework.operators import metrics
 from gaugework.plans.registry import query
-from gaugework.sources.metric_names import METRIC_COLUMNS, PLAIN_COLUMNS
+from gaugework.sources.feeds import DEVICE_COLUMN, feed_columns, read_metric_feed, write_metric_feed
+from gaugework.sources.metric_names import DISK_METRICS, GENERAL_METRICS, NETWORK_METRICS, PLAIN_COLUMNS, plain_name
 from gaugework.sources.tables import load
 
 DAY = 86400
@@ -108,18 +110,79 @@ def metric_device_rollup(spark, sf):
     return shown(rolled)
 
 
-WIDE_SQL = f"""
-SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS {PLAIN_COLUMNS[0]},
-       {", ".join(f"CAST(general + {i} AS DOUBLE) AS {name}" for i, name in enumerate(PLAIN_COLUMNS) if i)}
-FROM ({DAILY_SQL})
+DEVICE = {"general": "CPU", **DEVICE_COLUMN}
+METRICS = {
+    kind: [plain_name(m) for m in names]
+    for kind, names in (("general", GENERAL_METRICS), ("disk", DISK_METRICS), ("network", NETWORK_METRICS))
+}
+
+
+def _combined_sql(name: str, value: str) -> str:
+    if "pct" in name:
+        return f"max({value})"
+    return f"{'avg' if name.endswith(('avgrq_sz', 'avgqu_sz', 'await', 'svctm')) else 'sum'}({value})"
+
+
+def device_feed_sql(kind: str) -> str:
+    """The first sample of each user, device and day; devices rolled up but for the feed that has none."""
+    types = ", ".join(f"'{t}'" for t in FEEDS[kind])
+    device = "" if kind == "general" else ", event_type"
+    first = f"""SELECT user_id AS host, time_bucket(INTERVAL 1 DAY, ts) AS ts, arg_min(floor(value), ts) AS v
+      FROM events WHERE event_type IN ({types}) GROUP BY user_id, time_bucket(INTERVAL 1 DAY, ts){device}"""
+    if kind == "general":
+        return f"(SELECT host, ts, {', '.join(f'v + {i} AS {m}' for i, m in enumerate(METRICS[kind]))} FROM ({first}))"
+    columns = ", ".join(f"{_combined_sql(m, f'v + {i}')} AS {m}" for i, m in enumerate(METRICS[kind]))
+    return f"(SELECT host, ts, {columns} FROM ({first}) GROUP BY host, ts)"
+
+
+TABLE_SQL = f"""
+SELECT CAST(g.host AS VARCHAR) AS host, strftime(g.ts, '%Y-%m-%d %H:%M:%S') AS {PLAIN_COLUMNS[0]},
+       {", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in PLAIN_COLUMNS[1:])}
+FROM {device_feed_sql("general")} g JOIN {device_feed_sql("disk")} d USING (host, ts)
+     JOIN {device_feed_sql("network")} n USING (host, ts)
 """
+WIDE_SQL = f"SELECT * EXCLUDE (host) FROM ({TABLE_SQL})"
+
+
+def exported(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """A feed in the columns of its export: event types are the devices, the n-th metric is the whole value + n."""
+    value = F.floor("value").cast("double")
+    metric = {m: (value + F.lit(float(i))).alias(m) for i, m in enumerate(METRICS[kind])}
+    identity = {
+        "host": F.col("host").cast("string"),
+        "interval": F.lit(DAY).alias("interval"),
+        "ts": F.col("ts"),
+        "CPU": F.lit("-1").alias("CPU"),
+        "INTR": F.lit("sum").alias("INTR"),
+        DEVICE_COLUMN.get(kind, "CPU"): (F.lit("-1") if kind == "general" else F.col("device")).alias(DEVICE[kind]),
+    }
+    rows = samples(spark, sf).where(F.col("device").isin(FEEDS[kind]))
+    return rows.select(*[(metric | identity)[c] for c in feed_columns(kind)])
+
+
+def joined(feeds: dict[str, DataFrame]) -> DataFrame:
+    """The metric table of the three feeds by user and day, each column from its own feed."""
+    daily = [
+        metrics.metric_resample(metrics.metric_prune(df), DAY, ["host"] if kind == "general" else ["host", DEVICE[kind]])
+        for kind, df in feeds.items()
+    ]
+    return shown(metrics.metric_table(*daily))
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    """A joined table as wide as the metric table, one shifted column per metric, without proper names."""
-    return shown(daily(spark, sf)).select(
-        "ts", *[(F.col("general") + F.lit(i)).alias(f"c{i}") for i in range(1, len(METRIC_COLUMNS))]
-    )
+    """The metric table under the names of its operators, without the host."""
+    return joined({kind: exported(spark, sf, kind) for kind in FEEDS}).drop("host")
+
+
+@query("metric_table", TABLE_SQL)
+def metric_table(spark, sf):
+    """From the three exported files to the named table."""
+    back = {}
+    for kind in FEEDS:
+        path = scratch_path(spark, f"export-{kind}")
+        write_metric_feed(exported(spark, sf, kind), path, kind)
+        back[kind] = read_metric_feed(spark, path, kind)
+    return metrics.metric_rename(joined(back), ["host", *PLAIN_COLUMNS])
 
 
 @query("metric_rename", WIDE_SQL)
