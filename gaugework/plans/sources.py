@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.times import clock_text
 from gaugework.lineage import scratch_path
-from gaugework.operators import metrics
+from gaugework.operators import metrics, runs
 from gaugework.plans.metrics import WIDE_SQL, shown, wide
 from gaugework.plans.pricing import HISTORY_SQL, price_history
 from gaugework.plans.registry import query
@@ -85,6 +85,23 @@ def read_run_reports(spark, sf):
     return back.withColumn("timestamp", clock_text(F.col("timestamp")))
 
 
+@query(
+    "run_report_folders",
+    f"""
+SELECT * EXCLUDE (run), workload || '.' || datasize || '.' || framework AS run_key
+FROM ({REPORT_SQL}) QUALIFY row_number() OVER (PARTITION BY workload, datasize, framework ORDER BY "timestamp" DESC, run DESC) = 1
+""",
+)
+def run_report_folders(spark, sf):
+    """The last report of each spec, indented in its own folder, read back with the folder's name."""
+    spec = ["workload", "datasize", "framework"]
+    last = runs.latest_report(reports(spark, sf), spec, "timestamp", ["run"])
+    path = scratch_path(spark, "report-folders")
+    report_files.write_run_reports(last.withColumn("key", F.concat_ws(".", *spec)), path, "key")
+    back = report_files.read_run_reports(spark, path, run_key=True)
+    return back.withColumn("timestamp", clock_text(F.col("timestamp")))
+
+
 @query(
     "read_price_history",
     f"SELECT instance_type, az, CAST(sum(price) AS DOUBLE) AS total, count(*) AS n FROM {HISTORY_SQL} GROUP BY 1, 2",

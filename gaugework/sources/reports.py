@@ -38,9 +38,12 @@ def read_run_reports(spark: SparkSession, path: str, multi_line: bool = True, ru
     The measures are text in some reports and numbers in others; all are read as text and cast.
     With ``run_key`` the name of the folder that holds the file is added, for ``parse_run_key``.
     """
-    raw = spark.read.schema(REPORT_SCHEMA).option("multiLine", multi_line).json(path)
+    schema = REPORT_SCHEMA + ", run_key string" * run_key
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     if run_key:
-        raw = raw.withColumn("run_key", F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1))
+        # a folder written by write_run_reports gives its key itself, and unescaped
+        folder = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
+        raw = raw.withColumn("run_key", F.coalesce("run_key", folder))
     return raw.withColumns(
         {
             "timestamp": F.col("timestamp").try_cast("timestamp_ntz"),
@@ -49,6 +52,13 @@ def read_run_reports(spark: SparkSession, path: str, multi_line: bool = True, ru
     )
 
 
-def write_run_reports(df: DataFrame, path: str) -> None:
-    """One JSON object per run and line."""
-    report_json(df).select("report").write.text(path)
+def write_run_reports(df: DataFrame, path: str, run_key: str | None = None) -> None:
+    """One JSON object per run and line; with the column ``run_key`` one indented object per run in a folder of its own.
+
+    A run has one row (take its ``latest_report`` first). Tasks write to attempt folders that are moved when they commit, so a
+    task that is repeated leaves no second file.
+    """
+    if run_key is None:
+        report_json(df).select("report").write.text(path)
+    else:
+        report_json(df, pretty=True).select(F.col(run_key).alias("run_key"), "report").write.partitionBy("run_key").text(path)

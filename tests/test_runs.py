@@ -162,3 +162,15 @@ def test_parameters_are_overlaid_and_missing_sizes_fail():
     assert lookups.workload_parameters("spearman", "small")["num-rows"] == 40000  # below the warm-up, as published
     with pytest.raises(KeyError):
         lookups.size_parameters("als", "bigdata")
+
+
+def test_a_folder_with_one_indented_object_for_each_run(spark, tmp_path):
+    table = finished(spark).withColumn("key", F.concat(F.lit("007:a b/"), F.monotonically_increasing_id().cast("string")))
+    reports.write_run_reports(table, str(tmp_path / "runs"), "key")
+    files = sorted((tmp_path / "runs").glob("run_key=*/part-*"))
+    assert len(files) == table.count()
+    for file in files:
+        text = file.read_text().rstrip("\n")
+        assert text == json.dumps(json.loads(text), indent=4, sort_keys=True)
+    back = reports.read_run_reports(spark, str(tmp_path / "runs"), run_key=True)
+    assert sorted(r["run_key"] for r in back.collect()) == sorted(r["key"] for r in table.collect())
