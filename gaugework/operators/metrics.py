@@ -47,7 +47,7 @@ def metric_join(general: DataFrame, disk: DataFrame, network: DataFrame, on: lis
     return general.join(disk, on, "inner").join(network, on, "inner")
 
 
-def _combined(name: str) -> Column:
+def combined(name: str) -> Column:
     """Utilisation of the busiest device, the mean of sizes and waits, the sum of rates."""
     if "pct" in name:
         return F.max(name).alias(name)
@@ -65,7 +65,7 @@ def metric_table(general: DataFrame, disk: DataFrame, network: DataFrame, rollup
     for i, device in ((1, "DEV"), (2, "IFACE")):
         if rollup:
             metrics = [c for c in feeds[i].columns if c not in ("host", "ts", device)]
-            feeds[i] = metric_device_rollup(feeds[i], [_combined(m) for m in metrics])
+            feeds[i] = metric_device_rollup(feeds[i], [combined(m) for m in metrics])
         else:
             feeds[i] = feeds[i].drop(device)
     return metric_join(*feeds)

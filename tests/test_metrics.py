@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gaugework.operators import metrics
 from gaugework.sources import feeds
 from gaugework.sources.metric_names import DISK_METRICS, GENERAL_METRICS, METRIC_COLUMNS, NETWORK_METRICS, PLAIN_COLUMNS
-from gaugework.streaming.metric_feed import stream_metric_feed, stream_resample
+from gaugework.streaming.metric_feed import stream_metric_feed, stream_metric_table, stream_resample
 from helpers import frame, rows
 
 
@@ -164,3 +164,39 @@ def test_buckets_are_final_once_the_feed_is_late_past_them(spark, tmp_path):
     # the row of second 1 came too late to change its bucket, the last bucket is still open, the others are those of the batch
     assert rows(spark.table("appended")) == rows(batch) and batch.count() == 10
     assert state["numRowsTotal"] == 1
+
+
+def test_joined_stream_gives_the_batch_table_once_all_feeds_are_past(spark, tmp_path):
+    kinds = ("general", "disk", "network")
+    for kind in kinds:
+        (tmp_path / kind).mkdir()
+
+    def arrive(name, kind, samples):
+        feeds.write_metric_feed(feed(spark, kind, samples).coalesce(1), str(tmp_path / name / kind), kind)
+        (part,) = glob.glob(str(tmp_path / name / kind / "part*"))
+        (tmp_path / kind / f"{name}.csv").write_text(open(part).read())
+
+    devices = {"general": [""], "disk": ["sda", "sdb"], "network": ["eth0"]}
+    for kind in kinds:
+        arrive("first", kind, [(h, s, d, s + len(d)) for h in ("h", "k") for s in range(0, 60, 4) for d in devices[kind]])
+    table = stream_metric_table(*[stream_metric_feed(spark, str(tmp_path / k), k) for k in kinds], seconds=10, late="10 seconds")
+    sink = table.writeStream.format("memory").queryName("joined").outputMode("append")
+    started = sink.option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        started.processAllAvailable()
+        early = {r["ts"] for r in spark.table("joined").collect()}
+        # the watermark is 46: the buckets up to 30 are final
+        assert early == {at(s) for s in (0, 10, 20, 30)}
+        # a late row in each feed, and one that closes what is open; the network feed stays behind
+        for kind, last in (("general", 300), ("disk", 200), ("network", 100)):
+            arrive("second", kind, [("h", 1, devices[kind][0], 7000), ("h", last, devices[kind][0], 1)])
+        started.processAllAvailable()
+        state = sum(o["numRowsTotal"] for o in started.lastProgress["stateOperators"])
+    finally:
+        started.stop()
+    batch = [metrics.metric_prune(feeds.read_metric_feed(spark, str(tmp_path / "first" / k), k)) for k in kinds]
+    names = [["host"], ["host", "DEV"], ["host", "IFACE"]]
+    expected = metrics.metric_table(*[metrics.metric_resample(b, 10, n) for b, n in zip(batch, names)])
+    assert rows(spark.table("joined")) == rows(expected) and expected.count() == 12
+    # only the closing rows are still held
+    assert state <= 3 + 1
