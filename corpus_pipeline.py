@@ -6,11 +6,13 @@ reads it back as the next one's documents. All but the last return the columns o
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugework.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from gaugework.llm.common import materialise
+from gaugework.llm.common import materialise_last
 from gaugework.sources.tables import load
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # what the stage wrote on its way goes once its documents are written
+        docs = materialise_last(partial(stage, spark, docs, sf_dir), spark, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

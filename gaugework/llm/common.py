@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugework.lineage import scratch_path
@@ -11,15 +14,62 @@ from gaugework.lineage import scratch_path
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 _POSITION_BITS = 60
+_scopes: list[list[str]] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither repeat its work nor depend on executors."""
     path = scratch_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end the tables that :func:`materialise` wrote inside, on an error too.
+
+    Whatever is still wanted must have been written outside of the scope's own tables by then: a DataFrame that reads one of
+    them can no longer run. Scopes nest; a table belongs to the innermost.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for name in _scopes.pop():
+            path = hadoop.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise_last(make, spark: SparkSession, name: str) -> DataFrame:
+    """Write what ``make()`` returns, remove the scratch tables that it wrote on its way, and read it back."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``_row`` (all columns of ``docs`` in a struct), ``_file, _at``: file and row index, a key of each row, of equal rows too.
+
+    It is the same in every run over the table. Rows that do not come straight from files (columns chosen and rows left out
+    are allowed) are written to a table first. As the given columns are in the struct, their names clash with none.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    stored = docs if plan.nodeName().startswith("LogicalRelation") else materialise(docs, name)
+    place = stored.metadataColumn("_metadata")
+    row = F.struct(*[stored[f"`{c}`"] for c in docs.columns]).alias("_row")
+    return stored.select(row, place["file_path"].alias("_file"), place["row_index"].alias("_at"))
+
+
 def seeded_position(seed: str, *columns: Column) -> Column:
     """A 60-bit position drawn from the values of ``columns``; the same in any engine with md5."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]

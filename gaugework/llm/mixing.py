@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import WORD, materialise, position_cell, running_sum, seeded_position
+from gaugework.llm.common import WORD, materialise, position_cell, running_sum, seeded_position, with_row_key
 from gaugework.operators.ranking import number_rows
 from gaugework.session import shuffle_partitions
 
@@ -50,6 +50,41 @@ def water_fill(sources: DataFrame, total: float, epochs: float) -> DataFrame:
     return sources.withColumn("target", F.when(clamped, cap).otherwise(share))
 
 
+def _placed(docs: DataFrame, seed: str, text: str, source: str, id_column: str) -> DataFrame:
+    """Add the columns by which rows are ordered and their words counted: ``_none, _source, _size, _position``."""
+    return docs.select(
+        "*",
+        F.col(source).isNull().alias("_none"),
+        F.coalesce(F.col(source), F.lit("")).alias("_source"),
+        word_count(F.col(text)).alias("_size"),
+        seeded_position(seed, F.col(id_column)).alias("_position"),
+    )
+
+
+def _fill_sources(base: DataFrame, weights: list[int], share: float, epochs: int) -> tuple[DataFrame, DataFrame]:
+    """The sources with ``target, _whole, _extra`` (whole epochs, words of the fraction), and the rows of ``base`` with all of
+    that, ``_sum`` (words before the row in its source's order) and ``_part`` (words of the fraction that the row gives)."""
+    sources = base.groupBy("_none", "_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    sources = materialise(cycling_weights(sources, ["_none", "_source"], weights), "mix-sources")
+    totals = sources.agg(F.sum("source_size"), F.sum("_rows")).first()
+    filled = water_fill(sources, share * float(totals[0] or 0), float(epochs))
+    whole = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(epochs)).cast("long")
+    filled = filled.withColumn("_whole", whole).withColumn("_extra", F.floor("target").cast("long") - whole * F.col("source_size"))
+    finest = max(LEAST_CELLS, (totals[1] or 0) // CELL_ROWS)
+    cells = F.greatest(F.ceil(F.col("_rows") * F.lit(finest / max(1, totals[1] or 1))), F.lit(1))
+    rows = base.join(filled.withColumn("_cells", cells), ["_none", "_source"])
+    rows = rows.withColumn("_cell", position_cell(F.col("_position"), F.col("_cells")))
+    order = [c for c in ("_position", "doc_id", "_size", "_file", "_at") if c in base.columns]
+    before = running_sum(rows, ["_none", "_source"], "_cell", order, "_size", "_sum")
+    part = F.least(F.greatest(F.col("_extra") - F.col("_sum"), F.lit(0)), F.col("_size"))
+    return filled, before.withColumn("_part", part)
+
+
+def _mostly() -> Column:
+    """Whether a row gives at least half of its words to the fraction; one without words never does."""
+    return (F.col("_size") > 0) & (2 * F.col("_part") >= F.col("_size"))
+
+
 def plan_mix(
     docs: DataFrame,
     weights: list[int],
@@ -71,49 +106,47 @@ def plan_mix(
     size, and rows equal in both may swap places, which changes no row. Sums over a source come from
     cells of its hashed order, so no source meets in one task. Reruns and other partitionings give the same rows.
     """
-    spark = docs.sparkSession
-    base = docs.select(
-        F.col(id_column).alias("doc_id"),
-        F.col(source).isNull().alias("_none"),
-        F.coalesce(F.col(source), F.lit("")).alias("_source"),
-        word_count(F.col(text)).alias("size"),
-        seeded_position(seed, F.col(id_column)).alias("_position"),
-    )
-    base = materialise(base, "mix-sizes")
-    sources = base.groupBy("_none", "_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    sources = materialise(cycling_weights(sources, ["_none", "_source"], weights), "mix-sources")
-    totals = sources.agg(F.sum("source_size"), F.sum("_rows")).first()
-    filled = water_fill(sources, share * float(totals[0] or 0), float(epochs))
-    whole = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(epochs)).cast("long")
-    filled = filled.withColumn("_whole", whole).withColumn("_extra", F.floor("target").cast("long") - whole * F.col("source_size"))
-    finest = max(LEAST_CELLS, (totals[1] or 0) // CELL_ROWS)
-    cells = F.greatest(F.ceil(F.col("_rows") * F.lit(finest / max(1, totals[1] or 1))), F.lit(1))
-    rows = base.join(filled.withColumn("_cells", cells), ["_none", "_source"])
-    rows = rows.withColumn("_cell", position_cell(F.col("_position"), F.col("_cells")))
-    before = running_sum(rows, ["_none", "_source"], "_cell", ["_position", "doc_id", "size"], "size", "_sum")
-    part = F.least(F.greatest(F.col("_extra") - F.col("_sum"), F.lit(0)), F.col("size"))
+    base = _placed(docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), seed, "text", "source", "doc_id")
+    base = materialise(base.drop("text", "source"), "mix-sizes")
+    _, before = _fill_sources(base, weights, share, epochs)
     return before.select(
         "doc_id",
         F.when(~F.col("_none"), F.col("_source")).alias("source"),
-        "size",
+        F.col("_size").alias("size"),
         "source_size",
         "target",
-        (F.col("_whole") + F.when((F.col("size") > 0) & (2 * part >= F.col("size")), 1).otherwise(0)).cast("int").alias("repeats"),
-        (F.col("_whole") * F.col("size") + part).alias("taken"),
+        (F.col("_whole") + F.when(_mostly(), 1).otherwise(0)).cast("int").alias("repeats"),
+        (F.col("_whole") * F.col("_size") + F.col("_part")).alias("taken"),
     )
 
 
-def mix(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: int = 2, seed: str = SEED, **columns: str) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as its ``repeats``; rows taken no time are left out."""
-    id_column = columns.get("id_column", "doc_id")
-    plan = plan_mix(docs, weights, share, epochs, seed, **columns).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_from"), "repeats"
-    )
-    plan = plan.groupBy("_id", "_size", "_from").agg(F.max("repeats").alias("_repeats")).where("_repeats > 0")
-    same = (
-        F.col(id_column).eqNullSafe(F.col("_id"))
-        & (word_count(F.col(columns.get("text", "text"))) == F.col("_size"))
-        & F.col(columns.get("source", "source")).eqNullSafe(F.col("_from"))
-    )
-    joined = docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-    return joined.select(*[joined[c] for c in docs.columns])
+def mix(
+    docs: DataFrame,
+    weights: list[int],
+    share: float = 1.5,
+    epochs: int = 2,
+    seed: str = SEED,
+    text: str = "text",
+    source: str = "source",
+    id_column: str = "doc_id",
+) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as :func:`plan_mix` repeats it; rows taken no time are left out.
+
+    Only ids, sizes and places are ordered. They give the last row of each source's fraction, and every row tells from its own
+    place whether it comes before it, so texts are never shuffled. Rows that share id, size and position are told apart by
+    file and row index: a crowd of equal rows at the border is cut at the word like any other.
+    """
+    base = _placed(with_row_key(docs, "mix-docs"), seed, *(f"_row.`{c}`" for c in (text, source, id_column)))
+    id_of = F.col(f"_row.`{id_column}`")
+    narrow = base.select(id_of.alias("doc_id"), "_none", "_source", "_size", "_position", "_file", "_at")
+    filled, before = _fill_sources(materialise(narrow, "mix-sizes"), weights, share, epochs)
+    place = F.struct("_position", F.col("doc_id").alias("_id"), "_size", "_file", "_at")
+    border = before.where(_mostly()).groupBy("_none", "_source").agg(F.max(place).alias("_border"))
+    fills = filled.select("_none", "_source", "_whole").join(border, ["_none", "_source"], "left")
+    # a row for each source: a written table has a known size, by which the planner broadcasts it or not
+    rows = base.join(materialise(fills, "mix-borders"), ["_none", "_source"])
+    own = F.struct("_position", id_of.alias("_id"), "_size", "_file", "_at")
+    extra = F.when((F.col("_size") > 0) & F.col("_border").isNotNull() & (own <= F.col("_border")), 1).otherwise(0)
+    rows = rows.withColumn("_repeats", (F.col("_whole") + extra).cast("int")).where("_repeats > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
+    return rows.select("_row.*")

@@ -11,6 +11,7 @@ import __spark_entry__ as entries
 import check
 import corpus_pipeline as pipeline
 from gaugework.llm import queries  # noqa: F401
+from gaugework.llm.common import materialise
 from gaugework.llm.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ def stages(spark, checkpoint_folder):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     tables = [docs]
     for name, stage in pipeline.STAGES:
-        docs = pipeline.materialise(stage(spark, docs, FOLDER), f"test-{name}")
+        docs = materialise(stage(spark, docs, FOLDER), f"test-{name}")
         tables.append(docs)
     return tables
 
