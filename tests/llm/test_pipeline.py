@@ -52,7 +52,7 @@ def test_decisions_take_effect(stages):
 
 def test_registered():
     found = entries.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and found["pipeline"] is pipeline.run
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and found["pipeline"] is pipeline.run
     assert set(ORACLES) <= set(entries.oracle_sql())
 
 
