@@ -17,6 +17,7 @@ from gaugework.sources.metric_names import (
 )
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
+FINE_STAMP = STAMP + "[.SSSSSS]"
 DEVICE_COLUMN = {"disk": "DEV", "network": "IFACE"}
 # What Python's splitlines takes as a line end besides the line feed and carriage return.
 OTHER_LINE_ENDS = r"[\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -41,7 +42,7 @@ def feed_schema(kind: str) -> str:
 
 def feed_options() -> dict[str, str]:
     """Header lines start with a hash and may come again in the middle of a file, so they are comments."""
-    return {"sep": ";", "comment": "#", "timestampNTZFormat": STAMP}
+    return {"sep": ";", "comment": "#", "timestampNTZFormat": FINE_STAMP}
 
 
 def read_metric_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -50,10 +51,11 @@ def read_metric_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def write_metric_feed(df: DataFrame, path: str, kind: str) -> None:
+    """One feed as CSV. A time keeps its fraction of a second, if it has one: it orders the samples of a second."""
     columns = feed_columns(kind)
     short = {plain_name(m): m.split(".", 1)[1] for m in METRIC_COLUMNS[1:]}
     shown = ["# hostname", "interval", "timestamp", *[short.get(c, c) for c in columns[3:]]]
-    out = df.select(*columns).withColumn("ts", clock_text(F.col("ts"))).toDF(*shown)
+    out = df.select(*columns).withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("string")).toDF(*shown)
     out.write.options(sep=";", header=True, comment="~").csv(path)
 
 

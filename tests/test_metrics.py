@@ -200,3 +200,19 @@ def test_joined_stream_gives_the_batch_table_once_all_feeds_are_past(spark, tmp_
     assert rows(spark.table("joined")) == rows(expected) and expected.count() == 12
     # only the closing rows are still held
     assert state <= 3 + 1
+
+
+def test_feed_keeps_the_order_of_samples_within_a_second(spark, tmp_path):
+    columns = feeds.feed_columns("disk")
+    metric = [c for c in columns if c not in ("host", "interval", "ts", "DEV")]
+    times = ["2024-01-01 00:00:01.25", "2024-01-01 00:00:01.5", "2024-01-01 00:00:02"]
+    data = frame(spark, [(t, float(v)) for t, v in zip(times, (9, 1, 5))], "t string, v double")
+    out = data.select(
+        F.lit("h").alias("host"), F.lit(5).alias("interval"), F.col("t").cast("timestamp_ntz").alias("ts"), F.lit("sda").alias("DEV"),
+        *[F.col("v").alias(m) for m in metric],
+    )
+    feeds.write_metric_feed(out.select(*columns), str(tmp_path / "out"), "disk")
+    back = feeds.read_metric_feed(spark, str(tmp_path / "out"), "disk")
+    assert [r[0] for r in rows(back.select(F.col("ts").cast("string")))] == times
+    first = metrics.metric_resample(metrics.metric_prune(back), 10, ["host", "DEV"])
+    assert {r[metric[0]] for r in first.collect()} == {9.0}
