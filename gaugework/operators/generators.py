@@ -122,21 +122,21 @@ def gen_cluster_points(ids: DataFrame, features: int, centers: int = 20, noise:
     return dealt.withColumn("features", each(features, feature))
 
 
-def _word(vocabulary: int, *what: Column, seed: int) -> Column:
-    """Low word numbers are the frequent ones."""
-    drawn = uniform(*what, seed=seed)
-    return F.concat(F.lit("w"), F.floor(drawn * drawn * vocabulary).cast("string"))
+def _words(n: int | Column, vocabulary: int, *what: Column, seed: int) -> Column:
+    """An array of ``n`` words; low word numbers are the frequent ones. All are drawn first: a draw is named twice in its word."""
+    drawn = each(n, lambda j: uniform(*what, j, seed=seed))
+    return F.transform(drawn, lambda u: F.concat(F.lit("w"), F.floor(u * u * vocabulary).cast("string")))
 
 
 def gen_documents(ids: DataFrame, vocabulary: int, length: int = 100, seed: int = SEED) -> DataFrame:
     """``(id, words)`` with ``length`` words each."""
-    return ids.select("id", each(length, lambda j: _word(vocabulary, F.col("id"), F.lit("word"), j, seed=seed)).alias("words"))
+    return ids.select("id", _words(length, vocabulary, F.col("id"), F.lit("word"), seed=seed).alias("words"))
 
 
 def gen_sentences(ids: DataFrame, words: int, mean_length: int = 20, seed: int = SEED) -> DataFrame:
     """``(id, words)`` with 1 to twice the mean length less one words."""
     length = F.lit(1) + whole(2 * mean_length - 1, F.col("id"), F.lit("length"), seed=seed)
-    return ids.select("id", each(length, lambda j: _word(words, F.col("id"), F.lit("word"), j, seed=seed)).alias("words"))
+    return ids.select("id", _words(length, words, F.col("id"), F.lit("word"), seed=seed).alias("words"))
 
 
 def gen_graph(ids: DataFrame, vertices: int, degree: int = 20, centers: int = 40, seed: int = SEED) -> DataFrame:
@@ -184,7 +184,7 @@ def gen_chi_square_data(ids: DataFrame, columns: int, categories: int = 10, seed
 def gen_baskets(ids: DataFrame, items: int, mean_size: int = 10, seed: int = SEED) -> DataFrame:
     """``(id, items)``: distinct items, drawn 1 to twice the mean less one times."""
     size = F.lit(1) + whole(2 * mean_size - 1, F.col("id"), F.lit("size"), seed=seed)
-    drawn = each(size, lambda j: _word(items, F.col("id"), F.lit("item"), j, seed=seed))
+    drawn = _words(size, items, F.col("id"), F.lit("item"), seed=seed)
     return ids.select("id", F.array_distinct(drawn).alias("items"))
 
 
@@ -196,7 +196,7 @@ def gen_sequences(
 
     def itemset(p: Column) -> Column:
         size = F.lit(1) + whole(2 * mean_itemset - 1, id, F.lit("set"), p, seed=seed)
-        return F.array_distinct(each(size, lambda j: _word(items, id, F.lit("item"), p, j, seed=seed)))
+        return F.array_distinct(_words(size, items, id, F.lit("item"), p, seed=seed))
 
     length = F.lit(1) + whole(2 * mean_sequence - 1, id, F.lit("length"), seed=seed)
     return ids.select("id", each(length, itemset).alias("sequence"))
