@@ -2,8 +2,9 @@
 
 - **Bins.** A value falls into a bucket by its sign, exponent and eight bits of fraction. Counts of buckets merge by addition, so the cuts
   (quantiles of the counts, at the largest value of a bucket) are the same however the table is dealt. Each feature's
-  value becomes one byte, and the binned table is written once.
-- **Levels.** A pass sends every row down the trees so far and adds weight and label to the bins of its node. Labels are whole multiples of a
+  value becomes one byte, and the binned table is written once, in blocks of many rows: a pass reads it as fast as bytes are copied.
+- **Levels.** Rows lie in the order of their bins. A pass sends every run of rows with the same bins down the trees so far and
+  adds their weights and labels to the bins of its node. Labels are whole multiples of a
   power of two, so sums are exact integers and no order of addition can change a split. A task emits one vector per
   node and block of features; those are added and searched for the best cut by the task that owns them, and only the
   best cuts, one per node, come to the driver. Nodes are taken in groups so that a task's vectors stay below ``MAX_CELLS``.
@@ -31,6 +32,10 @@ FRACTION_BITS = 8
 #: Sums that a task holds at a time.
 MAX_CELLS = 8_000_000
 FEATURE_BLOCK = 64
+#: Rows and bytes that a part of the binned table has about, and rows below which a task does not pay.
+PART_ROWS = 500_000
+PART_BYTES = 32_000_000
+LEAST_ROWS = 20_000
 #: Cumulative shares of 0, 1, 2, ... draws for a row of a bootstrap sample (Poisson of mean 1).
 DRAWS = [round(float(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))), 9) for k in range(9)]
 _UNEQUAL = 1e-12
@@ -139,12 +144,15 @@ def find_cuts(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
 def bootstrap_weights(key: Column, trees: int) -> Column:
     """How often a row is drawn for each tree, from the md5 of its key and the tree's number."""
 
-    def weight(tree: Column) -> Column:
-        drawn = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":"), tree.cast("string"))), 1, 12), 16, 10).cast("double")
-        share = drawn / float(1 << 48)
+    def share(tree: Column) -> Column:
+        digest = F.md5(F.concat(key.cast("string"), F.lit(":"), tree.cast("string")))
+        return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+    def weight(share: Column) -> Column:
         return sum(((share >= bar).cast("int") for bar in DRAWS), F.lit(0)).cast("tinyint")
 
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), weight)
+    # two arrays: a draw is named nine times in its weight, and would be taken from its digest nine times
+    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), share), weight)
 
 
 def allowed_features(tree: int, node: int, width: int, some: int) -> np.ndarray:
@@ -192,9 +200,22 @@ def best_cuts(hist: np.ndarray, allowed: np.ndarray, first: int) -> tuple | None
     return float(gain.flat[best]), first + f, b, left[f, b], whole[f, 0] - left[f, b]
 
 
-def _codes(column, width: int) -> np.ndarray:
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
+def _packed(codes: np.ndarray, y: np.ndarray, drawn: np.ndarray):
+    """A block of rows as one row of bytes, in the order of the codes."""
+    import pyarrow as pa
+
+    order = np.lexsort(codes.T[::-1]) if codes.shape[1] else np.arange(len(codes))
+    cells = [np.ascontiguousarray(a[order]).tobytes() for a in (codes, y, drawn)]
+    return pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["n", "codes", "y", "weights"])
+
+
+def _blocks(batches: Iterator, width: int) -> Iterator:
+    """``codes, y, weights`` of each block: rows x features, rows, rows x trees (x 0 without a bootstrap)."""
+    for batch in batches:
+        for n, codes, y, drawn in zip(*batch.columns):
+            n = n.as_py()
+            weights = np.frombuffer(drawn.as_buffer(), np.uint8).reshape(n, -1)
+            yield np.frombuffer(codes.as_buffer(), np.uint8).reshape(n, width), np.frombuffer(y.as_buffer(), float), weights
 
 
 def _level(binned: DataFrame, model: Trees, active: list[tuple[int, int]], bins: int, some: int, goal, scale: float) -> dict:
@@ -211,25 +232,26 @@ def _level(binned: DataFrame, model: Trees, active: list[tuple[int, int]], bins:
 
         own, place = shared.value
         hist = np.zeros((len(active), width, bins, channels), np.int64).reshape(-1, channels)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, y = _codes(batch.column(0), width), batch.column(1).to_numpy()
-            drawn = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            y = goal(own, codes, y)
+        for codes, y, drawn in _blocks(batches, width):
+            # rows lie in the order of their codes: each run of equal ones goes down the trees once
+            start = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]).any(axis=1)))
+            codes, run = codes[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(codes))))
+            y = goal(own, codes, run, y)
+            y = y.astype(np.int64) if own.classes else np.rint(y * scale).astype(np.int64)
             for tree in trees:
                 slot = place[tree, own.nodes(codes, tree)]
-                weight = drawn[:, tree].astype(np.int64) if drawn.shape[1] else np.ones(len(slot), np.int64)
-                rows = np.flatnonzero((slot >= 0) & (weight > 0))
-                if not len(rows):
+                if not (slot >= 0).any():
                     continue
-                at = ((slot[rows, None] * width + np.arange(width)) * bins + codes[rows]).ravel()
-                w = np.repeat(weight[rows], width)
-                np.add.at(hist[:, 0], at, w)
+                weight = drawn[:, tree].astype(np.int64) if drawn.shape[1] else np.ones(len(y), np.int64)
+                sums = [np.add.reduceat(weight, start)]
                 if own.classes:
-                    np.add.at(hist, (at, 1 + np.repeat(y[rows].astype(np.int64), width)), w)
+                    sums += [np.add.reduceat(weight * (y == c), start) for c in range(own.classes)]
                 else:
-                    np.add.at(hist[:, 1], at, w * np.repeat(np.rint(y[rows] * scale).astype(np.int64), width))
+                    sums.append(np.add.reduceat(weight * y, start))
+                runs = np.flatnonzero((slot >= 0) & (sums[0] > 0))
+                at = ((slot[runs, None] * width + np.arange(width)) * bins + codes[runs]).ravel()
+                for c, of_run in enumerate(sums):
+                    np.add.at(hist[:, c], at, np.repeat(of_run[runs], width))
         hist = hist.reshape(len(active), width, bins, channels)
         for k in np.flatnonzero(hist[:, 0, :, 0].any(axis=1)):
             firsts = range(0, width, FEATURE_BLOCK)
@@ -306,7 +328,7 @@ def _grow(binned: DataFrame, model: Trees, trees: list[int], depth: int, bins: i
 
 
 def _prepared(df: DataFrame, features: str, label: str, key: list[str], trees: int, bootstrap: bool, bins: int):
-    """The binned and written table ``codes, y, weights``, the cuts, the row count and the largest label."""
+    """The binned and written table, a row for a block of rows (see :func:`_packed`), the cuts, the row count and the largest label."""
     if not 2 <= bins <= 256:
         raise ValueError("between 2 and 256 bins")
     rows = df.select(
@@ -320,18 +342,26 @@ def _prepared(df: DataFrame, features: str, label: str, key: list[str], trees: i
     cuts = find_cuts(rows, width, bins)
     coder = Trees.empty(cuts, 0, 1, 0)
 
-    def code(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    parts = max(-(-n // PART_ROWS), -(-n * (width + 8 + trees) // PART_BYTES), min(shuffle_partitions(df.sparkSession), -(-n // LEAST_ROWS)))
 
+    def code(batches: Iterator) -> Iterator:
+        held, size = [], 0
         for batch in batches:
-            codes = coder.codes(_matrix(batch.column(0))) if batch.num_rows else np.zeros((0, width), np.uint8)
-            offsets = np.arange(len(codes) + 1, dtype=np.int32) * width
-            packed = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(codes))])
-            yield pa.RecordBatch.from_arrays([packed, batch.column(1), batch.column(2)], ["codes", "y", "weights"])
+            if not batch.num_rows:
+                continue
+            drawn = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(batch.num_rows, -1)
+            held.append((coder.codes(_matrix(batch.column(0))), batch.column(1).to_numpy(zero_copy_only=False), drawn))
+            size += batch.num_rows * (width + 8 + drawn.shape[1])
+            if size >= PART_BYTES:
+                yield _packed(*[np.concatenate(c) for c in zip(*held)])
+                held, size = [], 0
+        if held:
+            yield _packed(*[np.concatenate(c) for c in zip(*held)])
 
     weights = bootstrap_weights(F.col("key"), trees) if bootstrap else F.array().cast("array<tinyint>")
-    drawn = rows.select("features", "label", weights.alias("weights"))
-    binned = cut_lineage(drawn.mapInArrow(code, "codes binary, y double, weights array<tinyint>"))
+    # parts of some size, however few or many the files are
+    drawn = rows.repartition(parts).select("features", "label", weights.alias("weights"))
+    binned = cut_lineage(drawn.mapInArrow(code, "n int, codes binary, y binary, weights binary"))
     return binned, cuts, n, most, int(top)
 
 
@@ -340,15 +370,15 @@ def _scale(n: int, most: float) -> float:
     return 2.0 ** min(44 - math.ceil(math.log2(max(most, 1e-300))), 58 - math.ceil(math.log2(n + 1)) - math.ceil(math.log2(max(most, 1e-300))))
 
 
-def _as_given(model: Trees, codes: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _as_given(model: Trees, codes: np.ndarray, run: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y
 
 
-def _what_is_left(model: Trees, codes: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Twice what the trees so far leave: the slope of the squared loss."""
+def _what_is_left(model: Trees, codes: np.ndarray, run: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Twice what the trees so far leave: the slope of the squared loss. ``run`` is the place of a row's codes in ``codes``."""
     if not model.weight:
         return y
-    return 2.0 * (y - model.predict(codes))
+    return 2.0 * (y - model.predict(codes)[run])
 
 
 def fit_forest(

@@ -140,3 +140,14 @@ def test_nulls_one_label_and_no_rows(spark):
         learning.decision_tree(df.limit(0), ["id"])
     with pytest.raises(ValueError):
         learning.decision_tree(df, ["id"], bins=300)
+
+
+def test_a_pass_reads_blocks_of_rows_in_the_order_of_their_codes(spark):
+    """Levels cost a row of bytes per block, not a row per line, and one file is dealt over several tasks."""
+    df = generators.gen_mixed_table(generators.id_range(spark, 90_000, 1), 3).select("id", F.transform("features", lambda x: F.round(x)).alias("features"), "label")
+    binned, cuts, n, _, _ = trees._prepared(df, "features", "label", ["id"], 2, True, 8)
+    assert n == 90_000 and 1 < binned.count() <= 8
+    batches = binned.toArrow().to_batches()
+    for codes, y, drawn in trees._blocks(batches, len(cuts)):
+        assert len(codes) == len(y) == len(drawn) and drawn.shape[1] == 2
+        assert (np.lexsort(codes.T[::-1]) == np.arange(len(codes))).all()
