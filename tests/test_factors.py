@@ -122,3 +122,14 @@ def test_vocabulary_keeps_the_most_frequent_words_and_no_words_give_no_topics(sp
     assert edges.count() == 4  # both rows of id 1 are one document
     found, values = factors.lda(df.where("id > 5"), ["id"], "words", topics=2, iterations=2)
     assert found.count() == 0 and values == [0.0, 0.0]
+
+
+def test_blocks_are_ranges_of_ids_so_neighbours_share_vectors(spark, monkeypatch):
+    """Four groups of ids without links between them: a vector goes to the blocks of its own group alone."""
+    monkeypatch.setattr(factors, "BLOCK_EDGES", 100)
+    edges = spark.range(4000).selectExpr("id div 1000 * 100 + id % 100 as a", "id div 1000 * 10 + id div 100 % 10 as b", "1.0 as v").distinct()
+    blocks = factors.Blocks(edges, "a", "b", "v")
+    assert blocks.edges.count() == edges.count()
+    routes, others = blocks.routes.count(), edges.select("b").distinct().count()
+    blocks.free()
+    assert routes <= 12 * others
