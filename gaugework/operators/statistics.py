@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugework.lineage import cut_lineage
 from gaugework.operators.ranking import rank_table
+from gaugework.skew import MAX_HOT_KEYS
 
 METRICS = {
     "count": "count", "mean": "mean", "variance": "variance", "numNonZeros": "nonzeros", "min": "min", "max": "max",
@@ -85,17 +86,22 @@ def spearman(df: DataFrame, columns: list[str], row_id: list[str] | None = None)
     ranks = cut_lineage(_column_ranks(table, columns))
     long = table.unpivot(row_id, columns, "_column", "_value")
     of_column = [F.max(F.when(F.col("_column") == c, F.col("_rank"))).alias(c) for c in columns]
-    return pearson(long.join(ranks, ["_column", "_value"]).groupBy(*row_id).agg(*of_column), columns)
+    # a value of more than 1/1000 of its column's rows has its rank broadcast (fewer than 1000 a column); its rows never meet in one task
+    bar, on = max(1, table.count() // MAX_HOT_KEYS), ["_column", "_value"]
+    near = long.join(F.broadcast(ranks.where(F.col("_n") > bar).drop("_n")), on, "left")
+    rest = near.where("_rank is null").drop("_rank").join(ranks.where(F.col("_n") <= bar).drop("_n"), on)
+    ranked = near.where("_rank is not null").unionByName(rest)
+    return pearson(ranked.groupBy(*row_id).agg(*of_column), columns)
 
 
 def _column_ranks(table: DataFrame, columns: list[str]) -> DataFrame:
-    """``(_column, _value, _rank)``: the mean rank of each distinct value inside its column."""
+    """``(_column, _value, _n, _rank)``: rows and mean rank of each distinct value inside its column."""
     values = table.select(*columns).unpivot([], columns, "_column", "_value")
     ranks = rank_table(values, ["_column", "_value"])
     start = ranks.groupBy("_column").agg((F.min("rank") - 1).alias("_start"))
     # one row per column of the table
     return ranks.join(F.broadcast(start), "_column").select(
-        "_column", "_value", (F.col("mean_rank") - F.col("_start")).alias("_rank")
+        "_column", "_value", F.col("n").alias("_n"), (F.col("mean_rank") - F.col("_start")).alias("_rank")
     )
 
 

@@ -149,3 +149,13 @@ def test_unexpected_category_and_large_counts(spark):
 def test_covariance_of_one_row_is_null(spark):
     one = frame(spark, [([1.0, 2.0],)], "v array<double>")
     assert [r["value"] for r in matrix.covariance(one, "v").collect()] == [None, None, None]
+
+
+def test_rank_correlation_of_hot_and_rare_values_together(spark):
+    """Ranks carry their rows, by which hot ones are broadcast; hot and rare values of one column are both ranked."""
+    table = spark.range(6000).selectExpr("id", "double(CASE WHEN id % 3 = 0 THEN id ELSE -1 END) AS a", "double(id % 7) AS b")
+    ranks = statistics._column_ranks(table, ["a", "b"])
+    assert {r[0]: r[1] for r in ranks.groupBy("_column").sum("_n").collect()} == {"a": 6000, "b": 6000}
+    found = {(r["i"], r["j"]): r["corr"] for r in statistics.spearman(table, ["a", "b"], ["id"]).collect()}
+    rows = table.toPandas()
+    assert abs(found["a", "b"] - rows["a"].rank().corr(rows["b"].rank())) < 1e-9
