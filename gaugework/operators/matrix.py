@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.blas import one_thread
+from gaugework.lineage import cut_lineage
 
 
 def gramian(df: DataFrame, column: str, center: list[float] | None = None) -> DataFrame:
@@ -103,43 +104,91 @@ def pca(df: DataFrame, column: str, k: int = 50):
     return PCA(k=k, inputCol="features", outputCol="projected").fit(vectors), vectors
 
 
-def block_matrix_multiply(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
-    """Product of coordinate matrices ``a(i, k, value)`` and ``b(k, j, value)`` as ``(i, j, value)``.
+#: Numbers of a matrix, or products, that a group holds at once, and products of single entries that cost as much as one of a full matrix.
+MOST_CELLS = 1 << 22
+DENSE_COST = 100
+
+
+def deal_blocks(a: DataFrame, b: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The entries of both matrices by the group ``bk, p, q`` in which they meet: ranges of ``k``, parts of A and of B.
 
-    Entries are grouped into blocks of ``block`` x ``block``. A block of A meets a block of B in one
-    group, which holds at most two blocks however full a row or column is (one entry per cell); numpy multiplies them there,
-    and the partial products of a cell are added up. Cells that come out as zero are left out.
+    A null row or column is part -1, so that the ids of the other parts stay whole numbers in pandas.
     """
+    full = block * block
+    left, right = (
+        cut_lineage(df.select(*names, F.col("value").cast("double").alias("value")).where("k is not null")) for df, names in ((a, "ik"), (b, "kj"))
+    )
+    own = F.floor(F.col("k") / F.lit(block))
+    fill = [df.groupBy(own.alias("bk")).count().agg(F.avg("count")).first()[0] or 0 for df in (left, right)]
+    wide = block * max(1, int(full // (2 * max(1, *fill))))
+    left, right = (df.withColumn("bk", F.floor(F.col("k") / F.lit(wide))) for df in (left, right))
 
-    def blocked(df: DataFrame, first: str, second: str) -> DataFrame:
-        return df.select(
-            F.floor(F.col(first) / F.lit(block)).alias(f"b{first}"),
-            F.floor(F.col(second) / F.lit(block)).alias(f"b{second}"),
-            first,
-            second,
-            F.col("value").cast("double").alias("value"),
-        )
+    def counted(df: DataFrame, by: str, name: str) -> DataFrame:
+        parts = F.ceil(F.count(F.lit(1)) / F.lit(full)).cast("int")
+        return df.groupBy("bk").agg(parts.alias(f"_{name}"), F.min(F.when(F.col(by).isNull(), -1).otherwise(0)).alias(f"_{name}_first"))
 
-    def blocks(df: DataFrame, *ids: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(c) for c in ids]).distinct()
+    parts = counted(left, "i", "p").join(counted(right, "j", "q"), "bk")
 
-    left, right = blocked(a, "i", "k"), blocked(b, "k", "j")
-    left_all = left.join(blocks(right, "bk", "bj"), "bk").groupBy("bi", "bk", "bj")
-    right_all = right.join(blocks(left, "bi", "bk"), "bk").groupBy("bi", "bk", "bj")
+    def dealt(df: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        part = F.when(F.col(by).isNull(), -1).otherwise(F.pmod(F.xxhash64(by), F.col(f"_{own}")).cast("int")).alias(own)
+        every = F.explode(F.sequence(F.col(f"_{other}_first"), F.col(f"_{other}") - 1)).alias(other)
+        return df.join(parts, "bk").select("bk", part, every, *[c for c in ("i", "k", "j") if c in df.columns], "value")
+
+    return dealt(left, "i", "p", "q"), dealt(right, "j", "q", "p")
+
+
+def block_matrix_multiply(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
+    """Product of coordinate matrices ``a(i, k, value)`` and ``b(k, j, value)`` as ``(i, j, value)``.
+
+    The ids ``k`` are cut into ranges, of ``block`` ids or, where there are few entries, of so many times ``block`` that a range
+    holds about half as many entries as a full block of ``block`` x ``block``. Rows of A and columns of B of a range that
+    holds more are dealt to parts, and each part of A meets each part of B in one group: about two full blocks however full a row or
+    column is (one entry per cell), and hardly any copies of sparse ones. The partial products of a cell are added up. Cells that come out
+    as zero are left out.
+    """
 
     def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"i": [], "j": [], "value": []})
+        x, y = x[x["k"].isin(y["k"])], y[y["k"].isin(x["k"])]
+        if x.empty:
+            return pd.DataFrame({"i": [], "j": [], "value": []})
         i, i_at = np.unique(x["i"], return_inverse=True)
         j, j_at = np.unique(y["j"], return_inverse=True)
-        k, k_at = np.unique(np.concatenate([x["k"], y["k"]]), return_inverse=True)
-        dense_x, dense_y = np.zeros((len(i), len(k))), np.zeros((len(k), len(j)))
-        np.add.at(dense_x, (i_at, k_at[: len(x)]), x["value"])
-        np.add.at(dense_y, (k_at[len(x) :], j_at), y["value"])
+        k, x_k = np.unique(x["k"], return_inverse=True)
+        y_k = np.searchsorted(k, y["k"])
         one_thread()
-        product = dense_x @ dense_y
-        at_i, at_j = np.nonzero(product)
-        return pd.DataFrame({"i": i[at_i], "j": j[at_j], "value": product[at_i, at_j]})
-
-    partial = left_all.cogroup(right_all).applyInPandas(multiply, "i bigint, j bigint, value double")
+        x_value, y_value = x["value"].to_numpy(), y["value"].to_numpy()
+        met = np.bincount(y_k, minlength=len(k))[x_k]
+        cells = max(len(i) * len(k), len(k) * len(j), len(i) * len(j))
+        if cells <= MOST_CELLS and len(i) * len(k) * len(j) <= DENSE_COST * int(met.sum()):
+            dense_x, dense_y = np.zeros((len(i), len(k))), np.zeros((len(k), len(j)))
+            np.add.at(dense_x, (i_at, x_k), x_value)
+            np.add.at(dense_y, (y_k, j_at), y_value)
+            product = dense_x @ dense_y
+            at_i, at_j = np.nonzero(product)
+            return pd.DataFrame({"i": i[at_i], "j": j[at_j], "value": product[at_i, at_j]})
+        # entry by entry, in the order of the rows of A, some products at a time; a row is summed before it is handed on
+        by_k = np.argsort(y_k, kind="stable")
+        first = np.searchsorted(y_k[by_k], np.arange(len(k)))
+        by_i = np.argsort(i_at, kind="stable")
+        until = np.cumsum(met[by_i])
+        found, begin = [], 0
+        while begin < len(by_i):
+            done = until[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(until, done + MOST_CELLS, side="right")))
+            rows = by_i[begin:stop]
+            n = met[rows]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            other = by_k[np.repeat(first[x_k[rows]], n) + place]
+            cell, at = np.unique(np.repeat(i_at[rows], n) * len(j) + j_at[other], return_inverse=True)
+            found.append((cell, np.bincount(at.ravel(), np.repeat(x_value[rows], n) * y_value[other], len(cell))))
+            begin = stop
+        cell, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        value = np.bincount(at.ravel(), np.concatenate([v for _, v in found]), len(cell))
+        cell, value = cell[value != 0], value[value != 0]
+        return pd.DataFrame({"i": i[cell // len(j)], "j": j[cell % len(j)], "value": value})
+
+    left, right = (df.groupBy("bk", "p", "q") for df in deal_blocks(a, b, block))
+    partial = left.cogroup(right).applyInPandas(multiply, "i bigint, j bigint, value double")
     return partial.groupBy("i", "j").agg(F.sum("value").alias("value"))

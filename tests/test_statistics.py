@@ -112,6 +112,35 @@ def test_block_matrix_multiply(spark, block):
     assert got == {(int(i), int(j)): float(product[i, j]) for i, j in zip(*np.nonzero(product))}
 
 
+def test_sparse_entries_are_not_copied_to_each_block_of_rows(spark):
+    a = frame(spark, [(i * 10, i % 40, 1.0) for i in range(400)], "i int, k int, value double")
+    b = frame(spark, [(k, j, 1.0) for k in range(40) for j in range(5)], "k int, j int, value double")
+    left, right = matrix.deal_blocks(a, b, 8)
+    assert left.count() <= 4 * 400 and right.count() <= 16 * 200  # 50 copies each if every block of rows had its own
+    groups = left.groupBy("bk", "p", "q").count().agg(F.max("count")).first()[0]
+    assert groups <= 2 * 8 * 8
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 22])
+def test_sparse_and_full_groups_give_the_same_product(spark, monkeypatch, cells):
+    monkeypatch.setattr(matrix, "MOST_CELLS", cells)
+    draw = np.random.default_rng(4)
+    a, b = (draw.integers(-3, 4, size=shape) * (draw.random(shape) < 0.3) for shape in ((30, 20), (20, 9)))
+    sides = [frame(spark, [(int(x) * 7, int(y) * (7 if n == "kj" else 1), float(m[x, y])) for x, y in zip(*np.nonzero(m))], f"{n[0]} int, {n[1]} int, value double") for m, n in ((a, "ik"), (b, "kj"))]
+    sides[1] = sides[1].withColumn("k", (F.col("k") / 7).cast("int"))
+    got = {(r["i"] // 7, r["j"] // 7): r["value"] for r in matrix.block_matrix_multiply(*sides, 64).collect() if r["value"]}
+    product = a @ b
+    assert got == {(int(i), int(j)): float(product[i, j]) for i, j in zip(*np.nonzero(product))}
+
+
+def test_block_multiply_keeps_null_rows_and_large_ids(spark):
+    large = (1 << 60) + 1
+    a = frame(spark, [(None, 1, 2.0), (large, 1, 3.0), (5, None, 1.0)], "i long, k long, value double")
+    b = frame(spark, [(1, None, 5.0), (1, 4, 7.0), (None, 4, 1.0)], "k long, j long, value double")
+    got = rows(matrix.block_matrix_multiply(a, b))
+    assert got == sorted([(None, None, 10.0), (None, 4, 14.0), (large, None, 15.0), (large, 4, 21.0)], key=repr)
+
+
 def test_block_multiply_of_one_table_with_itself(spark):
     m = frame(spark, [(0, 1, 2.0), (1, 0, 3.0)], "i int, k int, value double")
     square = matrix.block_matrix_multiply(m, m.select(F.col("i").alias("k"), F.col("k").alias("j"), "value"))
