@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,25 @@ def explode_tokens(df: DataFrame, text: str, *keep: Column | str, name: str = "w
     return df.select(*keep, pieces).where(F.col(name) != "")
 
 
+def count_tokens(df: DataFrame, text: str, key: Column, name: str = "word") -> DataFrame:
+    """``doc, word, tf``: how often each row of ``df`` has each word of the whole text, without a shuffle; ``doc`` is its ``key``."""
+    rows = df.select(key.alias("doc"), F.split(F.lower(text), r"\s+").alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+                found = batch.column(1).flatten().dictionary_encode()
+                code, some = found.indices.to_numpy(), max(1, len(found.dictionary))
+                cell, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * some + code, return_counts=True)
+                word = found.dictionary.take(pa.array(cell % some))
+                made = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cell // some)), word, pa.array(n, pa.int64())], ["doc", name, "tf"])
+                yield made.filter(pc.not_equal(word, ""))
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {name} string, tf long")
+
+
 def words(text: Column) -> Column:
     """Fields of a line, split at any run of white space."""
     return F.filter(F.split(text, r"\s+"), lambda word: word != "")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.text import explode_tokens
+from gaugework.functions.text import count_tokens
 from gaugework.lineage import cut_lineage
 from gaugework.operators.ranking import top_rows
 from gaugework.session import shuffle_partitions
@@ -62,6 +67,44 @@ def pagerank(edges: DataFrame, iterations: int = 3, damping: float = 0.85) -> Da
     return ranks.select("node", "rank")
 
 
+def posting_lists(counts: DataFrame) -> DataFrame:
+    """``term, block, _docs, postings`` of the rows ``doc, term, tf, block`` that lie together in order; rows of one id are added up."""
+    columns = ["term", "block", "doc", "tf"]
+    kind = counts.schema["doc"].dataType.simpleString()
+
+    def changes(column: pa.Array) -> np.ndarray:
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        other = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+        return np.append(True, other | (null[1:] != null[:-1]))
+
+    def made(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        own = np.flatnonzero(new | changes(rows.column(2)))
+        tf = np.add.reduceat(rows.column(3).to_numpy(), own)
+        first = np.flatnonzero(new)
+        begin = np.append(np.searchsorted(own, first), len(own)).astype(np.int32)
+        entries = pa.StructArray.from_arrays([rows.column(2).take(pa.array(own)), pa.array(tf)], ["doc", "tf"])
+        lists = pa.ListArray.from_arrays(pa.array(begin), entries)
+        heads = [rows.column(k).take(pa.array(first)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*heads, pa.array(np.diff(begin).astype(np.int64)), lists], ["term", "block", "_docs", "postings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+            new = changes(rows.column(0)) | changes(rows.column(1))
+            # the last list may go on in the next batch
+            cut = int(np.flatnonzero(new)[-1])
+            rest = [rows.slice(cut)]
+            if cut:
+                yield made(rows.slice(0, cut), new[:cut])
+        if rest:
+            yield made(rest[0], np.append(True, np.zeros(rest[0].num_rows - 1, bool)))
+
+    return counts.select(columns).mapInArrow(run, f"term string, block long, _docs long, postings array<struct<doc:{kind},tf:bigint>>")
+
+
 def inverted_index(docs: DataFrame, doc_id: str, text: str, block: int = 1024) -> DataFrame:
     """Postings ``(doc, tf)`` per term in blocks of ``block`` consecutive document ids, with the document
     frequency ``df`` of the term.
@@ -69,16 +112,9 @@ def inverted_index(docs: DataFrame, doc_id: str, text: str, block: int = 1024) -
     A term that occurs everywhere has a posting per document; the blocks bound each list at ``block``
     entries and keep the index whole.
     """
-    counts = (
-        explode_tokens(docs, text, F.col(doc_id).alias("doc"), name="term")
-        .groupBy("term", "doc")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    blocks = counts.groupBy("term", F.floor(F.col("doc") / F.lit(block)).alias("block")).agg(
-        F.count(F.lit(1)).alias("_docs"), F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings")
-    )
-    # written once: the sizes come from the finished blocks, not from a second pass over the text
-    blocks = cut_lineage(blocks)
+    counts = count_tokens(docs, text, F.col(doc_id), name="term").withColumn("block", F.floor(F.col("doc") / F.lit(block)))
+    # dealt by term and block once and sorted: a list is a run of rows. Written once: the sizes come from the finished blocks
+    blocks = cut_lineage(posting_lists(counts.repartition("term", "block").sortWithinPartitions("term", "block", "doc")))
     sizes = blocks.groupBy("term").agg(F.sum("_docs").alias("df"))
     return blocks.join(sizes, "term").select("term", "block", "df", "postings")
 

@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gaugework.functions import text
 from gaugework.operators import graph
 from helpers import frame, rows
 
@@ -87,3 +89,14 @@ def test_inverted_index_blocks_bound_the_postings(spark):
         assert r["df"] == {"the": 50, "cat": 17, "dog": 33}[r["term"]]
     assert whole["the"] == [(i, 1) for i in range(50)]
     assert whole["cat"] == [(i, 2) for i in range(0, 50, 3)]
+
+
+def test_index_moves_each_posting_once_and_adds_rows_of_one_id(spark, capsys):
+    data = [(None, "b b"), (0, "a b a"), (0, "a c"), (1, None), (3, "B"), (9, "b")] + [(k, "x") for k in range(100, 140)]
+    docs = frame(spark, data, "doc int, text string").repartition(3)
+    found = {(r["term"], r["block"]): (r["df"], [tuple(p) for p in r["postings"]]) for r in graph.inverted_index(docs, "doc", "text", block=4).collect()}
+    assert found["a", 0] == (1, [(0, 3)]) and found["b", 0] == (4, [(0, 1), (3, 1)]) and found["b", 2] == (4, [(9, 1)])
+    assert found["b", None] == (4, [(None, 2)]) and found["c", 0] == (1, [(0, 1)])
+    assert sum(len(p) for (term, _), (_, p) in found.items() if term == "x") == 40 and found["x", 25] == (40, [(k, 1) for k in range(100, 104)])
+    text.count_tokens(docs, "text", F.col("doc")).explain()
+    assert "hashpartitioning" not in capsys.readouterr().out
