@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.blas import one_thread
-from gaugework.functions.text import explode_tokens
+from gaugework.functions.text import count_tokens, explode_tokens
 from gaugework.lineage import cut_lineage
 
 
@@ -56,7 +56,8 @@ def text_bayes_score(model: DataFrame, labels: DataFrame, docs: DataFrame, doc_i
 
     Only words of the model's vocabulary count; those it never saw with a label get the unseen-word value.
     """
-    seen = explode_tokens(docs, text, F.col(doc_id).alias("doc")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # counted per row; rows of one id add up in the sums
+    seen = count_tokens(docs, text, F.col(doc_id))
     # one entry per label that has the word, so the lists are as short as the labels are few
     by_word = model.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("label", "log_p"))).alias("_log_p"))
     fields = ("label", "log_prior", "log_p_unseen")

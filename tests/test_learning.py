@@ -185,3 +185,14 @@ def test_frequent_patterns(spark):
     sequences = frame(spark, [([["a"], ["b"]],), ([["a"], ["c"], ["b"]],), ([["b"], ["a"]],)], "sequence array<array<string>>")
     found = {str(r["sequence"]): r["freq"] for r in patterns.prefix_span(sequences).collect()}
     assert found == {"[['a']]": 3, "[['b']]": 3, "[['a'], ['b']]": 2}
+
+
+def test_words_to_score_are_counted_without_a_shuffle_by_text(spark, capsys):
+    docs = frame(spark, [("x x y", 0), ("y z", 1)], "text string, label int")
+    model, labels = bayes.text_bayes(docs, "text", "label"), bayes.text_bayes_labels(docs, "text", "label")
+    whole, pieces = (frame(spark, data, "id int, text string") for data in ([(1, "x y x")], [(1, "x y"), (1, "x")]))
+    scores = [{r["label"]: r["score"] for r in bayes.text_bayes_score(model, labels, t, "id", "text").collect()} for t in (whole, pieces)]
+    assert scores[0] == pytest.approx(scores[1])
+    bayes.text_bayes_score(model, labels, whole, "id", "text").explain()
+    shown = capsys.readouterr().out
+    assert "hashpartitioning(word" in shown and not any("hashpartitioning(doc" in line and "word" in line.split("hashpartitioning")[1] for line in shown.splitlines() if "hashpartitioning" in line)
