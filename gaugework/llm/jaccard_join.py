@@ -9,12 +9,13 @@ n - ceil(t n) + 1 elements of that order at least once, and in one more element
   enter there too;
 - the boundary is the size up to which enumerating subsets costs less than scanning lists, by the mean list length.
 
-A list is not expanded into all pairs. First each set is compared with the one leader it shares most lists with; verified
-links give components. Then, list by list and in blocks, only members of different components are counted against each other,
-and a pair is open if it shares as many lists as any link must: of the first n - ceil(t n) + 1 elements no more than the
-n - overlap that a link may lack. Of the open pairs each set's best one is compared, the components are joined, and after
-some rounds of that every pair that is still open between components. Exact copies are one class throughout. So every link between classes is either verified
-or inside a component of verified ones, and components are those of all links.
+A list is not expanded into all pairs. Each set has a signature, the parity of its elements in a few buckets an element; two signatures
+differ in no more buckets than the sets differ in elements, so most pairs that cannot link are told by them where a list is
+read. Of the other pairs a part of a list hands on up to ``PAIRS_A_MEMBER`` for each member, or else each member's nearest
+one. Those are compared by their whole texts, nearest first, and verified links give components. Lists that are longer than a
+part, or that had more pairs, are read again in blocks, only for members of different components; in the last round all
+pairs are handed on. Exact copies are one class throughout. So every link between classes is either verified or inside a component
+of verified ones, and components are those of all links.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.bytewords import mix, shingle_sets
-from gaugework.llm.common import HOT_SHARE, look_up, materialise
+from gaugework.llm.common import HOT_SHARE, look_up, materialise, materialise_last
 from gaugework.session import shuffle_partitions
 
 #: Shingles counted together before they are handed on; outside the counted share, those that occur once are let go.
@@ -35,8 +36,11 @@ COUNT_BLOCK = 4_000_000
 #: Of 64 equal ranges of shingle hashes, those that are counted exactly. They come first in the global order, so the
 #: elements that lists are made of (a quarter of a set) are from the counted ones in most sets.
 COUNTED_RANGES = 24
-#: Rounds in which each set outside its partners' component is compared with the best partner only.
+#: Rounds in which a part of a list hands on no more than ``PAIRS_A_MEMBER`` pairs for each of its members.
 BEST_ROUNDS = 2
+PAIRS_A_MEMBER = 4
+#: Buckets of a signature: a power of two from this many times the elements, within these bounds.
+BUCKETS_AN_ELEMENT, LEAST_BUCKETS, MOST_BUCKETS = 1, 64, 1 << 17
 #: Frequent shingles are those above a count chosen so that no more than this many can exist.
 MOST_FREQUENT = 16_000_000
 LEAST_FREQUENT = 8
@@ -45,7 +49,11 @@ PART_ROWS = 1000
 BLOCK_ROWS = 512
 #: Cost of comparing two entries of a list, in units of the cost of entering one.
 SCAN_COST = 4.0
-NEEDED_BITS = 1 << 23
+#: Bits of a bit map: a power of two from this many for each key, and no more than so many. Keys that share a bit cost a row.
+BITS_A_KEY, MOST_BITS = 16, 1 << 28
+#: Rows of lists, and words of signatures, that are held at once.
+LIST_ROWS = 20_000
+SIGN_WORDS = 4_000_000
 EMIT_ROWS = 500_000
 
 
@@ -59,13 +67,36 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def bit_map(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit for each key, by its low bits, in 64-bit words."""
+    size = min(max(64, 1 << (BITS_A_KEY * keys.count()).bit_length()), MOST_BITS)
+    bits = keys.select(F.expr(f"pmod({key}, {size})").alias("bit"))
+    words = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+    table = np.zeros(size // 64, np.int64)
+    for part in words.toArrow().to_batches():
+        table[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return table
+
+
+def in_map(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys.view(np.int64) & (len(table) * 64 - 1)
+    return (table[bit >> 6] >> (bit & 63) & 1).astype(bool)
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles in each bucket. Halves folded by exclusive or are the signature with half as many buckets."""
+    buckets = min(max(LEAST_BUCKETS, 1 << (BUCKETS_AN_ELEMENT * len(shingles) - 1).bit_length()), MOST_BUCKETS)
+    bucket = (shingles & np.uint64(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=buckets) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def survey(docs: DataFrame, width: int) -> DataFrame:
-    """One scan: ``kind 0`` rows (id, fingerprint, size, hash of the text) for documents, ``kind 1`` rows (shingle, count) for the shingles of
+    """One scan: ``kind 0`` rows (id, fingerprint, size, hash of the text, signature) for documents, ``kind 1`` rows (shingle, count) for the shingles of
     the counted ranges and any that occur more than once in a block of documents, ``kind 2`` rows (occurrences, distinct) for
     each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "n", "text_hash"]
+        names = ["kind", "a", "b", "n", "text_hash", "sign"]
         held, size, known = [], 0, set()
 
         def count() -> pa.RecordBatch:
@@ -75,7 +106,7 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
             a = np.append(values[twice].view(np.int64), counts.sum())
             b = np.append(counts[twice], len(values))
             return pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32)), pa.nulls(len(a), pa.int64())],
+                [pa.array(kinds), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())],
                 names,
             )
 
@@ -99,13 +130,14 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(prints, pa.int64()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         batch.column(2).slice(at, 512),
+                        pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                     ],
                     names,
                 )
         if held:
             yield count()
 
-    return docs.mapInArrow(run, "kind byte, a long, b long, n int, text_hash long")
+    return docs.mapInArrow(run, "kind byte, a long, b long, n int, text_hash long, sign binary")
 
 
 def _counted(shingles: np.ndarray) -> np.ndarray:
@@ -135,8 +167,11 @@ def _ordered(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
     return shingles[order], count[order]
 
 
-def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) -> DataFrame:
-    """The list entries ``sig, part, fp, n, subset`` of every class (once a task); ``subset`` tells lists of pairs of elements."""
+def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent, repeated) -> DataFrame:
+    """The list entries ``sig, part, fp, n`` of every class (once a task).
+
+    ``repeated`` is a bit map of the counted shingles that occur twice or more: a list of any other one has a single member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = frequent.value
@@ -145,14 +180,14 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
         held = 0
 
         def flush() -> pa.RecordBatch:
-            names = ["sig", "part", "fp", "n", "subset"]
+            names = ["sig", "part", "fp", "n"]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
 
-        def add(keys: np.ndarray, count: np.ndarray, subset: bool, print_: int, n: int) -> None:
+        def add(keys: np.ndarray, count: np.ndarray, print_: int, n: int) -> None:
             parts = count // PART_ROWS
             part = np.where(parts > 0, (print_ & 0x7FFFFFFF) % np.maximum(parts + 1, 1), -1).astype(np.int32)
             some = len(keys)
-            rows.append((keys.view(np.int64), part, np.full(some, print_, np.int64), np.full(some, n, np.int32), np.full(some, subset)))
+            rows.append((keys.view(np.int64), part, np.full(some, print_, np.int64), np.full(some, n, np.int32)))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -163,42 +198,59 @@ def entries(docs: DataFrame, width: int, percent: int, limit: int, frequent) ->
                     seen.add(print_)
                     least = -(-percent * n // 100)
                     s, count = _ordered(s, shingles, counts)
+                    again = ~_counted(s) | in_map(repeated.value, s)
                     if n <= limit:
                         i, j = np.triu_indices(n - least + 2, 1)
-                        add(mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + mix(s[j])), np.minimum(count[i], count[j]), True, print_, n)
+                        both = again[i] & again[j]
+                        i, j = i[both], j[both]
+                        add(mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + mix(s[j])), np.minimum(count[i], count[j]), print_, n)
                         held += len(i)
                     if n > limit or 100 * n >= percent * (limit + 1):
-                        first = n - least + 1
-                        add(mix(s[:first]), count[:first], False, print_, n)
-                        held += first
+                        first = np.flatnonzero(again[: n - least + 1])
+                        add(mix(s[first]), count[first], print_, n)
+                        held += len(first)
                     if held >= EMIT_ROWS:
                         yield flush()
                         rows, held = [], 0
         if rows:
             yield flush()
 
-    return docs.mapInArrow(run, "sig long, part int, fp long, n int, subset boolean")
+    return docs.mapInArrow(run, "sig long, part int, fp long, n int")
 
 
-def lists(listed: DataFrame) -> DataFrame:
-    """Members of every list with two or more, each with the one member (of median size) that it meets first."""
-    names = ["sig", "fp", "n", "subset", "lead", "lead_n"]
+def lists(listed: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Members ``sig, fp, n`` of every list that hold another one of a size that may link.
+
+    They come by size in chunks of up to ``BLOCK_ROWS``; ``whole``: the list is one chunk. ``need`` is the least number of lists that
+    a set shares with any of the others in this list if the two link.
+    """
+    names = ["sig", "chunk", "whole", "fp", "n", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def members(columns: list[np.ndarray]) -> pa.RecordBatch:
-            sig, part, fp, n, subset = columns
+            sig, part, fp, n = columns
             fresh = np.ones(len(sig), bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])
-            sig, part, fp, n, subset = (c[fresh] for c in columns)
+            sig, part, fp, n = (c[fresh] for c in columns)
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])
             start = np.flatnonzero(new)
             size = np.diff(np.append(start, len(sig)))
-            lead = np.repeat(start + size // 2, size)
-            keep = np.repeat(size > 1, size) | (part >= 0)
-            made = [sig, fp, n, subset, fp[lead], n[lead]]
+            place = (np.arange(len(sig)) - np.repeat(start, size)) // BLOCK_ROWS
+            whole = (part < 0) & (np.repeat(size, size) <= BLOCK_ROWS)
+            # the smallest and the largest member that may link, which need the fewest lists (but for one by rounding)
+            wide = n.astype(np.int64)
+            group, far, own = np.cumsum(new) << 32, 100 * wide // percent, np.arange(len(sig))
+            low = np.searchsorted(group + wide, group - (-percent * wide // 100))
+            high = np.searchsorted(group + wide, group + far, side="right") - 1
+            need = np.minimum(
+                np.where(low < own, needed_lists(wide, wide[low], percent), wide), np.where(high > own, needed_lists(wide, wide[high], percent), wide)
+            )
+            need = np.where((part >= 0) | (wide <= limit), 1, np.maximum(need - 1, 1)).astype(np.int32)
+            keep = (low < own) | (high > own) | (part >= 0)
+            made = [sig, (part.astype(np.int64) + 1 << 32) + place, whole, fp, n, need]
             return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in made], names)
 
         for batch in batches:
@@ -217,7 +269,7 @@ def lists(listed: DataFrame) -> DataFrame:
 
     parts = shuffle_partitions(listed.sparkSession)
     dealt = listed.repartition(parts, "sig", "part").sortWithinPartitions("sig", "part", "n", "fp")
-    return dealt.mapInArrow(run, "sig long, fp long, n int, subset boolean, lead long, lead_n int")
+    return dealt.mapInArrow(run, "sig long, chunk long, whole boolean, fp long, n int, need int")
 
 
 def needed_lists(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -225,88 +277,137 @@ def needed_lists(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return least_overlap(n, m, percent) + (-percent * np.maximum(n, m) // 100) + 1
 
 
-def leaders(members: DataFrame, percent: int) -> DataFrame:
-    """For each set the leader ``b`` that it shares most lists with, if those are at least half of what a link needs."""
-    least = F.expr(f"({percent} * (n + lead_n) + {99 + percent}) div {100 + percent}")
-    need = least - F.expr(f"({percent} * greatest(n, lead_n) + 99) div 100") + 1
-    met = members.where("fp != lead").select("fp", "lead", F.when(F.col("subset"), 1).otherwise(need).alias("need"))
-    met = met.groupBy("fp", "lead").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("2 * met >= need")
-    best = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("met"), "lead"))
-    chosen = met.withColumn("_place", best).where("_place = 1")
-    return chosen.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
-
-
-def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that share as many lists as a link needs.
-
-    Lists are cut into blocks, and each two blocks of a list meet in a task of their own.
+def hopeful(members: DataFrame) -> DataFrame:
+    """The members whose sets are in enough lists for some link: in k of those that need no more than k, for some k."""
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("need", "sig", "chunk"))
+    enough = F.max(F.col("need") <= F.col("_place")).over(Window.partitionBy("fp"))
+    return members.withColumn("_place", place).withColumn("_enough", enough).where("_enough").drop("_place", "_enough")
+
+
+def distances(signs: pa.Array, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Buckets in which the signatures of rows ``p`` and ``q`` differ, the larger folded to the size of the smaller."""
+    signs = signs.cast(pa.large_binary())
+    offsets = np.frombuffer(signs.buffers()[1], np.int64)[signs.offset : signs.offset + len(signs) + 1]
+    words = np.frombuffer(signs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+    start, width = (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+
+    def folded(rows: np.ndarray, to: int) -> np.ndarray:
+        made = np.empty((len(rows), to), np.uint64)
+        wide = width[rows]
+        for own in np.unique(wide):
+            pick = wide == own
+            full = words[start[rows[pick]][:, None] + np.arange(own)]
+            made[pick] = np.bitwise_xor.reduce(full.reshape(-1, own // to, to), axis=1)
+        return made
+
+    least = np.minimum(width[p], width[q])
+    out = np.empty(len(p), np.int64)
+    for to in np.unique(least):
+        same = np.flatnonzero(least == to)
+        step = max(1, SIGN_WORDS // int(to))
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            out[some] = np.bitwise_count(folded(p[some], to) ^ folded(q[some], to)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def meet(dealt: DataFrame, percent: int, last: bool) -> DataFrame:
+    """Pairs ``a, b, score`` of members of one ``sig, chunk`` whose labels differ and whose sizes and signatures allow a link.
+
+    Members of side 1 meet those of side 2, members of side 0 each other. Unless it is the ``last`` round, a chunk with more than
+    ``PAIRS_A_MEMBER`` such pairs a member gives each member's nearest one only, and a row with its list as ``more``.
     """
-    named = members.select("sig", "fp", "n", "subset").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = materialise(named, "join-members")
-    apart = named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_size"))
-    apart = apart.where("_low != _high").select("sig", F.ceil(F.col("_size") / BLOCK_ROWS).cast("int").alias("_blocks"))
-    blocks = named.join(apart, "sig").withColumn("_own", F.expr("cast(pmod(xxhash64(fp), _blocks) as int)"))
-    blocks = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "sig", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") <= F.col("_other")).alias("left"),
-        "fp", "n", "subset", "label",
-    )
+    names = ["a", "b", "score", "more"]
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig, chunk, side, fp, n, label = (table.column(k).to_numpy() for k in range(6))
+        n = n.astype(np.int64)
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (chunk[1:] != chunk[:-1])
+        group = np.cumsum(new) - 1
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        x, step = np.arange(len(sig)), 1
+        while True:
+            x = x[x + step < len(sig)]
+            x = x[group[x] == group[x + step]]
+            if not len(x):
+                break
+            y = x + step
+            least = least_overlap(n[x], n[y], percent)
+            fit = (label[x] != label[y]) & (least <= n[x]) & (least <= n[y]) & ((side[x] == 0) | (side[x] != side[y]))
+            first.append(x[fit])
+            second.append(y[fit])
+            step += 1
+        p, q = np.concatenate(first), np.concatenate(second)
+        apart = distances(table.column(6).combine_chunks(), p, q) if len(p) else p
+        near = apart <= n[p] + n[q] - 2 * least_overlap(n[p], n[q], percent)
+        p, q, score = p[near], q[near], apart[near] / (n[p] + n[q])[near]
+        more = np.zeros(0, np.int64)
+        if not last:
+            many = np.bincount(group[p], minlength=group[-1] + 1) > PAIRS_A_MEMBER * np.bincount(group)
+            more = np.unique(sig[many[group]])
+            ends, at = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+            order = np.lexsort((at, score[at], ends))
+            top = np.ones(len(order), bool)
+            top[1:] = ends[order][1:] != ends[order][:-1]
+            keep = ~many[group[p]]
+            keep[at[order][top]] = True
+            p, q, score = p[keep], q[keep], score[keep]
+        if len(p):
+            # a pair that meets in several lists of the batch goes on once
+            a, b = np.minimum(fp[p], fp[q]), np.maximum(fp[p], fp[q])
+            order = np.lexsort((b, a))
+            a, b, score = a[order], b[order], score[order]
+            once = np.ones(len(a), bool)
+            once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            made = [pa.array(a[once]), pa.array(b[once]), pa.array(score[once]), pa.nulls(int(once.sum()), pa.int64())]
+            whole = pa.RecordBatch.from_arrays(made, names)
+            for at in range(0, len(whole), EMIT_ROWS):
+                yield whole.slice(at, EMIT_ROWS)
+        if len(more):
+            empty = pa.nulls(len(more), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, empty, empty.cast(pa.float64()), pa.array(more)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def compare(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-            _, i, j, left, fp, n, subset, label = columns
-            inside = i[0] == j[0]
-            x = np.arange(len(fp)) if inside else np.flatnonzero(left)
-            y = x if inside else np.flatnonzero(~left)
-            n = n.astype(np.int64)
-            least = least_overlap(n[x][:, None], n[y][None, :], percent)
-            fit = (label[x][:, None] != label[y][None, :]) & (least <= n[x][:, None]) & (least <= n[y][None, :])
-            if inside:
-                fit = np.triu(fit, 1)
-            p, q = np.nonzero(fit)
-            p, q = x[p], y[q]
-            need = np.ones(len(p), np.int64) if subset[0] else needed_lists(n[p], n[q], percent)
-            return np.minimum(fp[p], fp[q]), np.maximum(fp[p], fp[q]), need
-
-        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            new = np.ones(len(columns[0]), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-            edge = np.append(np.flatnonzero(new), len(new))
-            found, held = [], 0
-            for begin, end in zip(edge[:-1], edge[1:]):
-                if end - begin > 1:
-                    found.append(compare([c[begin:end] for c in columns]))
-                    held += len(found[-1][0])
-                if found and (held >= EMIT_ROWS or end == edge[-1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "need"])
-                    found, held = [], 0
-
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(pair) for pair in zip(rest, columns)]
-            if not len(columns[0]):
+            rest.append(batch)
+            if sum(map(len, rest)) < LIST_ROWS:
                 continue
-            last = np.all([c == c[-1] for c in columns[:3]], axis=0)
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            rest = [c[cut:] for c in columns]
+            table = pa.Table.from_batches(rest).combine_chunks()
+            sig, chunk = table.column(0).to_numpy(), table.column(1).to_numpy()
+            same = (sig == sig[-1]) & (chunk == chunk[-1])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            rest = table.slice(cut).to_batches()
             if cut:
-                yield from pairs([c[:cut] for c in columns])
-        if rest is not None and len(rest[0]):
-            yield from pairs(rest)
+                yield from pairs(table.slice(0, cut).combine_chunks())
+        if sum(map(len, rest)):
+            yield from pairs(pa.Table.from_batches(rest).combine_chunks())
+
+    parts = shuffle_partitions(dealt.sparkSession)
+    dealt = dealt.select("sig", "chunk", F.col("side").cast("byte").alias("side"), "fp", "n", "label", "sign")
+    dealt = dealt.repartition(parts, "sig", "chunk").sortWithinPartitions("sig", "chunk")
+    return dealt.mapInArrow(run, "a long, b long, score double, more long")
+
 
-    parts = shuffle_partitions(members.sparkSession)
-    dealt = blocks.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    met = dealt.mapInArrow(run, "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
-    return met.where("met >= need").select("a", "b", "met")
+def blocks(members: DataFrame, todo: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the lists ``todo`` that hold more than one component, cut so that each two blocks of a list meet in a chunk of their own."""
+    named = members.select("sig", "fp", "n").join(todo, "sig", "left_semi").join(labels, "fp", "left")
+    named = materialise(named.withColumn("label", F.coalesce("label", "fp")), "join-members")
+    apart = named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_size"))
+    apart = apart.where("_low != _high").select("sig", F.ceil(F.col("_size") / BLOCK_ROWS).cast("long").alias("_blocks"))
+    cut = named.join(apart, "sig").withColumn("_own", F.expr("pmod(xxhash64(fp), _blocks)"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    chunk = F.least("_own", "_other") * F.col("_blocks") + F.greatest("_own", "_other")
+    return cut.select("sig", chunk.alias("chunk"), side.alias("side"), "fp", "n", "label")
 
 
 def best_partners(pairs: DataFrame) -> DataFrame:
-    """For each set the pair with the partner it shares most lists with."""
-    both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other"), "met")
-    both = both.union(pairs.select("b", "a", "met"))
-    best = both.groupBy("fp").agg(F.max(F.struct("met", "other")).alias("x")).select("fp", "x.other")
+    """For each set the pair with the partner of the nearest signature."""
+    both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other"), "score")
+    both = both.union(pairs.select("b", "a", "score"))
+    best = both.groupBy("fp").agg(F.min(F.struct("score", "other")).alias("x")).select("fp", "x.other")
     return best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
@@ -318,41 +419,27 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("_a != _b").drop("_a", "_b")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough, by their whole texts.
 
-    A bit map of fixed size tells the scan which texts may be needed. The end with more pairs leads; a leader and up to
-    ``PART_ROWS`` of its partners meet in a task of their own.
+    A class is found again by the hash of one of its texts; a bit map tells the scan which texts may be needed. The end with more
+    pairs leads; a leader and up to ``PART_ROWS`` of its partners meet in a task of their own.
     """
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("degree"))
-    ends = materialise(ends, "join-ends")
-    bits = ends.select(F.expr(f"pmod(fp, {NEEDED_BITS})").alias("bit"))
-    words = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-    needed = np.zeros(NEEDED_BITS // 64, np.int64)
-    for part in words.toArrow().to_batches():
-        needed[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    shared = spark.sparkContext.broadcast(needed)
+    ends = materialise(ends.join(classes.select("fp", "text_hash"), "fp"), "join-ends")
+    shared = spark.sparkContext.broadcast(bit_map(ends, "text_hash"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.column(0).slice(at, 512)
-                pick, prints = [], []
-                for k, s in enumerate(shingle_sets(texts, width)):
-                    if len(s) < 2:
-                        continue
-                    print_ = fingerprint(s)
-                    bit = print_ % NEEDED_BITS
-                    if int(table[bit >> 6]) >> (bit & 63) & 1 and print_ not in seen:
-                        seen.add(print_)
-                        pick.append(k)
-                        prints.append(print_)
-                if pick:
-                    yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), texts.take(pa.array(pick))], ["fp", "text"])
-
-    texts = docs.mapInArrow(wanted, "fp long, text string").join(ends.select("fp"), "fp")
+            hashes = batch.column(1).to_numpy()
+            pick = np.flatnonzero(in_map(shared.value, hashes))
+            if len(pick):
+                pick = pick[np.unique(hashes[pick], return_index=True)[1]]
+                yield batch.take(pa.array(pick))
+
+    found = docs.select("text", "text_hash").mapInArrow(wanted, "text string, text_hash long")
+    texts = found.join(ends.select("fp", "text_hash"), "text_hash").dropDuplicates(["text_hash"]).select("fp", "text")
     texts = materialise(texts, "join-texts")
     degree = lambda end: ends.select(F.col("fp").alias(end), F.col("degree").alias(f"_{end}"))
     turned = pairs.join(degree("a"), "a").join(degree("b"), "b")
@@ -376,6 +463,8 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
             found: list[tuple[int, int]] = []
             for at in range(0, batch.num_rows, 512):
                 for k, s in enumerate(shingle_sets(batch.column(3).slice(at, 512), width), at):
+                    if fingerprint(s) != prints[k]:
+                        raise ValueError("two texts share a hash")
                     if places[k] == 0:
                         lead, own = leads[k], s
                     elif lead == leads[k]:
@@ -436,37 +525,60 @@ def near_duplicates(
     spark = docs.sparkSession
     own = F.col(text)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), own.alias("text"), _text_hash(own).alias("text_hash"))
-    surveyed = materialise(survey(texts, width), "join-survey")
-    light = surveyed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), "n", "text_hash")
+
+    def totalled() -> DataFrame:
+        rows = materialise(survey(texts, width), "join-counted")
+        sums = rows.where("kind = 1").groupBy("kind", "a").agg(F.sum("b").alias("b")).where("b > 1")
+        return rows.where("kind != 1").unionByName(sums, allowMissingColumns=True)
+
+    # the counts of the tasks go once they are summed
+    surveyed = materialise_last(totalled, spark, "join-survey")
+    light = surveyed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), "n", "text_hash", "sign")
     totals = light.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows")).first()
     lengths = surveyed.where("kind = 2").agg(F.sum("a").alias("all"), F.sum("b").alias("distinct")).first()
     bar = max(LEAST_FREQUENT, (totals["all"] or 0) // MOST_FREQUENT + 1)
-    counted = surveyed.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= bar).toArrow()
+    counted = surveyed.where("kind = 1").select("a", F.col("b").alias("n"))
+    repeated = spark.sparkContext.broadcast(bit_map(counted, "a"))
+    counted = counted.where(F.col("n") >= bar).toArrow()
     shingles = counted.column(0).to_numpy().view(np.uint64)
     order = np.argsort(shingles)
     frequent = spark.sparkContext.broadcast((shingles[order], counted.column(1).to_numpy()[order]))
     limit = boundary((lengths["all"] or 1) / (lengths["distinct"] or 1), percent)
 
-    only = texts.select("text")
-    members = materialise(lists(entries(only, width, percent, limit, frequent)), "join-lists")
-    starred = materialise(leaders(members, percent), "join-leaders")
-    links = materialise(verify(only, starred, width, percent), "join-first")
-    labels = components(links)
-    others = materialise(across(members, labels, percent).join(starred, ["a", "b"], "left_anti"), "join-across")
+    classes = light.where("fp is not null").groupBy("fp").agg(
+        F.count(F.lit(1)).alias("_copies"), F.min("n").alias("_n"), F.max("n").alias("_m"),
+        F.min("text_hash").alias("text_hash"), F.min("sign").alias("sign"),
+    )
+    same = F.when(F.col("_n") != F.col("_m"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.col("_copies"))
+    classes = materialise(classes.select("fp", same.alias("_copies"), "text_hash", "sign"), "join-classes")
+    signs = classes.select("fp", "sign")
+
+    listed = entries(texts.select("text"), width, percent, limit, frequent, repeated)
+    members = materialise(lists(listed, percent, limit), "join-lists")
+    labels = spark.createDataFrame([], "fp long, label long")
+    chunks = hopeful(members).withColumn("side", F.lit(0)).withColumn("label", F.col("fp"))
+    todo = members.where("not whole").select("sig")
     for turn in range(BEST_ROUNDS + 1):
-        if others.isEmpty():
+        met = materialise(meet(chunks.join(signs, "fp"), percent, turn == BEST_ROUNDS), "join-met")
+        others = met.where("a is not null").groupBy("a", "b").agg(F.min("score").alias("score"))
+        others = materialise(others, "join-across")
+        for last in (False, True):
+            if others.isEmpty():
+                break
+            # first each set's nearest partner, which settles most; then all that is still open
+            chosen = others.select("a", "b") if last else materialise(best_partners(others), "join-chosen")
+            more = materialise(verify(texts, classes, chosen, width, percent), "join-links")
+            labels = components(labels.toDF("a", "b").union(more))
+            if not last:
+                others = materialise(apart(others.join(chosen, ["a", "b"], "left_anti"), labels), "join-open")
+        todo = materialise((todo if turn == 0 else todo.limit(0)).union(met.where("more is not null").select("more")).distinct(), "join-todo")
+        if turn == BEST_ROUNDS or todo.isEmpty():
             break
-        # first each set's best partner, which settles most; at last all that is still open
-        chosen = materialise(best_partners(others) if turn < BEST_ROUNDS else others.select("a", "b"), "join-chosen")
-        more = materialise(verify(only, chosen, width, percent), "join-more")
-        labels = components(labels.toDF("a", "b").union(more))
-        if turn < BEST_ROUNDS:
-            others = materialise(apart(others.join(chosen, ["a", "b"], "left_anti"), labels), "join-open")
+        chunks = blocks(members, todo, labels)
 
     bar = max(1, (totals["rows"] or 0) // HOT_SHARE)
-    classes = light.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("_copies"), F.min("n").alias("_n"), F.max("n").alias("_m"))
-    same = F.when(F.col("_n") != F.col("_m"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.col("_copies"))
-    classes = classes.select("fp", same.alias("_copies")).join(labels, "fp", "left")
+    classes = classes.select("fp", "_copies").join(labels, "fp", "left")
+    light = light.drop("sign")
     named = look_up(light.where("fp is not null"), classes.select("fp", F.coalesce("label", "fp").alias("label"), "_copies"), ["fp"], "_copies", bar)
     named = materialise(named.select("doc_id", "n", "fp", "label", "text_hash"), "join-named")
     groups = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
