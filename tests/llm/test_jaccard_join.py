@@ -109,6 +109,23 @@ def test_empty_table_and_clashing_columns(documents):
     assert left.columns == extra.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
+def test_rounds_before_the_last_hand_on_few_pairs_of_a_large_group(documents, monkeypatch):
+    rng = random.Random(5)
+    hot = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(altered(rng, hot, 2 + k % 2))) for k in range(250)]
+    met, write = [], jaccard_join.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "join-across":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    check(documents, rows)
+    assert met and max(met[: jaccard_join.BEST_ROUNDS]) < jaccard_join.PAIRS_A_MEMBER * len(rows)
+
+
 def test_null_and_shared_ids_lose_only_their_own_copies(documents):
     text = lambda name: " ".join(f"{name}{k}" for k in range(40))
     a, b, x, y = (text(name) for name in "abxy")
