@@ -11,8 +11,9 @@ n - ceil(t n) + 1 elements of that order at least once, and in one more element
 
 A list is not expanded into all pairs. Each set has a signature, the parity of its elements in a few buckets an element; two signatures
 differ in no more buckets than the sets differ in elements, so most pairs that cannot link are told by them where a list is
-read. Of the other pairs a part of a list hands on up to ``PAIRS_A_MEMBER`` for each member, or else each member's nearest
-one. Those are compared by their whole texts, nearest first, and verified links give components. Lists that are longer than a
+read. A pair that shares many lists goes on from the least of them: each set brings the least keys of its lists, and a list leaves out
+the pairs that have a lesser one in common. Of its own pairs a part of a list hands on up to ``PAIRS_A_MEMBER`` for each member, or else
+each member's nearest one. Those are compared by their whole texts, nearest first, and verified links give components. Lists that are longer than a
 part, or that had more pairs, are read again in blocks, only for members of different components; in the last round all
 pairs are handed on. Exact copies are one class throughout. So every link between classes is either verified or inside a component
 of verified ones, and components are those of all links.
@@ -45,8 +46,12 @@ BUCKETS_AN_ELEMENT, LEAST_BUCKETS, MOST_BUCKETS = 1, 64, 1 << 17
 MOST_FREQUENT = 16_000_000
 LEAST_FREQUENT = 8
 #: Members of one part of a frequent shingle's list, and of a block when members are compared.
-PART_ROWS = 1000
-BLOCK_ROWS = 512
+PART_ROWS = 2000
+BLOCK_ROWS = 2048
+#: Blocks of a list that is read again, so copies of its members; more only where a block would have more rows than this.
+LIST_BLOCKS, MOST_BLOCK_ROWS = 4, 16_384
+#: Least lists of a set that tell whether two sets have met in another list.
+KEYS_A_MEMBER = 16
 #: Cost of comparing two entries of a list, in units of the cost of entering one.
 SCAN_COST = 4.0
 #: Bits of a bit map: a power of two from this many for each key, and no more than so many. Keys that share a bit cost a row.
@@ -55,6 +60,8 @@ BITS_A_KEY, MOST_BITS = 16, 1 << 28
 LIST_ROWS = 20_000
 SIGN_WORDS = 4_000_000
 EMIT_ROWS = 500_000
+#: Edges of one file between the steps of the components.
+EDGES_A_FILE = 100_000
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -311,9 +318,30 @@ def distances(signs: pa.Array, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def padded_keys(keys: pa.ListArray) -> np.ndarray:
+    """A row of ``KEYS_A_MEMBER`` keys for each list, filled up with the largest number."""
+    offsets, values = keys.offsets.to_numpy(), keys.values.to_numpy()
+    out = np.full((len(keys), KEYS_A_MEMBER), np.iinfo(np.int64).max)
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(keys)), size)
+    out[row, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], size)] = values[offsets[0] : offsets[-1]]
+    return out
+
+
+def met_elsewhere(keys: np.ndarray, sig: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether rows ``p`` and ``q`` have a key in common that is less than that of their list."""
+    out, step = np.zeros(len(p), bool), max(1, SIGN_WORDS // KEYS_A_MEMBER**2)
+    for at in range(0, len(p), step):
+        a, b = keys[p[at : at + step]], keys[q[at : at + step]]
+        same = (a[:, :, None] == b[:, None, :]).any(axis=2)
+        out[at : at + step] = (same & (a < sig[p[at : at + step], None])).any(axis=1)
+    return out
+
+
 def meet(dealt: DataFrame, percent: int, last: bool) -> DataFrame:
     """Pairs ``a, b, score`` of members of one ``sig, chunk`` whose labels differ and whose sizes and signatures allow a link.
 
+    ``keys`` are the least keys of the lists that hold the member; a pair with a lesser key in common is left to that list.
     Members of side 1 meet those of side 2, members of side 0 each other. Unless it is the ``last`` round, a chunk with more than
     ``PAIRS_A_MEMBER`` such pairs a member gives each member's nearest one only, and a row with its list as ``more``.
     """
@@ -325,23 +353,39 @@ def meet(dealt: DataFrame, percent: int, last: bool) -> DataFrame:
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (chunk[1:] != chunk[:-1])
         group = np.cumsum(new) - 1
-        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sign, keys = table.column(6).combine_chunks(), padded_keys(table.column(7).combine_chunks())
+        empty = np.zeros(0, np.int64)
+        found, first, second, held = [(empty, empty, empty / 1)], [], [], 0
+
+        def sift() -> None:
+            p, q = np.concatenate(first), np.concatenate(second)
+            far, both = distances(sign, p, q), n[p] + n[q]
+            near = far <= both - 2 * least_overlap(n[p], n[q], percent)
+            p, q, score = p[near], q[near], far[near] / both[near]
+            here = ~met_elsewhere(keys, sig, p, q)
+            found.append((p[here], q[here], score[here]))
+
         x, step = np.arange(len(sig)), 1
         while True:
             x = x[x + step < len(sig)]
             x = x[group[x] == group[x + step]]
+            y = x + step
+            # members rise in size: whoever is too small for one is so for all that follow
+            fit = least_overlap(n[x], n[y], percent) <= n[x]
+            x, y = x[fit], y[fit]
             if not len(x):
                 break
-            y = x + step
-            least = least_overlap(n[x], n[y], percent)
-            fit = (label[x] != label[y]) & (least <= n[x]) & (least <= n[y]) & ((side[x] == 0) | (side[x] != side[y]))
+            fit = (label[x] != label[y]) & ((side[x] == 0) | (side[x] != side[y]))
             first.append(x[fit])
             second.append(y[fit])
+            held += int(fit.sum())
             step += 1
-        p, q = np.concatenate(first), np.concatenate(second)
-        apart = distances(table.column(6).combine_chunks(), p, q) if len(p) else p
-        near = apart <= n[p] + n[q] - 2 * least_overlap(n[p], n[q], percent)
-        p, q, score = p[near], q[near], apart[near] / (n[p] + n[q])[near]
+            if held >= EMIT_ROWS:
+                sift()
+                first, second, held = [], [], 0
+        if held:
+            sift()
+        p, q, score = (np.concatenate(c) for c in zip(*found))
         more = np.zeros(0, np.int64)
         if not last:
             many = np.bincount(group[p], minlength=group[-1] + 1) > PAIRS_A_MEMBER * np.bincount(group)
@@ -385,17 +429,21 @@ def meet(dealt: DataFrame, percent: int, last: bool) -> DataFrame:
             yield from pairs(pa.Table.from_batches(rest).combine_chunks())
 
     parts = shuffle_partitions(dealt.sparkSession)
-    dealt = dealt.select("sig", "chunk", F.col("side").cast("byte").alias("side"), "fp", "n", "label", "sign")
-    dealt = dealt.repartition(parts, "sig", "chunk").sortWithinPartitions("sig", "chunk")
+    dealt = dealt.select("sig", "chunk", F.col("side").cast("byte").alias("side"), "fp", "n", "label", "sign", "keys")
+    dealt = dealt.repartition(parts, "sig", "chunk").sortWithinPartitions("sig", "chunk", "n")
     return dealt.mapInArrow(run, "a long, b long, score double, more long")
 
 
 def blocks(members: DataFrame, todo: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the lists ``todo`` that hold more than one component, cut so that each two blocks of a list meet in a chunk of their own."""
+    """Members of the lists ``todo`` that hold more than one component, cut so that each two blocks of a list meet in a chunk of their own.
+
+    Blocks grow with their list, so a member is copied ``LIST_BLOCKS`` times at most until they reach ``MOST_BLOCK_ROWS``.
+    """
     named = members.select("sig", "fp", "n").join(todo, "sig", "left_semi").join(labels, "fp", "left")
     named = materialise(named.withColumn("label", F.coalesce("label", "fp")), "join-members")
     apart = named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_size"))
-    apart = apart.where("_low != _high").select("sig", F.ceil(F.col("_size") / BLOCK_ROWS).cast("long").alias("_blocks"))
+    rows = F.greatest(F.lit(BLOCK_ROWS), F.least(F.ceil(F.col("_size") / LIST_BLOCKS), F.lit(MOST_BLOCK_ROWS)))
+    apart = apart.where("_low != _high").select("sig", F.ceil(F.col("_size") / rows).cast("long").alias("_blocks"))
     cut = named.join(apart, "sig").withColumn("_own", F.expr("pmod(xxhash64(fp), _blocks)"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
@@ -487,7 +535,9 @@ def components(links: DataFrame) -> DataFrame:
     are looked up by broadcast.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "join-links")
-    bar = max(1, 2 * edges.count() // HOT_SHARE)
+    many = edges.count()
+    bar = max(1, 2 * many // HOT_SHARE)
+    files = min(shuffle_partitions(links.sparkSession), 1 + many // EDGES_A_FILE)
 
     def least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         low = rows.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("_n"))
@@ -502,10 +552,10 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         large = least(both)[0].where("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v"))
-        large = materialise(large.distinct(), "join-large")
+        large = materialise(large.distinct().coalesce(files), "join-large")
         near, low = least(large)
         small = near.where("v != low").select("v", "low").union(low.select("u", "low")).toDF("a", "b")
-        edges = materialise(small.distinct(), "join-small")
+        edges = materialise(small.distinct().coalesce(files), "join-small")
 
 
 def _text_hash(text: Column) -> Column:
@@ -551,10 +601,11 @@ def near_duplicates(
     )
     same = F.when(F.col("_n") != F.col("_m"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.col("_copies"))
     classes = materialise(classes.select("fp", same.alias("_copies"), "text_hash", "sign"), "join-classes")
-    signs = classes.select("fp", "sign")
 
     listed = entries(texts.select("text"), width, percent, limit, frequent, repeated)
     members = materialise(lists(listed, percent, limit), "join-lists")
+    least = F.slice(F.sort_array(F.collect_list("sig")), 1, KEYS_A_MEMBER)
+    signs = materialise(members.groupBy("fp").agg(least.alias("keys")).join(classes.select("fp", "sign"), "fp"), "join-signs")
     labels = spark.createDataFrame([], "fp long, label long")
     chunks = hopeful(members).withColumn("side", F.lit(0)).withColumn("label", F.col("fp"))
     todo = members.where("not whole").select("sig")
@@ -562,15 +613,17 @@ def near_duplicates(
         met = materialise(meet(chunks.join(signs, "fp"), percent, turn == BEST_ROUNDS), "join-met")
         others = met.where("a is not null").groupBy("a", "b").agg(F.min("score").alias("score"))
         others = materialise(others, "join-across")
-        for last in (False, True):
-            if others.isEmpty():
+        pairs = others.count()
+        for last in (False, True) if pairs > totals["rows"] else (True,):
+            if not pairs:
                 break
-            # first each set's nearest partner, which settles most; then all that is still open
+            # of many, first each set's nearest partner, which settles most; then all that is still open
             chosen = others.select("a", "b") if last else materialise(best_partners(others), "join-chosen")
             more = materialise(verify(texts, classes, chosen, width, percent), "join-links")
             labels = components(labels.toDF("a", "b").union(more))
             if not last:
                 others = materialise(apart(others.join(chosen, ["a", "b"], "left_anti"), labels), "join-open")
+                pairs = others.count()
         todo = materialise((todo if turn == 0 else todo.limit(0)).union(met.where("more is not null").select("more")).distinct(), "join-todo")
         if turn == BEST_ROUNDS or todo.isEmpty():
             break

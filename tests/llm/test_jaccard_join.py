@@ -126,6 +126,38 @@ def test_rounds_before_the_last_hand_on_few_pairs_of_a_large_group(documents, mo
     assert met and max(met[: jaccard_join.BEST_ROUNDS]) < jaccard_join.PAIRS_A_MEMBER * len(rows)
 
 
+def test_a_pair_of_many_lists_goes_on_from_one(documents, monkeypatch):
+    rng = random.Random(6)
+    hot = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(altered(rng, hot, 1 + k % 2))) for k in range(60)]
+    met, write = [], jaccard_join.materialise
+
+    def kept(df, name):
+        out = write(df, name)
+        if name == "join-met":
+            pairs = [(r.a, r.b) for r in out.where("a is not null").collect()]
+            met.append((len(pairs), len(set(pairs))))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", kept)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 1)
+    check(documents, rows)
+    assert met[0][1] and met[0][0] <= 1.2 * met[0][1]
+
+
+def test_blocks_grow_with_their_list_and_each_two_members_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 8)
+    members = spark.range(100).selectExpr("7L as sig", "id as fp", "20 as n")
+    labels = spark.createDataFrame([], "fp long, label long")
+    rows = jaccard_join.blocks(members, spark.createDataFrame([(7,)], "sig long"), labels).collect()
+    assert len(rows) <= jaccard_join.LIST_BLOCKS * 100
+    meet = Counter()
+    for chunk in {r.chunk for r in rows}:
+        own = [r for r in rows if r.chunk == chunk]
+        meet.update((a.fp, b.fp) for a in own for b in own if a.fp < b.fp and (a.side == 0 or a.side != b.side))
+    assert len(meet) == 4950 and set(meet.values()) == {1}
+
+
 def test_null_and_shared_ids_lose_only_their_own_copies(documents):
     text = lambda name: " ".join(f"{name}{k}" for k in range(40))
     a, b, x, y = (text(name) for name in "abxy")
