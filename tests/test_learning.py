@@ -187,6 +187,28 @@ def test_frequent_patterns(spark):
     assert found == {"[['a']]": 3, "[['b']]": 3, "[['a'], ['b']]": 2}
 
 
+def test_prefix_span_gives_the_patterns_of_spark_and_gathers_no_prefix(spark):
+    from pyspark.ml.fpm import PrefixSpan
+
+    rng = np.random.default_rng(4)
+    draw = lambda: [sorted({f"i{k}" for k in rng.integers(0, 5, rng.integers(1, 4))}, reverse=True) for _ in range(rng.integers(0, 6))]
+    data = [(draw(),) for _ in range(150)] * 2 + [(None,), ([["rare"], ["i1"]],)]
+    sequences = frame(spark, data, "sequence array<array<string>>")
+    named = lambda found: sorted((str([sorted(s) for s in r["sequence"]]), r["freq"]) for r in found.collect())
+    for support, length in ((0.1, 10), (0.05, 2), (0.9, 10)):
+        whole = PrefixSpan(minSupport=support, maxPatternLength=length).findFrequentSequentialPatterns(sequences)
+        assert named(patterns.prefix_span(sequences, min_support=support, max_length=length)) == named(whole)
+
+    assert patterns.prefix_span(sequences.limit(0)).collect() == []
+    seen, cut = [], patterns.cut_lineage
+    patterns.cut_lineage = lambda df: seen.append(cut(df)) or seen[-1]
+    try:
+        patterns.prefix_span(frame(spark, [([["a"], ["b"]],)] * 500, "sequence array<array<string>>"))
+    finally:
+        patterns.cut_lineage = cut
+    assert seen and max(t.count() for t in seen) <= 3
+
+
 def test_words_to_score_are_counted_without_a_shuffle_by_text(spark, capsys):
     docs = frame(spark, [("x x y", 0), ("y z", 1)], "text string, label int")
     model, labels = bayes.text_bayes(docs, "text", "label"), bayes.text_bayes_labels(docs, "text", "label")
