@@ -78,3 +78,37 @@ def test_topics_in_waves_equal_the_rounds_by_hand(spark, monkeypatch):
     got = {(r["topic"], r["word"]): r["weight"] for r in found.collect()}
     assert got.keys() == exact.keys() and all(got[k] == pytest.approx(exact[k], abs=1e-10) for k in exact)
     assert values == pytest.approx(exact_values)
+
+
+def ratings(spark):
+    data = [(u, i, 1.0 + (u * i) % 5) for u in range(25) for i in range(12) if (u * 7 + i * 3) % 4 != 1] + [(99, i, 2.0 + i % 3) for i in range(60)]
+    return data, frame(spark, data, "user long, item long, rating double")
+
+
+def test_factors_leave_as_much_after_many_rounds_as_after_few(spark):
+    _, df = ratings(spark)
+    few, many = (left(spark, lambda n=n: factors.als(df, rank=2, iterations=n)) for n in (1, 4))
+    assert few == many
+
+
+def test_factors_in_waves_equal_the_normal_equations(spark, monkeypatch):
+    monkeypatch.setattr(factors, "BLOCK_EDGES", 40)
+    monkeypatch.setattr(factors, "WAVE_NUMBERS", 1)
+    data, df = ratings(spark)
+    blocks = factors.Blocks(df, "user", "item", "rating")
+    assert len(blocks.waves(3)) > 1
+    blocks.free()
+    users, items = factors.als(df, rank=3, iterations=2)
+    for found, exact in zip((users, items), als_by_hand(data, 3, 2, 0.1)):
+        got = {r["id"]: list(r["v"]) for r in found.collect()}
+        assert got.keys() == exact.keys() and all(got[k] == pytest.approx(list(exact[k]), abs=1e-8) for k in exact)
+
+
+def test_edges_find_their_blocks_by_the_first_of_each():
+    import pyarrow as pa
+
+    names = ["own", "_part", "other", "value", "parts"]
+    keys = [(1, 0), (2, 0), (2, 1), (2, 2), (2, 3), (3, 0), (7, 0), (9, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), *[pa.array(range(8))] * 3], names)
+    found = next(factors.dealt_by([(1, 0), (2, 1), (2, 3), (7, 0)])([batch]))
+    assert found.column("block").to_pylist() == [0, 0, 1, 1, 2, 2, 3, 3]
