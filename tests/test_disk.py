@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from pathlib import Path
 from urllib.parse import urlparse
 
 import pytest
 
 from gaugework.lineage import cut_lineage, drop_checkpoint, ensure_checkpoint_dir, in_place, shuffles_dropped
-from gaugework.operators import factors
+from gaugework.operators import embedding, factors
 from helpers import frame, rows
 from test_factors import als_by_hand, lda_by_hand
 
@@ -112,3 +113,25 @@ def test_edges_find_their_blocks_by_the_first_of_each():
     batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), *[pa.array(range(8))] * 3], names)
     found = next(factors.dealt_by([(1, 0), (2, 1), (2, 3), (7, 0)])([batch]))
     assert found.column("block").to_pylist() == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_word_vectors_leave_as_much_after_many_rounds_as_after_few(spark):
+    df = frame(spark, [(k, [f"w{k % 3}", f"v{k % 4}", "x"]) for k in range(30)], "id int, words array<string>")
+    few, many = (left(spark, lambda n=n: embedding.word2vec(df, "words", size=2, min_count=1, iterations=n)) for n in (1, 4))
+    assert few == many
+
+
+@pytest.mark.parametrize("held", [3, 500_000])
+def test_pairs_of_a_word_with_itself_and_of_texts_longer_than_a_chunk(spark, monkeypatch, held):
+    monkeypatch.setattr(embedding, "HELD_WORDS", held)
+    data = [(1, ["a", "a", None, "b", "a", "c", "b", "b"]), (2, None), (3, []), (4, ["b", "a"]), (5, ["rare"])]
+    df = frame(spark, data, "id int, words array<string>").repartition(1)
+    words = embedding.vocabulary(df, "words", 2)
+    names = {r["number"]: r["word"] for r in words.collect()}
+    exact = Counter()
+    for _, ws in data:
+        for i, a in enumerate(ws or []):
+            for j, b in enumerate(ws or []):
+                if i != j and abs(i - j) <= 2 and a in names.values() and b in names.values():
+                    exact[a, b] += 1
+    assert {(names[r["own"]], names[r["other"]]): r["n"] for r in embedding.pair_counts(df, "words", words, 2).collect()} == exact
